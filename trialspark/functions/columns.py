@@ -123,10 +123,13 @@ def recruitment_failure(status: str | Column, why_stopped: str | Column) -> Colu
     )
 
 
+# A non-blank line: its first visible character and the rest up to the next line break.
+NON_BLANK_LINE = r"(?U)[^\s\x1c-\x1f][^\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]*"
+
+
 def criteria_line_count(criteria: str | Column) -> Column:
     """Non-blank lines of a criteria text; NULL text counts 0 lines."""
-    lines = F.split(F.coalesce(col(criteria), F.lit("")), "\r\n|\r|\n")
-    return F.size(F.filter(lines, lambda line: F.trim(line) != "")).cast("long")
+    return F.regexp_count(F.coalesce(col(criteria), F.lit("")), F.lit(NON_BLANK_LINE)).cast("long")
 
 
 def criteria_parts_sql(criteria: str | Column) -> Column:

@@ -58,10 +58,14 @@ def count_overlaps(
 
 def _meeting(d: DataFrame, by: list[str], out: str) -> DataFrame:
     """``d`` plus ``out``: rows of the group whose interval meets [_s, _e], the row itself included."""
-    known = d.where("_s IS NOT NULL AND _e IS NOT NULL")
+    # The filter on the count keeps the column in every branch below, so all of them read one exchange.
+    iv = (
+        d.where("_s IS NOT NULL AND _e IS NOT NULL").groupBy(*by, "_s", "_e")
+        .agg(F.count(F.lit(1)).alias("_n")).where("_n > 0")
+    )
     days = (
-        known.select(*by, F.expr("inline(array(struct(_s AS _day, 1L AS _start, 0L AS _end),"
-                                 " struct(_e AS _day, 0L AS _start, 1L AS _end)))"))
+        iv.select(*by, F.expr("inline(array(struct(_s AS _day, _n AS _start, 0L AS _end),"
+                              " struct(_e AS _day, 0L AS _start, _n AS _end)))"))
         .groupBy(*by, "_day").agg(F.sum("_start").alias("_start"), F.sum("_end").alias("_end"))
     )
     w = Window.partitionBy(*by).orderBy("_day")
@@ -73,11 +77,11 @@ def _meeting(d: DataFrame, by: list[str], out: str) -> DataFrame:
     at_end = days.select(*by, F.col("_day").alias("_e"), "_started")
     at_start = days.select(*by, F.col("_day").alias("_s"), "_ended")
     counted = join_on(join_on(d, at_end, [*by, "_e"], "left"), at_start, [*by, "_s"], "left")
-    counted = join_on(counted, _dominance(known, by), [*by, "_s", "_e"], "left")
+    counted = join_on(counted, _dominance(iv, by), [*by, "_s", "_e"], "left")
     return counted.withColumn(out, F.expr("_started - _ended + coalesce(_gap, 0)")).drop("_started", "_ended", "_gap")
 
 
-def _dominance(known: DataFrame, by: list[str]) -> DataFrame:
+def _dominance(iv: DataFrame, by: list[str]) -> DataFrame:
     """(group, _s, _e, _gap): rows with start > _e and end < _s.
 
     A well-formed interval asks only for inverted rows (channel 0); an inverted one asks for all rows
@@ -86,9 +90,8 @@ def _dominance(known: DataFrame, by: list[str]) -> DataFrame:
     level. Groups without an inverted interval take no part.
     """
     key = [*by, "_ch", "_node"]
-    groups = known.groupBy(*by).agg(F.max("_s").alias("_top"), F.max(F.expr("_e < _s")).alias("_any"))
+    groups = iv.groupBy(*by).agg(F.max("_s").alias("_top"), F.max(F.expr("_e < _s")).alias("_any"))
     groups = groups.where("_any").drop("_any")
-    iv = known.groupBy(*by, "_s", "_e").agg(F.count(F.lit(1)).alias("_n"))
     iv = join_on(iv, groups, by) if by else join_on(iv, groups, []).where("_top IS NOT NULL")
 
     levels = ", ".join(f"shiftright(_top - _s, {4 * k}) * 8L + {k}" for k in range(_DIGITS))

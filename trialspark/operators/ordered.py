@@ -116,30 +116,40 @@ def exact_percentiles(
     return near.groupBy(*by).agg(*aggs)
 
 
-def with_rank(
-    df: DataFrame, order: Sequence[tuple[str, bool]], out: str, by: Sequence[str] = ()
+def with_ranks(
+    df: DataFrame, order: Sequence[tuple[str, bool]], ranks: dict[str, Sequence[str]]
 ) -> DataFrame:
-    """Competition rank (``RANK``) by ``order`` = [(column, descending)], NULLs last.
+    """Competition ranks (``RANK``) by ``order`` = [(column, descending)], NULLs last.
 
-    Ranks come from counts per distinct order key, cut at the first order column, which should have
-    few distinct values next to the rows (a volume count, a date, a year).
+    ``ranks`` maps each output column to its partition columns. Ranks come from counts per distinct
+    order key, cut at the first order column, which should have few distinct values next to the rows
+    (a volume count, a date, a year); they are joined back once.
     """
-    by, cols = list(by), [c for c, _ in order]
+    cols = [c for c, _ in order]
+    parts = list(dict.fromkeys(c for by in ranks.values() for c in by))
     sort = lambda pairs: [
         F.col(c).desc_nulls_last() if d else F.col(c).asc_nulls_last() for c, d in pairs
     ]
-    keys = df.groupBy(*by, *cols).agg(F.count(F.lit(1)).alias("_n"))
     ahead = lambda w: F.coalesce(
         F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
     )
-    first = keys.groupBy(*by, cols[0]).agg(F.sum("_n").alias("_n"))
-    first = first.select(*by, cols[0], ahead(Window.partitionBy(*by).orderBy(*sort(order[:1]))).alias("_r1"))
-    ranks = join_on(keys, first, [*by, cols[0]])
-    if len(cols) > 1:
-        w = Window.partitionBy(*by, cols[0]).orderBy(*sort(order[1:]))
-        ranks = ranks.withColumn("_r1", F.col("_r1") + ahead(w))
-    ranks = ranks.select(*by, *cols, (F.col("_r1") + 1).cast("long").alias(out))
-    return join_on(df, ranks, [*by, *cols])
+    keys = df.groupBy(*parts, *cols).agg(F.count(F.lit(1)).alias("_n"))
+    out = keys
+    for name, by in ranks.items():
+        own = keys.groupBy(*by, *cols).agg(F.sum("_n").alias("_n")) if len(by) < len(parts) else keys
+        first = own.groupBy(*by, cols[0]).agg(F.sum("_n").alias("_n"))
+        first = first.select(*by, cols[0], ahead(Window.partitionBy(*by).orderBy(*sort(order[:1]))).alias("_r"))
+        ranked = join_on(own, first, [*by, cols[0]])
+        if len(cols) > 1:
+            inside = Window.partitionBy(*by, cols[0]).orderBy(*sort(order[1:]))
+            ranked = ranked.withColumn("_r", F.col("_r") + ahead(inside))
+        ranked = ranked.select(*by, *cols, (F.col("_r") + 1).cast("long").alias(name))
+        out = join_on(out, ranked, [*by, *cols])
+    return join_on(df, out.drop("_n"), [*parts, *cols])
+
+
+def with_rank(df: DataFrame, order: Sequence[tuple[str, bool]], out: str, by: Sequence[str] = ()) -> DataFrame:
+    return with_ranks(df, order, {out: by})
 
 
 def stratified_order(

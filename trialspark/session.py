@@ -16,6 +16,7 @@ def local_session(cpus: int | str = "*", app: str = "trialspark", memory: str |
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", memory or os.environ.get("TRIALSPARK_MEMORY", "8g"))
     )
