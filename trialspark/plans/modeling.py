@@ -29,7 +29,8 @@ def competing_trials(cleaned: DataFrame, conditions: DataFrame, open_end="2035-1
         "nct_id", "start_date", "completion_date",
         F.coalesce(F.lower("condition"), F.lit("")).alias("condition_lower"))
     counted = count_overlaps(d, by=["condition_lower"], open_end=open_end, out="competing_trials_count")
-    return counted.select("nct_id", "competing_trials_count")
+    # One row per study as far as the optimizer knows: it can drop this join where the count is unused.
+    return counted.groupBy("nct_id").agg(F.max("competing_trials_count").alias("competing_trials_count"))
 
 
 def build_modeling_table(
