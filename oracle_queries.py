@@ -124,7 +124,7 @@ kept AS (SELECT * FROM spans WHERE days IS NULL OR days >= 7),
 modeling AS (SELECT s.nct_id, {DISPLAY('s.overall_status')} AS overall_status, s.phase, coalesce({ORD('s.phase')}, 0.0) AS phase_numeric,
     s.enrollment, s.start_date, s.completion_date, s.has_dmc,
     CAST(upper(enrollment_type) = 'ACTUAL' AS INTEGER) AS enrollment_type_is_actual,
-    least(s.actual_enrollment / nullif(s.enrollment, 0), 2.0) AS enrollment_ratio,
+    CASE WHEN s.actual_enrollment IS NOT NULL THEN least(s.actual_enrollment / nullif(s.enrollment, 0), 2.0) END AS enrollment_ratio,
     CASE {KEY('s.overall_status')} WHEN 'COMPLETED' THEN 1.0::DOUBLE WHEN 'TERMINATED' THEN 0.0::DOUBLE END AS enrollment_met_target,
     {KEY('s.overall_status')} = 'TERMINATED' AND regexp_matches(lower(coalesce(why_stopped, '')), 'enrollment|accrual|recruit|enrol|participant|patient|subject') AS terminated_for_enrollment,
     coalesce(nc.n_countries, 1) AS n_countries, coalesce(nc.n_countries, 1) > 1 AS is_multicountry,
@@ -323,7 +323,7 @@ def build() -> dict[str, str]:
         FROM market_leads m LEFT JOIN trial_places USING (nct_id) JOIN conc USING (nct_id)""",
         "conc AS (SELECT a.nct_id, count(b.nct_id) AS concurrent_competitors FROM market a LEFT JOIN market b ON a.nct_id <> b.nct_id AND a.start_date <= b.e AND a.e >= b.start_date GROUP BY 1)")
 
-    add("site_performance", f"""SELECT *, {R('0.4 * least(completion_rate_pct, 100) + 0.4 * least(ratio, 1) * 100 + 0.2 * least(n_trials, 20) / 20.0 * 100', 1)} AS performance_score FROM (
+    add("site_performance", f"""SELECT *, {R('0.4 * least(completion_rate_pct, 100) + 0.4 * (CASE WHEN ratio IS NOT NULL THEN least(ratio, 1) END) * 100 + 0.2 * least(n_trials, 20) / 20.0 * 100', 1)} AS performance_score FROM (
         SELECT name, city, country, condition, count(DISTINCT f.nct_id) AS n_trials, coalesce(sum(enrollment_met_target), 0.0) AS n_met_target, {R('avg(enrollment_ratio)', 6)} AS avg_enrollment_ratio,
         {R('median(enrollment_ratio)', 6)} AS median_enrollment_ratio, {R('avg(enrollment_duration_days)', 6)} AS avg_duration_days, {R('avg(enrollment)', 6)} AS avg_target_enrollment,
         {R('coalesce(sum(enrollment_met_target), 0.0) / count(DISTINCT f.nct_id) * 100', 1)} AS completion_rate_pct, avg(enrollment_ratio) AS ratio

@@ -1,16 +1,84 @@
-"""Feature frame and preprocessing stages."""
+"""Feature frame and preprocessing stages of the forecast models."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import warnings
+from collections.abc import Sequence
 
-from trialspark.functions import constants as C, filters as P
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
+from pyspark.sql import DataFrame, functions as F
+
+from trialspark.functions import columns as X, constants as C, filters as P
+from trialspark.operators.ordered import exact_percentiles
+
+NUMERIC = [*C.NUMERIC_FEATURES, *C.BOOLEAN_FEATURES]
+CATEGORICAL = list(C.CATEGORICAL_FEATURES)
 
 
 def labeled_rows(modeling: DataFrame) -> DataFrame:
-    return modeling.where(f"{C.CLASS_TARGET} IS NOT NULL")
+    return modeling.where(F.col(C.CLASS_TARGET).isNotNull())
 
 
 def regression_rows(modeling: DataFrame) -> DataFrame:
     """Labeled studies with a positive duration."""
     return labeled_rows(modeling).where(P.known_positive(C.DURATION_TARGET))
+
+
+def check_columns(modeling: DataFrame) -> None:
+    """Warn about absent features; fail without the class target."""
+    absent = [c for c in (*NUMERIC, *CATEGORICAL) if c not in modeling.columns]
+    if absent:
+        warnings.warn(f"absent feature columns, filled with defaults: {absent}", stacklevel=2)
+    if C.CLASS_TARGET not in modeling.columns:
+        raise ValueError(f"target column {C.CLASS_TARGET!r} is absent: build the modeling table first")
+
+
+def feature_frame(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Typed feature columns: numbers (log-scaled where skewed), 0/1 flags and categories."""
+    def number(c: str):
+        if c not in df.columns:
+            return F.lit(None).cast("double")
+        value = X.parse_number(c)
+        return X.log_scaled(value) if c in C.LOG_FEATURES else value
+
+    def zero_one(c: str):
+        return F.coalesce(F.col(c).cast("double"), F.lit(0.0)) if c in df.columns else F.lit(0.0)
+
+    def category(c: str):
+        return F.coalesce(F.col(c).cast("string"), F.lit("Unknown")) if c in df.columns else F.lit("Unknown")
+
+    return df.select(
+        *[c for c in keep if c in df.columns],
+        *[number(c).alias(f"f_{c}") for c in C.NUMERIC_FEATURES],
+        *[zero_one(c).alias(f"f_{c}") for c in C.BOOLEAN_FEATURES],
+        *[category(c).alias(f"f_{c}") for c in CATEGORICAL])
+
+
+def exact_medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
+    """Exact median of every column, 0 for a column without values; one row per column is collected."""
+    long = df.select(*columns).unpivot([], list(columns), "feature", "value")
+    found = exact_percentiles(long, "value", {"median": 0.5}, ["feature"]).collect()
+    medians = {r["feature"]: r["median"] for r in found}
+    return {c: float(medians.get(c, 0.0)) for c in columns}
+
+
+def preparation_stages(frame: DataFrame) -> list:
+    """Median fill, one-hot categories (unseen ones all zero) and the feature vector."""
+    medians = exact_medians(frame, [f"f_{c}" for c in NUMERIC])
+    fills = ", ".join(f"coalesce({c}, {m!r}D) AS x_{c[2:]}" for c, m in medians.items())
+    indexed = [f"i_{c}" for c in CATEGORICAL]
+    hot = [f"x_{c}" for c in CATEGORICAL]
+    return [
+        SQLTransformer(statement=f"SELECT *, {fills} FROM __THIS__"),
+        StringIndexer(inputCols=[f"f_{c}" for c in CATEGORICAL], outputCols=indexed,
+                      handleInvalid="keep", stringOrderType="alphabetAsc"),
+        OneHotEncoder(inputCols=indexed, outputCols=hot, dropLast=True),
+        VectorAssembler(inputCols=[f"x_{c}" for c in NUMERIC] + hot, outputCol="features"),
+    ]
+
+
+def feature_names(transformed: DataFrame) -> list[str]:
+    """Names of the vector positions, from the column's metadata."""
+    attrs = transformed.schema["features"].metadata["ml_attr"]["attrs"]
+    flat = sorted((a for group in attrs.values() for a in group), key=lambda a: a["idx"])
+    return [a["name"].removeprefix("x_") for a in flat]

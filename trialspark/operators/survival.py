@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import bisect
+import json
+import math
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.storagelevel import StorageLevel
 
 from trialspark.functions import columns as X, constants as C, filters as P
-from trialspark.operators.ordered import join_on
+from trialspark.sources.registry import path_exists
 
 
 def kaplan_meier(
@@ -37,3 +44,210 @@ def phase_survival_curves(modeling: DataFrame, phases: Sequence[str] = C.SINGLE_
     d = modeling.where(P.known_positive(C.DURATION_TARGET) & F.col("phase").isin(*phases))
     curve = kaplan_meier(d, C.DURATION_TARGET, X.status_key("overall_status") == "COMPLETED", ["phase"], min_rows)
     return curve.withColumn("years", F.col("days") / 365.25)
+
+
+# ---- Cox proportional hazards -------------------------------------------------------
+
+@dataclass
+class CoxModel:
+    """Coefficients on standardised covariates, their scale, and the baseline hazard by day."""
+
+    names: list[str]
+    beta: list[float]
+    covariance: list[list[float]]
+    means: list[float]
+    scales: list[float]
+    days: list[float]
+    cumulative_hazard: list[float]
+    medians: dict[str, float]
+    categories: dict[str, list[str]]
+
+    def hazard_ratios(self, spark: SparkSession, top: int = 20) -> DataFrame:
+        """exp(coef) with 95 % bounds and p-value on the original scale, largest effects first."""
+        rows = []
+        for i, name in enumerate(self.names):
+            coef, se = self.beta[i] / self.scales[i], math.sqrt(max(self.covariance[i][i], 0.0)) / self.scales[i]
+            z = coef / se if se > 0 else 0.0
+            bound = lambda v: math.exp(min(max(v, -700.0), 700.0))
+            rows.append((name, coef, se, bound(coef), bound(coef - 1.96 * se), bound(coef + 1.96 * se), z,
+                         math.erfc(abs(z) / math.sqrt(2))))
+        d = spark.createDataFrame(
+            rows, "covariate string, coef double, se double, hazard_ratio double, ci_low double, ci_high double, z double, p double")
+        return d.orderBy(F.abs(F.col("coef")).desc(), "covariate").limit(top).orderBy(F.col("hazard_ratio").desc(), "covariate")
+
+    def _linear_predictor(self, df: DataFrame) -> Column:
+        x = cox_covariates(df, self.medians, self.categories)
+        terms = [(x[n] - m) / s * b for n, m, s, b in zip(self.names, self.means, self.scales, self.beta)]
+        return sum(terms[1:], terms[0])
+
+    def predict_survival(self, df: DataFrame, time_points: Sequence[int] = C.SURVIVAL_TIME_POINTS) -> DataFrame:
+        """S_t<days> columns: probability of still running at each time point."""
+        risk = F.exp(self._linear_predictor(df))
+        out = {}
+        for t in time_points:
+            k = bisect.bisect_right(self.days, t)
+            h = self.cumulative_hazard[k - 1] if k else 0.0
+            out[f"S_t{t}"] = F.exp(-F.lit(h) * risk)
+        return df.withColumns(out)
+
+    def predict_median(self, df: DataFrame, out: str = "pred_median_duration_days") -> DataFrame:
+        """First day with S <= 0.5; infinity when the curve never gets there."""
+        days = np.array([*self.days, np.inf])
+        hazard = np.array(self.cumulative_hazard)
+
+        @F.pandas_udf("double")
+        def first_day(needed: pd.Series) -> pd.Series:
+            return pd.Series(days[np.searchsorted(hazard, needed.to_numpy(), side="left")])
+
+        return df.withColumn(out, first_day(F.lit(math.log(2.0)) / F.exp(self._linear_predictor(df))))
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Coefficient, baseline and setting tables as parquet."""
+        meta = json.dumps({k: getattr(self, k) for k in (
+            "names", "beta", "covariance", "means", "scales", "medians", "categories")})
+        spark.createDataFrame([(meta,)], "meta string").write.mode("overwrite").parquet(f"{path}/meta")
+        spark.createDataFrame(list(zip(self.days, self.cumulative_hazard)), "day double, cumulative_hazard double"
+                              ).write.mode("overwrite").parquet(f"{path}/baseline")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> "CoxModel":
+        if not path_exists(spark, f"{path}/meta"):
+            raise FileNotFoundError(f"no saved model at {path}")
+        meta = json.loads(spark.read.parquet(f"{path}/meta").first()["meta"])
+        base = spark.read.parquet(f"{path}/baseline").orderBy("day").collect()
+        return cls(days=[r["day"] for r in base], cumulative_hazard=[r["cumulative_hazard"] for r in base], **meta)
+
+
+def cox_covariates(df: DataFrame, medians: dict[str, float], categories: dict[str, list[str]]) -> dict[str, Column]:
+    """Named covariate columns: filled numbers, flags, and one 0/1 column per category but the first."""
+    out: dict[str, Column] = {}
+    for c in C.NUMERIC_FEATURES:
+        value = X.parse_number(c) if c in df.columns else F.lit(None).cast("double")
+        value = X.log_scaled(value) if c in C.LOG_FEATURES else value
+        out[c] = F.coalesce(value, F.lit(medians.get(f"f_{c}", 0.0)))
+    for c in C.BOOLEAN_FEATURES:
+        out[c] = F.coalesce(F.col(c).cast("double"), F.lit(0.0)) if c in df.columns else F.lit(0.0)
+    for c, values in categories.items():
+        text = F.coalesce(F.col(c).cast("string"), F.lit("Unknown")) if c in df.columns else F.lit("Unknown")
+        for v in values[1:]:
+            out[f"{c}_{v}"] = (text == v).cast("double")
+    return out
+
+
+def fit_cox(
+    modeling: DataFrame, penalizer: float = 0.1, min_days: float = 1, max_iter: int = 25, tolerance: float = 1e-7,
+    max_categories: int = 200,
+) -> CoxModel:
+    """Penalised Cox model of completion: Efron ties, mean log partial likelihood - penalizer/2 * |beta|^2.
+
+    Each Newton step is one Spark job that reduces the studies to one row of sums per distinct duration
+    day; only these rows (thousands, whatever the number of studies) reach the driver.
+    """
+    from trialspark.ml.prep import exact_medians, feature_frame
+
+    rows = modeling.where(F.col(C.DURATION_TARGET).isNotNull() & (F.col(C.DURATION_TARGET) >= min_days))
+    frame = feature_frame(rows)
+    medians = exact_medians(frame, [f"f_{c}" for c in C.NUMERIC_FEATURES])
+    categories = {}
+    for c in C.CATEGORICAL_FEATURES:
+        found = frame.select(f"f_{c}").distinct().limit(max_categories + 1).collect()
+        if len(found) > max_categories:
+            raise ValueError(f"{c} has more than {max_categories} values: group them before fitting")
+        categories[c] = sorted(r[0] for r in found)
+    covariates = cox_covariates(rows, medians, categories)
+    d = rows.select(
+        F.floor(F.col(C.DURATION_TARGET)).cast("double").alias("day"),
+        F.coalesce(X.status_key("overall_status") == "COMPLETED", F.lit(False)).alias("event"),
+        F.array(*covariates.values()).alias("x"),
+    ).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _newton(d, list(covariates), medians, categories, penalizer, max_iter, tolerance)
+    finally:
+        d.unpersist()
+
+
+def _newton(d, names, medians, categories, penalizer, max_iter, tolerance) -> CoxModel:
+    p = len(names)
+    stats = d.agg(F.count(F.lit(1)).alias("n"), *[
+        f(F.col("x")[i]).alias(f"{k}{i}") for i in range(p) for k, f in (("m", F.avg), ("s", F.stddev_samp))]).first()
+    if stats["n"] < 2:
+        raise ValueError("too few studies with a duration")
+    means = np.array([stats[f"m{i}"] for i in range(p)], dtype=float)
+    scales = np.array([stats[f"s{i}"] or 0.0 for i in range(p)], dtype=float)
+    scales[~(scales > 1e-12)] = 1.0
+    n, beta, upper = stats["n"], np.zeros(p), np.triu_indices(p)
+
+    for _ in range(max_iter):
+        day_sums = _day_sums(d, beta, means, scales)
+        gradient, information = _partial_likelihood(day_sums, p, upper)
+        gradient = gradient / n - penalizer * beta
+        information = information / n + penalizer * np.eye(p)
+        step = np.linalg.solve(information, gradient)
+        beta = beta + step
+        if np.max(np.abs(step)) < tolerance:
+            break
+    day_sums = _day_sums(d, beta, means, scales)
+    _, information = _partial_likelihood(day_sums, p, upper)
+    covariance = np.linalg.inv(information + n * penalizer * np.eye(p))
+    at_risk = np.cumsum(day_sums[::-1, 2])[::-1]
+    hazard = np.cumsum(day_sums[:, 1] / at_risk)
+    return CoxModel(names, beta.tolist(), covariance.tolist(), means.tolist(), scales.tolist(),
+                    day_sums[:, 0].tolist(), hazard.tolist(), medians, categories)
+
+
+def _day_sums(d: DataFrame, beta: np.ndarray, means: np.ndarray, scales: np.ndarray) -> np.ndarray:
+    """Per day: day, events, then risk sums of all rows, of events, and the covariate sum of events."""
+    p = len(beta)
+    upper = np.triu_indices(p)
+
+    def by_day(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        totals: dict[float, np.ndarray] = {}
+        for batch in batches:
+            if len(batch) == 0:
+                continue
+            z = (np.stack(batch["x"].to_numpy()) - means) / scales
+            r = np.exp(z @ beta)
+            e = batch["event"].to_numpy(dtype=float)
+            outer = (z[:, :, None] * z[:, None, :])[:, upper[0], upper[1]]
+            risk = np.column_stack([r, r[:, None] * z, r[:, None] * outer])
+            sums = np.column_stack([e, risk, e[:, None] * risk, e[:, None] * z])
+            days, where = np.unique(batch["day"].to_numpy(), return_inverse=True)
+            grouped = np.zeros((len(days), sums.shape[1]))
+            np.add.at(grouped, where, sums)
+            for day, row in zip(days, grouped):
+                totals[day] = totals[day] + row if day in totals else row
+        yield pd.DataFrame({"day": list(totals), "sums": list(totals.values())})
+
+    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        totals: dict[float, np.ndarray] = {}
+        for batch in batches:
+            for day, row in zip(batch["day"], batch["sums"]):
+                totals[day] = totals[day] + row if day in totals else np.array(row)
+        yield pd.DataFrame({"day": list(totals), "sums": list(totals.values())})
+
+    schema = "day double, sums array<double>"
+    merged = d.mapInPandas(by_day, schema).repartition("day").mapInPandas(merge, schema).toPandas()
+    merged = merged.sort_values("day")
+    return np.column_stack([merged["day"].to_numpy(), np.stack(merged["sums"].to_numpy())])
+
+
+def _partial_likelihood(day_sums: np.ndarray, p: int, upper) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient and information of the log partial likelihood with Efron's tie correction."""
+    q = len(upper[0])
+    events = day_sums[:, 1]
+    cut = lambda start, width: day_sums[:, start:start + width]
+    block = 1 + p + q
+    risk = np.cumsum(cut(2, block)[::-1], axis=0)[::-1]
+    tied, x_events = cut(2 + block, block), cut(2 + 2 * block, p)
+    gradient, information = np.zeros(p), np.zeros((p, p))
+    for i in np.flatnonzero(events):
+        share = np.arange(int(events[i])) / events[i]
+        sums = risk[i][None, :] - share[:, None] * tied[i][None, :]
+        s0 = sums[:, :1]
+        mean = sums[:, 1:1 + p] / s0
+        gradient += x_events[i] - mean.sum(axis=0)
+        second = np.zeros((p, p))
+        second[upper] = (sums[:, 1 + p:] / s0).sum(axis=0)
+        second = second + np.triu(second, 1).T
+        information += second - mean.T @ mean
+    return gradient, information

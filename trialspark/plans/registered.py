@@ -14,7 +14,7 @@ from trialspark.operators import (
 )
 from trialspark.operators.ordered import exact_percentiles
 from trialspark.plans.modeling import build_modeling_table, competing_trials, enrollment_extract
-from trialspark.session import shared_folder
+from trialspark.session import checkpointed, shared_folder
 from trialspark.sources.bindings import registry, table
 
 YEAR, AS_OF = 1996, "2001-08-01"
@@ -322,3 +322,92 @@ def _longest_line(text: str) -> dict:
 def criteria_enrichment(spark: SparkSession, sf: str) -> DataFrame:
     cache = f"{shared_folder(spark)}/criteria-cache-{uuid.uuid4().hex}"
     return K.enrich(table(spark, sf, "documents").select("doc_id", "text"), ["text"], _longest_line, cache).drop("text")
+
+
+# ---- models ------------------------------------------------------------------------
+# Small trees keep the example quick; every model trains on all labeled studies of the tables.
+
+_SMALL_TREES = {"maxIter": 5, "maxDepth": 3}
+_FITTED: dict[tuple[str, str, str], object] = {}
+
+
+def _once(kind: str, spark: SparkSession, sf: str, build):
+    key = (kind, spark.sparkContext.applicationId, sf)
+    if key not in _FITTED:
+        _FITTED[key] = build()
+    return _FITTED[key]
+
+
+def _stored_modeling(spark: SparkSession, sf: str) -> DataFrame:
+    """The modeling table written once, since training reads it many times."""
+    return _once("modeling", spark, sf, lambda: checkpointed(modeling(spark, sf)))
+
+
+def _forecaster(spark: SparkSession, sf: str):
+    from trialspark.ml.train import Forecaster
+
+    return _once("trees", spark, sf, lambda: Forecaster(_SMALL_TREES, _SMALL_TREES).fit(_stored_modeling(spark, sf)))
+
+
+def _cox(spark: SparkSession, sf: str) -> U.CoxModel:
+    return _once("cox", spark, sf, lambda: U.fit_cox(_stored_modeling(spark, sf)))
+
+
+@_query
+def train_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    from trialspark.ml.train import Forecaster
+
+    return Forecaster(_SMALL_TREES, _SMALL_TREES).evaluate(_stored_modeling(spark, sf))
+
+
+@_query
+def train_regressor(spark: SparkSession, sf: str) -> DataFrame:
+    m = _stored_modeling(spark, sf)
+    scored = _forecaster(spark, sf).predict(m, ("nct_id", C.DURATION_TARGET))
+    return V.regression_diagnostics(scored, C.DURATION_TARGET, "pred_duration_days")
+
+
+@_query
+def score(spark: SparkSession, sf: str) -> DataFrame:
+    return _forecaster(spark, sf).predict(_stored_modeling(spark, sf))
+
+
+@_query
+def feature_importance(spark: SparkSession, sf: str) -> DataFrame:
+    return _forecaster(spark, sf).feature_importances(spark)
+
+
+@_query
+def tree_node_importance(spark: SparkSession, sf: str) -> DataFrame:
+    from trialspark.ml.explain import node_importance
+
+    f = _forecaster(spark, sf)
+    return node_importance(spark, f.classifier.stages[-1], f.names)
+
+
+@_query
+def importance_divergence(spark: SparkSession, sf: str) -> DataFrame:
+    from trialspark.ml.explain import importance_divergence as divergence
+
+    return divergence(_forecaster(spark, sf).feature_importances(spark))
+
+
+@_query
+def explain_scores(spark: SparkSession, sf: str) -> DataFrame:
+    from trialspark.ml import explain, prep
+
+    f = _forecaster(spark, sf)
+    frame = prep.feature_frame(_stored_modeling(spark, sf), ["nct_id"])
+    return explain.mean_contributions(explain.explain(spark, f.classifier, frame, "nct_id", f.names), f.names)
+
+
+@_query
+def cox_coefficients(spark: SparkSession, sf: str) -> DataFrame:
+    return _cox(spark, sf).hazard_ratios(spark)
+
+
+@_query
+def survival_probabilities(spark: SparkSession, sf: str) -> DataFrame:
+    model = _cox(spark, sf)
+    d = model.predict_median(model.predict_survival(_stored_modeling(spark, sf)))
+    return d.select("nct_id", *[f"S_t{t}" for t in C.SURVIVAL_TIME_POINTS], "pred_median_duration_days")
