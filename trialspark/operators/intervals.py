@@ -90,23 +90,27 @@ def _dominance(iv: DataFrame, by: list[str]) -> DataFrame:
     level. Groups without an inverted interval take no part.
     """
     key = [*by, "_ch", "_node"]
-    groups = iv.groupBy(*by).agg(F.max("_s").alias("_top"), F.max(F.expr("_e < _s")).alias("_any"))
-    groups = groups.where("_any").drop("_any")
+    groups = iv.groupBy(*by).agg(
+        F.max("_s").alias("_top"), F.min("_e").alias("_low"), F.max(F.expr("_s - _e")).alias("_gap"))
+    groups = groups.where("_gap > 0")
     iv = join_on(iv, groups, by) if by else join_on(iv, groups, []).where("_top IS NOT NULL")
 
-    levels = ", ".join(f"shiftright(_top - _s, {4 * k}) * 8L + {k}" for k in range(_DIGITS))
-    rows = iv.select(
-        *by, F.expr("explode(if(_e < _s, array(0, 1), array(1)))").alias("_ch"), "_s", "_e", "_top", "_n"
-    ).select(*by, "_ch", F.expr(f"explode(array({levels}))").alias("_node"), F.col("_e").alias("_y"), "_n")
-
-    bound = "greatest(_top - _e, 0)"
-    siblings = (
-        f"flatten(transform(sequence(0, {_DIGITS - 1}), k -> transform(filter(sequence(0, 15),"
-        f" j -> j < (shiftright({bound}, 4 * k) & 15)),"
-        f" j -> (shiftright({bound}, 4 * k) - (shiftright({bound}, 4 * k) & 15) + j) * 8L + k)))"
-    )
-    asks = iv.where(f"{bound} > 0").select(
-        *by, "_s", "_e", F.expr("if(_e < _s, 1, 0)").alias("_ch"), F.expr(f"explode({siblings})").alias("_node"))
+    # No bound exceeds top - low, so the levels above its leading digit stay unused.
+    levels = F.expr(f"explode(filter(array({', '.join(map(str, range(_DIGITS)))}),"
+                    " k -> shiftright(_top - _low, 4 * k) > 0))").alias("_k")
+    rows = iv.select(*by, "_s", "_e", "_top", "_n", levels).select(
+        *by, F.expr("shiftright(_top - _s, 4 * _k) * 8L + _k").alias("_node"), F.col("_e").alias("_y"), "_n",
+        F.expr("explode(if(_e < _s, array(0, 1), array(1)))").alias("_ch"))
+
+    # A well-formed interval fits only into a gap longer than itself.
+    asks = iv.where("_e < _top AND _low < _s AND (_e < _s OR _e - _s <= _gap - 2)")
+    asks = asks.select(*by, "_s", "_e", "_top", levels).select(
+        *by, "_s", "_e", "_k", F.expr("shiftright(_top - _e, 4 * _k)").alias("_prefix"))
+    asks = asks.where("_prefix & 15 > 0").select(
+        *by, "_s", "_e", "_k", "_prefix", F.expr("explode(sequence(1, _prefix & 15))").alias("_back"))
+    asks = asks.select(
+        *by, "_s", "_e", F.expr("if(_e < _s, 1, 0)").alias("_ch"),
+        F.expr("(_prefix - _back) * 8L + _k").alias("_node"))
     probe_days = asks.select(*key, F.col("_s").alias("_y"), F.expr("0L").alias("_n"))
     w = Window.partitionBy(*key).orderBy("_y").rowsBetween(Window.unboundedPreceding, -1)
     below = (

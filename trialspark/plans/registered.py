@@ -63,8 +63,19 @@ def _from_base(base: str, **queries) -> None:
         REGISTERED[name] = lambda spark, sf, fn=fn: fn(table(spark, sf, base))
 
 
+_BUILT: dict[tuple[str, str, str], object] = {}
+
+
+def _once(kind: str, spark: SparkSession, sf: str, build):
+    """Plans and fitted models are built once per application and folder."""
+    key = (kind, spark.sparkContext.applicationId, sf)
+    if key not in _BUILT:
+        _BUILT[key] = build()
+    return _BUILT[key]
+
+
 def modeling(spark: SparkSession, sf: str) -> DataFrame:
-    return build_modeling_table(registry(spark, sf), YEAR)
+    return _once("modeling plan", spark, sf, lambda: build_modeling_table(registry(spark, sf), YEAR))
 
 
 def _market(t) -> DataFrame:
@@ -328,19 +339,11 @@ def criteria_enrichment(spark: SparkSession, sf: str) -> DataFrame:
 # Small trees keep the example quick; every model trains on all labeled studies of the tables.
 
 _SMALL_TREES = {"maxIter": 5, "maxDepth": 3}
-_FITTED: dict[tuple[str, str, str], object] = {}
-
-
-def _once(kind: str, spark: SparkSession, sf: str, build):
-    key = (kind, spark.sparkContext.applicationId, sf)
-    if key not in _FITTED:
-        _FITTED[key] = build()
-    return _FITTED[key]
 
 
 def _stored_modeling(spark: SparkSession, sf: str) -> DataFrame:
     """The modeling table written once, since training reads it many times."""
-    return _once("modeling", spark, sf, lambda: checkpointed(modeling(spark, sf)))
+    return _once("modeling table", spark, sf, lambda: checkpointed(modeling(spark, sf)))
 
 
 def _forecaster(spark: SparkSession, sf: str):
