@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 import math
+import sys
 import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from trialspark.session import shared_folder
 
+# The helpers below run on the executors; ship them with the task instead of importing them there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def node_table(spark: SparkSession, tree_model) -> DataFrame:
     """The nodes of a tree ensemble as rows, read from its saved form."""

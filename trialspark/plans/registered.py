@@ -324,15 +324,14 @@ _from_base(
 _from_base("orders", comparison_rows=lambda d: K.comparison_rows(_comparison(d), "o_orderkey"))
 
 
-def _longest_line(text: str) -> dict:
-    lines = [line for line in (text or "").splitlines() if line.strip()]
-    return {"n_lines": len(lines), "longest": max((len(x) for x in lines), default=0)}
-
-
 @_query
 def criteria_enrichment(spark: SparkSession, sf: str) -> DataFrame:
+    def line_facts(text: str) -> dict:
+        lines = [line for line in (text or "").splitlines() if line.strip()]
+        return {"n_lines": len(lines), "longest": max((len(x) for x in lines), default=0)}
+
     cache = f"{shared_folder(spark)}/criteria-cache-{uuid.uuid4().hex}"
-    return K.enrich(table(spark, sf, "documents").select("doc_id", "text"), ["text"], _longest_line, cache).drop("text")
+    return K.enrich(table(spark, sf, "documents").select("doc_id", "text"), ["text"], line_facts, cache).drop("text")
 
 
 # ---- models ------------------------------------------------------------------------
