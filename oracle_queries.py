@@ -345,8 +345,11 @@ def build() -> dict[str, str]:
         FROM (SELECT name, city, country, f.nct_id, any_value(g.enrollment) AS enrollment, any_value({KEY('g.overall_status')}) AS st, sum(latitude) AS lat, count(latitude) AS n_lat, sum(longitude) AS lon, count(longitude) AS n_lon
         FROM facilities f JOIN gear g ON f.nct_id = g.nct_id WHERE {NAMED} GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3"""
     add("top_sites", f"{sites_agg} ORDER BY n_trials DESC, completion_rate DESC NULLS LAST, name NULLS LAST, city NULLS LAST, country NULLS LAST LIMIT 20")
-    zs = " + ".join(f"{w} * ((coalesce({c}, 0) - avg(coalesce({c}, 0)) OVER ()) / stddev_pop(coalesce({c}, 0)) OVER ())" for c, w in (("completion_rate", 0.35), ("avg_enrollment", 0.25), ("n_trials", 0.20)))
-    add("site_rank", f"SELECT name, city, country, n_trials, completion_rate, {R(zs, 4)} AS performance_score FROM ({sites_agg})")
+    zs = " + ".join(f"{w} * ((coalesce({c}, 0) - avg(coalesce({c}, 0)) OVER ()) / stddev_pop(coalesce({c}, 0)) OVER ())" for c, w in (
+        ("completion_rate", 0.35), ("avg_enrollment", 0.25), ("n_trials", 0.20), ("late_phase_share", 0.10), ("n_conditions", 0.10)))
+    late = f"""SELECT name, city, country, {R(f"avg(CASE WHEN {PHASE('g.phase')} IN ('Phase 2', 'Phase 3') THEN 1.0 ELSE 0.0 END)", 6)} AS late_phase_share, count(DISTINCT lower(condition)) AS n_conditions
+        FROM (SELECT DISTINCT name, city, country, nct_id FROM facilities WHERE {NAMED}) v JOIN gear g ON v.nct_id = g.nct_id LEFT JOIN first_condition fc ON fc.nct_id = g.nct_id GROUP BY 1, 2, 3"""
+    add("site_rank", f"SELECT name, city, country, n_trials, completion_rate, late_phase_share, n_conditions, {R(zs, 4)} AS performance_score FROM ({sites_agg}) JOIN ({late}) USING (name, city, country)")
     add("site_network_nodes", "SELECT * FROM nodes", NODES)
     add("site_network_edges", "SELECT a.site_key AS site_a, b.site_key AS site_b, count(DISTINCT a.nct_id) AS shared_trials FROM site_rows a JOIN site_rows b ON a.nct_id = b.nct_id AND a.site_key < b.site_key WHERE a.site_key IN (SELECT site_key FROM nodes) AND b.site_key IN (SELECT site_key FROM nodes) GROUP BY 1, 2", NODES)
     add("site_pairs", """SELECT a.condition, a.country, a.facility_name AS facility_name_a, a.city AS city_a, b.facility_name AS facility_name_b, b.city AS city_b, count(DISTINCT a.nct_id) AS shared_trials

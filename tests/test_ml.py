@@ -70,6 +70,17 @@ def test_holdout_beats_chance(modeling, model):
     assert r["n_test"] == 50 and 0 < r["n_pos"] < 50 and r["roc_auc"] > 0.5 and 0 <= r["f1"] <= 1
 
 
+def test_weight_sweep_and_cross_validation(modeling):
+    from trialspark.operators.evaluation import fold_summary
+
+    f = Forecaster({**SMALL, "maxIter": 2}, SMALL)
+    assert sorted(r["positive_weight"] for r in f.weight_sweep(modeling, (1, 5)).collect()) == [1.0, 5.0]
+    folds = f.cross_validate(modeling, folds=2)
+    assert sum(r["n_test"] for r in folds.collect()) == 250
+    r = fold_summary(folds, ["roc_auc"]).first()
+    assert 0 <= r["roc_auc_mean"] <= 1 and r["roc_auc_std"] >= 0
+
+
 def test_importances(spark, modeling, model):
     rows = model.feature_importances(spark).collect()
     assert len(rows) == len(model.names) and sum(r["clf_importance"] for r in rows) == pytest.approx(1)

@@ -44,7 +44,7 @@ def intensity(active: Column, total: Column, method: str = "ceiling", ceiling: f
     raise ValueError(f"unknown intensity method: {method}")
 
 
-def _funnel(as_of: Column) -> list[Column]:
+def funnel_columns(as_of: Column) -> list[Column]:
     """Status funnel, recent starts and enrollment pressure, as one pass of conditional counts."""
     recent = lambda n: F.count_if(P.started_within_months("start_date", as_of, n))
     return [
@@ -61,7 +61,7 @@ def _funnel(as_of: Column) -> list[Column]:
 
 def landscape_summary(tables: TrialTables, condition: str, as_of=None, method: str = "ceiling") -> DataFrame:
     """Scalar landscape metrics; all zero when nothing matches."""
-    one = condition_studies(tables, condition).agg(*_funnel(X.as_of_date(as_of)))
+    one = condition_studies(tables, condition).agg(*funnel_columns(X.as_of_date(as_of)))
     return one.select(
         F.lit(condition).alias("condition"), "*",
         intensity(F.col("active_trials"), F.col("total_trials"), method).alias("competition_intensity"))
@@ -96,7 +96,7 @@ def landscape_by_condition(tables: TrialTables, as_of=None) -> DataFrame:
         "nct_id", F.col("downcase_name").alias("condition")).distinct()
     studies = tables.studies.where(P.interventional())
     rows = pairs.join(studies.select("nct_id", "overall_status", "enrollment", "start_date"), "nct_id")
-    return rows.groupBy("condition").agg(*_funnel(X.as_of_date(as_of))).withColumn(
+    return rows.groupBy("condition").agg(*funnel_columns(X.as_of_date(as_of))).withColumn(
         "competition_intensity", intensity(F.col("active_trials"), F.col("total_trials")))
 
 

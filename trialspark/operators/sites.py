@@ -67,7 +67,7 @@ def _completion_rate() -> Column:
     return X.stable_round(F.col("n_completed") / decided, 4)
 
 
-def top_sites(tables: TrialTables, condition: str, n: int | None = 20, basis: str = "studies") -> DataFrame:
+def top_sites(tables: TrialTables, condition: str | None, n: int | None = 20, basis: str = "studies") -> DataFrame:
     """Named sites by volume, then completion rate.
 
     ``basis='studies'`` counts outcomes once per (site, study); ``'rows'`` once per facility row.
@@ -95,17 +95,34 @@ def top_sites(tables: TrialTables, condition: str, n: int | None = 20, basis: st
         *[F.col(c).asc_nulls_last() for c in SITE]).limit(n)
 
 
+# Fixed weights of the documented five-metric site score.
+COMPOSITE_WEIGHTS = {
+    "completion_rate": 0.35, "avg_enrollment": 0.25, "n_trials": 0.20, "late_phase_share": 0.10, "n_conditions": 0.10,
+}
+
+
+def site_metrics(tables: TrialTables, condition: str | None = None) -> DataFrame:
+    """``top_sites`` metrics of every named site, its Phase 2/3 share and its number of conditions."""
+    late = X.phase_canonical("phase").isin("Phase 2", "Phase 2/Phase 3", "Phase 3").cast("double")
+    studies = condition_studies(tables, condition).select("nct_id", late.alias("late"))
+    first = primary_value(tables.conditions, "downcase_name", "condition")
+    visits = tables.facilities.where(P.named_site()).select(*SITE, "nct_id").distinct()
+    extra = visits.join(studies, "nct_id").join(first, "nct_id", "left").groupBy(*SITE).agg(
+        X.stable_round(F.avg("late"), 6).alias("late_phase_share"), F.count_distinct("condition").alias("n_conditions"))
+    return join_on(top_sites(tables, condition, None), extra, list(SITE))
+
+
 def site_zscores(
     sites: DataFrame, weights: dict[str, float] | None = None, out: str = "performance_score"
 ) -> DataFrame:
     """Weighted sum of z-scores across all sites; means and deviations come from one scalar row."""
-    weights = weights or {"completion_rate": 0.35, "avg_enrollment": 0.25, "n_trials": 0.20}
+    weights = weights or COMPOSITE_WEIGHTS
     value = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
     stats = sites.agg(*[f(value(c)).alias(f"_{k}_{c}") for c in weights
                         for k, f in (("m", F.avg), ("d", F.stddev_pop))])
     d = join_on(sites, stats, [])
     score = sum(
-        (w * F.when(F.col(f"_d_{c}") > 0, (value(c) - F.col(f"_m_{c}")) / F.col(f"_d_{c}")).otherwise(0.0)
+        (w * F.when(F.col(f"_d_{c}") > 1e-12, (value(c) - F.col(f"_m_{c}")) / F.col(f"_d_{c}")).otherwise(0.0)
          for c, w in weights.items()), F.lit(0.0))
     return d.withColumn(out, X.stable_round(score, 4)).drop(*stats.columns)
 

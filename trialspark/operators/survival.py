@@ -240,14 +240,27 @@ def _partial_likelihood(day_sums: np.ndarray, p: int, upper) -> tuple[np.ndarray
     risk = np.cumsum(cut(2, block)[::-1], axis=0)[::-1]
     tied, x_events = cut(2 + block, block), cut(2 + 2 * block, p)
     gradient, information = np.zeros(p), np.zeros((p, p))
+
+    def square(packed: np.ndarray) -> np.ndarray:
+        full = np.zeros((p, p))
+        full[upper] = packed
+        return full + np.triu(full, 1).T
+
     for i in np.flatnonzero(events):
-        share = np.arange(int(events[i])) / events[i]
-        sums = risk[i][None, :] - share[:, None] * tied[i][None, :]
-        s0 = sums[:, :1]
-        mean = sums[:, 1:1 + p] / s0
-        gradient += x_events[i] - mean.sum(axis=0)
-        second = np.zeros((p, p))
-        second[upper] = (sums[:, 1 + p:] / s0).sum(axis=0)
-        second = second + np.triu(second, 1).T
-        information += second - mean.T @ mean
+        (r0, r1, r2), (t0, t1, t2) = ((v[i][0], v[i][1:1 + p], v[i][1 + p:]) for v in (risk, tied))
+        a0, a1, b0, b1, b2 = _efron_sums(r0, t0, int(events[i]))
+        gradient += x_events[i] - (a0 * r1 - a1 * t1)
+        cross = np.outer(r1, t1)
+        means = b0 * np.outer(r1, r1) - b1 * (cross + cross.T) + b2 * np.outer(t1, t1)
+        information += square(a0 * r2 - a1 * t2) - means
     return gradient, information
+
+
+def _efron_sums(r0: float, t0: float, d: int, chunk: int = 1_000_000) -> np.ndarray:
+    """Sums over k < d of 1/w, s/w, 1/w^2, s/w^2, s^2/w^2 with s = k/d, w = r0 - s t0, in bounded memory."""
+    totals = np.zeros(5)
+    for start in range(0, d, chunk):
+        s = np.arange(start, min(start + chunk, d)) / d
+        w = 1.0 / (r0 - s * t0)
+        totals += [w.sum(), (s * w).sum(), (w * w).sum(), (s * w * w).sum(), (s * s * w * w).sum()]
+    return totals

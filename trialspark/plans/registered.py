@@ -116,7 +116,7 @@ _from_tables(
         "nct_id", "overall_status", "phase", "phase_numeric", "enrollment", "start_date", "has_dmc",
         "is_fda_regulated_drug", "is_fda_regulated_device"),
     phase_ordinal=_phase_ordinal,
-    status_funnel=lambda t: L.condition_studies(t, None).agg(*L._funnel(X.as_of_date(AS_OF))),
+    status_funnel=lambda t: L.condition_studies(t, None).agg(*L.funnel_columns(X.as_of_date(AS_OF))),
     labels_and_stop_reason=_labels,
     country_counts=lambda t: S.country_counts(t.countries),
     facility_counts=lambda t: S.facility_counts(t.facilities),
@@ -187,8 +187,8 @@ _from_tables(
     country_performance=lambda t: T.country_performance(t),
     country_performance_condition=lambda t: T.country_performance(t, CONDITION),
     top_sites=lambda t: T.top_sites(t, CONDITION),
-    site_rank=lambda t: T.site_zscores(T.top_sites(t, CONDITION, None)).select(
-        *T.SITE, "n_trials", "completion_rate", "performance_score"),
+    site_rank=lambda t: T.site_zscores(T.site_metrics(t, CONDITION)).select(
+        *T.SITE, "n_trials", "completion_rate", "late_phase_share", "n_conditions", "performance_score"),
     site_network_nodes=lambda t: N.network_nodes(t, CONDITION),
     site_network_edges=lambda t: N.network_edges(t, CONDITION),
     site_pairs=lambda t: N.shared_trial_edges(_facility_rows(t)),
