@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trialspark.llm.decontamination import find_contamination
+from trialspark.llm.language_id import fit_language_models, identify_language
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +28,20 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(names, 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
 
 
+def bucket(key: str, n: int):
+    """The remainder of the CRC-32 of a key written as text."""
+    return F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(n))
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("nct_id"), F.col("text").alias("criteria"), "lang")
+    models = fit_language_models(docs.where(bucket("nct_id", 4) != 2))
+    found = identify_language(docs, models)
+    return found.select(F.col("nct_id").alias("doc_id"), (bucket("nct_id", 4) == 2).alias("held_out"), F.col("language").alias("lang_pred"),
+                        "score", "cross_entropy")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontaminate": op4_decontaminate,
+    "op8_language": op8_language,
 }
