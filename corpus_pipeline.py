@@ -6,18 +6,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trialspark.llm.decontamination import remove_contamination
+from trialspark.llm.language_id import calibrate, fit_language_models, rejected, score_languages
 
 
 def with_length(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.length("text").cast("long"))
 
 
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fit no learned language go; a missing ``lang`` is filled with the predicted one."""
+    models = fit_language_models(docs, text="text")
+    scored = score_languages(docs, models, text="text")
+    kept = scored.where(~rejected(calibrate(scored)))
+    own = [F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)]
+    at = docs.columns.index("lang")
+    own[at] = F.coalesce(F.col(f"c{at}"), "language").alias("lang")
+    return kept.select(*own)
+
+
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark passages go from the texts; a text of nothing else goes whole."""
     return with_length(remove_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), text="text"))
 
 
-STAGES = [("decontaminate", decontaminate)]
+STAGES = [("language_id", identify_language), ("decontaminate", decontaminate)]
 ORACLE_SQL = None
 
 
