@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from trialspark.llm.decontamination import find_contamination
 from trialspark.llm.language_id import fit_language_models, identify_language
+from trialspark.llm.simhash import near_duplicates
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +29,12 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(names, 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(eligibilities(spark, sf_dir))
+    return found.select(F.col("nct_id").alias("doc_id"), F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"),
+                        F.col("component").alias("component_id"), "links")
+
+
 def bucket(key: str, n: int):
     """The remainder of the CRC-32 of a key written as text."""
     return F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(n))
@@ -43,5 +50,6 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontaminate": op4_decontaminate,
+    "op5_simhash": op5_simhash,
     "op8_language": op8_language,
 }
