@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from trialspark.llm.decontamination import remove_contamination
 from trialspark.llm.language_id import calibrate, fit_language_models, rejected, score_languages
+from trialspark.llm.simhash import near_duplicates
 
 
 def with_length(docs: DataFrame) -> DataFrame:
@@ -24,12 +25,18 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return kept.select(*own)
 
 
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the one with the least id, stays of every group of near copies; rows without an id stay."""
+    copies = near_duplicates(docs, key="doc_id", text="text").where("doc_id <> component").select("doc_id").distinct()
+    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+
+
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark passages go from the texts; a text of nothing else goes whole."""
     return with_length(remove_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), text="text"))
 
 
-STAGES = [("language_id", identify_language), ("decontaminate", decontaminate)]
+STAGES = [("language_id", identify_language), ("simhash", drop_near_duplicates), ("decontaminate", decontaminate)]
 ORACLE_SQL = None
 
 
