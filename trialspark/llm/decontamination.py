@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from trialspark.llm.text_arrays import ALNUM, LOWER, column_bytes, lists, row_of, text_runs, window_hashes, word_hashes, word_spans
+from trialspark.llm.text_arrays import ALNUM, LOWER, column_bytes, cut_words, lists, row_of, text_runs, union, window_hashes, word_hashes, word_spans
 
 WINDOW = 10
 BLOCK_CHARS = 8 << 20  # characters of benchmark text in one broadcast block
@@ -54,16 +54,6 @@ def _hits(data, offsets, block):
     return out, starts, ends, first
 
 
-def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    merged: list[list[int]] = []
-    for a, b in sorted(spans):
-        if merged and a <= merged[-1][1]:
-            merged[-1][1] = max(merged[-1][1], b)
-        else:
-            merged.append([a, b])
-    return [(a, b) for a, b in merged]
-
-
 def _with_hits(texts: DataFrame, column: str, benchmark: DataFrame, item: str, item_text: str, window: int, block_chars: int) -> DataFrame:
     """``texts`` with ``n_words``, ``spans`` and ``item_ids`` appended, by one streaming pass for each benchmark block."""
     items = benchmark.select(F.col(item).alias("i"), F.col(item_text).alias("t")).where("i IS NOT NULL AND t IS NOT NULL")
@@ -87,7 +77,7 @@ def _with_hits(texts: DataFrame, column: str, benchmark: DataFrame, item: str, i
                 for row, a, k, found in hits:
                     spans.setdefault(row, []).append((a, a + k))
                     named.setdefault(row, set()).update(ids[i] for i in found)
-                merged = [_union(spans.get(i, ())) for i in range(rows.num_rows)]
+                merged = [union(spans.get(i, ())) for i in range(rows.num_rows)]
                 flat = [x for m in merged for x in m]
                 pairs = pa.StructArray.from_arrays([pa.array([x[0] for x in flat], pa.int32()), pa.array([x[1] for x in flat], pa.int32())], ["start", "stop"])
                 yield pa.RecordBatch.from_arrays(
@@ -134,22 +124,5 @@ def remove_contamination(eligibilities: DataFrame, benchmark: DataFrame, *, text
     if remove == "documents":
         return found.where(F.size("spans") == 0).select(*own.columns).toDF(*columns)
 
-    def cut(batches):
-        for rows, data, offsets in text_runs(batches, at):
-            starts, ends, first = word_spans(LOWER[data], offsets, ALNUM)
-            texts, left = {}, np.ones(rows.num_rows, bool)
-            for i, spans in enumerate(rows.column("spans").to_pylist()):
-                if spans:
-                    here, parts, gone = int(offsets[i]), [], 0
-                    for span in spans:
-                        a, b = first[i] + span["start"], first[i] + span["stop"]
-                        parts.append(data[here:starts[a]].tobytes())
-                        here, gone = int(ends[b - 1]), gone + b - a
-                    texts[i] = b"".join([*parts, data[here:offsets[i + 1]].tobytes()]).decode()
-                    left[i] = gone < first[i + 1] - first[i]
-            if texts:
-                old = rows.column(at).to_pylist()
-                rows = rows.set_column(at, rows.schema.field(at), pa.array([texts.get(i, t) for i, t in enumerate(old)], rows.schema.field(at).type))
-            yield rows.select(range(len(columns))).filter(pa.array(left))
-
-    return found.mapInArrow(cut, own.schema).toDF(*columns)
+    schema = own.schema
+    return found.drop("n_words", "item_ids").mapInArrow(lambda batches: cut_words(batches, at, len(columns)), schema).toDF(*columns)

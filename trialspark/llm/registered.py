@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from trialspark.llm.decontamination import find_contamination
 from trialspark.llm.language_id import fit_language_models, identify_language
+from trialspark.llm.passages import repeated_passages
 from trialspark.llm.simhash import near_duplicates
 
 
@@ -21,6 +22,12 @@ def eligibilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("nct_id"), F.col("text").alias("criteria"))
 
 
+def op3_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeated_passages(eligibilities(spark, sf_dir))
+    words = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
+    return found.select(F.col("nct_id").alias("doc_id"), F.col("first_nct_id").alias("first_doc_id"), "spans", words.alias("n_words"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_contamination(eligibilities(spark, sf_dir), table(spark, sf_dir, "benchmark"))
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
@@ -49,6 +56,7 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_passages": op3_passages,
     "op4_decontaminate": op4_decontaminate,
     "op5_simhash": op5_simhash,
     "op8_language": op8_language,

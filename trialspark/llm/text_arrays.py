@@ -117,3 +117,36 @@ def row_of(words: np.ndarray, first: np.ndarray) -> np.ndarray:
 def lists(counts: np.ndarray, values: pa.Array) -> pa.ListArray:
     """A list column from the length of each row and all values in order."""
     return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), values)
+
+
+def union(spans) -> list[tuple[int, int]]:
+    """Ranges ``[start, stop)`` in order, overlapping and touching ones merged."""
+    merged: list[list[int]] = []
+    for a, b in sorted(spans):
+        if merged and a <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], b)
+        else:
+            merged.append([a, b])
+    return [(a, b) for a, b in merged]
+
+
+def cut_words(batches: Iterator[pa.RecordBatch], text: int, spans: int):
+    """Cut the word ranges of column ``spans`` out of column ``text`` and keep the columns before ``spans``.
+
+    What stands between the words of a range goes with them; a row that had words and keeps none goes.
+    """
+    for rows, data, offsets in text_runs(batches, text):
+        starts, ends, first = word_spans(LOWER[data], offsets, ALNUM)
+        texts, left = {}, np.ones(rows.num_rows, bool)
+        for i, found in enumerate(rows.column(spans).to_pylist()):
+            if found:
+                here, parts, gone = int(offsets[i]), [], 0
+                for a, b in union((s["start"], s["stop"]) for s in found):
+                    parts.append(data[here:starts[first[i] + a]].tobytes())
+                    here, gone = int(ends[first[i] + b - 1]), gone + b - a
+                texts[i] = b"".join([*parts, data[here:offsets[i + 1]].tobytes()]).decode()
+                left[i] = gone < first[i + 1] - first[i]
+        if texts:
+            field = rows.schema.field(text)
+            rows = rows.set_column(text, field, pa.array([texts.get(i, t) for i, t in enumerate(rows.column(text).to_pylist())], field.type))
+        yield rows.select(range(spans)).filter(pa.array(left))
