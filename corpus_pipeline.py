@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from trialspark.llm.decontamination import remove_contamination
 from trialspark.llm.language_id import calibrate, fit_language_models, rejected, score_languages
+from trialspark.llm.passages import remove_repeats
 from trialspark.llm.simhash import near_duplicates
 
 
@@ -31,12 +32,17 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
 
 
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more stay in the first document that has them; a document of nothing else goes."""
+    return with_length(remove_repeats(docs, key="doc_id", text="text"))
+
+
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark passages go from the texts; a text of nothing else goes whole."""
     return with_length(remove_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), text="text"))
 
 
-STAGES = [("language_id", identify_language), ("simhash", drop_near_duplicates), ("decontaminate", decontaminate)]
+STAGES = [("language_id", identify_language), ("simhash", drop_near_duplicates), ("passages", drop_repeated_passages), ("decontaminate", decontaminate)]
 ORACLE_SQL = None
 
 
