@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from trialspark.llm.decontamination import find_contamination
 from trialspark.llm.language_id import fit_language_models, identify_language
+from trialspark.llm.packing import pack_texts
 from trialspark.llm.passages import repeated_passages
 from trialspark.llm.simhash import near_duplicates
 
@@ -55,9 +56,14 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "score", "cross_entropy")
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_texts(eligibilities(spark, sf_dir)).withColumnRenamed("nct_id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_passages": op3_passages,
     "op4_decontaminate": op4_decontaminate,
     "op5_simhash": op5_simhash,
     "op8_language": op8_language,
+    "op10_packing": op10_packing,
 }
