@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from trialspark.llm.decontamination import remove_contamination
 from trialspark.llm.language_id import calibrate, fit_language_models, rejected, score_languages
+from trialspark.llm.packing import pack_texts
 from trialspark.llm.passages import remove_repeats
 from trialspark.llm.simhash import near_duplicates
 
@@ -42,8 +43,19 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return with_length(remove_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), text="text"))
 
 
-STAGES = [("language_id", identify_language), ("simhash", drop_near_duplicates), ("passages", drop_repeated_passages), ("decontaminate", decontaminate)]
-ORACLE_SQL = None
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its place in a training sequence of 512, 2048 or 8192 tokens."""
+    return pack_texts(docs, key="doc_id", text="text")
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("simhash", drop_near_duplicates),
+    ("passages", drop_repeated_passages),
+    ("decontaminate", decontaminate),
+    ("packing", pack),
+]
+ORACLE_SQL = None  # language models, min-hash windows and packing have no SQL form; tests compare with brute force
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
