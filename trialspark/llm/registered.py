@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from trialspark.llm.decontamination import find_contamination
 from trialspark.llm.language_id import fit_language_models, identify_language
+from trialspark.llm.licenses import find_licenses
 from trialspark.llm.packing import pack_texts
 from trialspark.llm.passages import repeated_passages
 from trialspark.llm.simhash import near_duplicates
@@ -23,6 +24,17 @@ def eligibilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("nct_id"), F.col("text").alias("criteria"))
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_licenses(eligibilities(spark, sf_dir))
+    base = F.filter("places", lambda p: p["base"])
+    names = lambda places: F.array_join(F.array_sort(F.array_distinct(F.transform(places, lambda p: p["label"]))), ",")
+    starts = F.transform(base, lambda p: p["start"].cast("long"))
+    return found.select(
+        F.col("nct_id").alias("doc_id"), "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"), names(base).alias("base_labels"), names(F.col("places")).alias("labels"),
+        F.coalesce(F.array_max(F.transform("places", lambda p: p["score"])), F.lit(0.0)).alias("score"))
+
+
 def op3_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeated_passages(eligibilities(spark, sf_dir))
     words = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
@@ -61,6 +73,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_licenses": op1_licenses,
     "op3_passages": op3_passages,
     "op4_decontaminate": op4_decontaminate,
     "op5_simhash": op5_simhash,
