@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from trialspark.llm.decontamination import find_contamination
 from trialspark.llm.language_id import fit_language_models, identify_language
 from trialspark.llm.licenses import find_licenses
+from trialspark.llm.main_text import extract_main_text
 from trialspark.llm.packing import pack_texts
 from trialspark.llm.passages import repeated_passages
 from trialspark.llm.simhash import near_duplicates
@@ -68,6 +69,10 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "score", "cross_entropy")
 
 
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_texts(eligibilities(spark, sf_dir)).withColumnRenamed("nct_id", "doc_id")
 
@@ -78,5 +83,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontaminate": op4_decontaminate,
     "op5_simhash": op5_simhash,
     "op8_language": op8_language,
+    "op9_main_text": op9_main_text,
     "op10_packing": op10_packing,
 }
