@@ -18,4 +18,14 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(placed.n, 0) AS n_h
 FROM d LEFT JOIN placed USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op4_decontaminate": OP4}
+OP7 = """
+WITH e AS (SELECT vec_id, [CAST(floor(CAST(x AS DOUBLE) * 64) AS BIGINT) FOR x IN embedding] AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+p AS (SELECT vec_id, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM e),
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, sum(q.x * c.x) AS score
+      FROM p q JOIN p c ON q.i = c.i AND q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0 GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, CAST(score AS BIGINT) AS score FROM r WHERE rank <= 20
+"""
+
+ORACLES: dict[str, str] = {"op4_decontaminate": OP4, "op7_top_k": OP7}

@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trialspark.llm.decontamination import find_contamination
+from trialspark.llm.knn_join import top_k_join
 from trialspark.llm.language_id import fit_language_models, identify_language
 from trialspark.llm.licenses import find_licenses
 from trialspark.llm.main_text import extract_main_text
 from trialspark.llm.packing import pack_texts
 from trialspark.llm.passages import repeated_passages
 from trialspark.llm.simhash import near_duplicates
+from trialspark.llm.warc import derive_records
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +38,17 @@ def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce(F.array_max(F.transform("places", lambda p: p["score"])), F.lit(0.0)).alias("score"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as captured responses: a stable record id, one capture date, and the head that a plain server sends."""
+    pages = table(spark, sf_dir, "pages")
+    seed = F.sha1(F.concat_ws("#", F.col("page_id").cast("string"), "url"))
+    head = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.coalesce(F.octet_length("html"), F.lit(0)).cast("string"))
+    responses = pages.select(
+        "page_id", F.concat(F.lit("<urn:uuid:"), F.regexp_replace(F.substring(seed, 1, 32), "(.{8})(.{4})(.{4})(.{4})(.{12})", "$1-$2-$3-$4-$5"), F.lit(">")).alias("record_id"),
+        F.col("url").alias("target_uri"), F.lit("2026-01-01T00:00:00Z").alias("date"), head.alias("http_header"), F.col("html").alias("payload"))
+    return derive_records(responses, key="page_id")
+
+
 def op3_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeated_passages(eligibilities(spark, sf_dir))
     words = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
@@ -61,6 +74,11 @@ def bucket(key: str, n: int):
     return F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(n))
 
 
+def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return top_k_join(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("nct_id"), F.col("text").alias("criteria"), "lang")
     models = fit_language_models(docs.where(bucket("nct_id", 4) != 2))
@@ -79,9 +97,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licenses": op1_licenses,
+    "op2_warc": op2_warc,
     "op3_passages": op3_passages,
     "op4_decontaminate": op4_decontaminate,
     "op5_simhash": op5_simhash,
+    "op7_top_k": op7_top_k,
     "op8_language": op8_language,
     "op9_main_text": op9_main_text,
     "op10_packing": op10_packing,
