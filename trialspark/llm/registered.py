@@ -15,6 +15,7 @@ from trialspark.llm.main_text import extract_main_text
 from trialspark.llm.packing import pack_texts
 from trialspark.llm.passages import repeated_passages
 from trialspark.llm.simhash import near_duplicates
+from trialspark.llm.toxicity import fit_toxicity, score_toxicity
 from trialspark.llm.warc import derive_records
 
 
@@ -74,6 +75,15 @@ def bucket(key: str, n: int):
     return F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(n))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("nct_id"), F.col("text").alias("criteria"), "lang")
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("nct_id"), "toxic")
+    taught = labels.where(bucket("nct_id", 5) != 0)
+    model = fit_toxicity(docs.where(bucket("nct_id", 5) != 0).join(taught, "nct_id"))
+    found = score_toxicity(docs, model)
+    return found.select(F.col("nct_id").alias("doc_id"), (bucket("nct_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return top_k_join(vectors, vectors.where("vec_id % 20 = 0"))
@@ -101,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_passages": op3_passages,
     "op4_decontaminate": op4_decontaminate,
     "op5_simhash": op5_simhash,
+    "op6_toxicity": op6_toxicity,
     "op7_top_k": op7_top_k,
     "op8_language": op8_language,
     "op9_main_text": op9_main_text,
