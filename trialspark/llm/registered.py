@@ -78,8 +78,7 @@ def bucket(key: str, n: int):
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("nct_id"), F.col("text").alias("criteria"), "lang")
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("nct_id"), "toxic")
-    taught = labels.where(bucket("nct_id", 5) != 0)
-    model = fit_toxicity(docs.where(bucket("nct_id", 5) != 0).join(taught, "nct_id"))
+    model = fit_toxicity(docs, labels.where(bucket("nct_id", 5) != 0))
     found = score_toxicity(docs, model)
     return found.select(F.col("nct_id").alias("doc_id"), (bucket("nct_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
