@@ -60,11 +60,13 @@ def _assign(data: DataFrame, pivots: np.ndarray, dim: int) -> DataFrame:
 
 
 def _score(queries: np.ndarray, data: np.ndarray) -> np.ndarray:
-    """Exact integer inner products; by floating-point matrix product where that is exact."""
+    """Exact integer inner products, by floating-point matrix product where that is exact; beyond 63 bits the nearest long."""
     most = float(np.abs(queries).max(initial=0)) * float(np.abs(data).max(initial=0)) * queries.shape[1]
     if most < 2**53:
         return (queries.astype(np.float64) @ data.astype(np.float64).T).astype(np.int64)
-    return queries @ data.T
+    if most < 2**63:
+        return queries @ data.T
+    return np.clip(queries.astype(object) @ data.astype(object).T, -(2**63) + 1, 2**63 - 1).astype(np.int64)
 
 
 def top_k_join(vectors: DataFrame, queries: DataFrame, *, key: str = "vec_id", vector: str = "embedding", k: int = 20, scale: float = 64.0,
@@ -114,6 +116,7 @@ def top_k_join(vectors: DataFrame, queries: DataFrame, *, key: str = "vec_id", v
                 lower = np.hstack([base[c][:, None] - norm[:, None] * nearest[c][None, :] for c in summary])
                 lower = np.sort(lower, axis=1)[:, ::-1]
                 sure = lower[:, k] if lower.shape[1] > k else np.full(len(q), -np.inf)  # k others besides the query itself
+                sure = np.where(sure < -(2.0**63), -np.inf, np.minimum(sure, 2.0**63))  # where scores end, all tie
                 least = sure - SLACK * (1 + np.abs(np.where(np.isfinite(sure), sure, 0)))
                 row, cell, block = [], [], []
                 for c, (_, reach, blocks) in summary.items():

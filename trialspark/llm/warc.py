@@ -10,6 +10,7 @@ import base64
 import hashlib
 import json
 import uuid
+from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -43,7 +44,7 @@ def plain_text(html: str) -> tuple[str, str | None, list[dict]]:
             now.append(value)
         elif what == "raw":
             if value == "title" and title is None:
-                title = squeeze(rest)
+                title = squeeze(unescape(rest))
         else:
             if what == "open" and value in LINKS and (url := attributes(rest).get(LINKS[value])):
                 links.append({"path": f"{value.upper()}@/{LINKS[value]}", "url": url})
