@@ -198,10 +198,31 @@ def test_every_link_is_found_around_a_dense_centre(spark, crowd):
     rng = random.Random(4)
     centre = rng.getrandbits(64)
     prints = sorted({centre ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 4))) for _ in range(150)} | {rng.getrandbits(64) for _ in range(150)})
-    signed = [(i, p - (1 << 64) if p >> 63 else p) for i, p in enumerate(prints)]
-    got = {tuple(sorted((r.a, r.b))) for r in simhash.link_fingerprints(spark.createDataFrame(signed, "id long, fingerprint long"), crowd=crowd).collect()}
-    want = {(i, j) for i, x in enumerate(prints) for j, y in enumerate(prints[:0] + prints) if i < j and (x ^ y).bit_count() <= 4}
-    assert got == want
+    rows = spark.createDataFrame([(i, p - (1 << 64) if p >> 63 else p) for i, p in enumerate(prints)], "id long, fingerprint long")
+    plan = simhash.allocate(*simhash.bit_moments(rows), 4)
+    want = {(i, j) for i, x in enumerate(prints) for j, y in enumerate(prints) if i < j and (x ^ y).bit_count() <= 4}
+    assert {(r.a, r.b) for r in simhash.group_links(rows, plan, 4, None, crowd=crowd).collect()} == want
+    few = {(r.a, r.b) for r in simhash.leader_links(rows, plan, 4, None, leaders=2).collect()}
+    assert few <= want and len(few) < len(want) / 4
+
+
+def test_edited_texts_are_found_by_word_sets_and_others_left_alone(spark):
+    rng, rows, edited = random.Random(8), [], {}
+    for i in range(60):
+        text = prose(300, 1000 + i).split()
+        rows.append((10 * i, " ".join(text)))
+        for j in range(1, 4):
+            other = list(text)
+            for at in rng.sample(range(300), 4):
+                other[at] = "edit%d%d%d" % (i, j, at)
+            rows.append((10 * i + j, " ".join(other)))
+            edited[10 * i + j] = 10 * i
+    got = {r.nct_id: r.component for r in simhash.near_duplicates(
+        texts(spark, rows), shingle=1, distinct=True, tables=3, distance=5, similarity=0.8).collect()}
+    assert all(got[i] // 10 == i // 10 for i in got)
+    assert sum(got[i] == base for i, base in edited.items()) >= 0.97 * len(edited)
+    kept = simhash.drop_near_duplicates(clashing(spark, [*rows, (None, "x"), (None, "x")]), shingle=1, distinct=True, tables=3, distance=5, similarity=0.8)
+    assert sorted(r.nct_id for r in kept.collect() if r.nct_id is not None) == sorted(set(got.values())) and kept.count() == len(set(got.values())) + 2
 
 
 def test_thresholds_keep_the_pigeonhole_and_get_more_selective():

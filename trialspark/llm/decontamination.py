@@ -54,38 +54,48 @@ def _hits(data, offsets, block):
     return out, starts, ends, first
 
 
-def _with_hits(texts: DataFrame, column: str, benchmark: DataFrame, item: str, item_text: str, window: int, block_chars: int) -> DataFrame:
-    """``texts`` with ``n_words``, ``spans`` and ``item_ids`` appended, by one streaming pass for each benchmark block."""
+def _mark(batches, at: int, n: int, id_type: pa.DataType, known: tuple[list, dict], later: bool):
+    """The first ``n`` columns with the hits of one block; ``later`` adds them to those of earlier blocks."""
+    ids, block = known
+    for rows, data, offsets in text_runs(batches, at):
+        hits, _, _, first = _hits(data, offsets, block)
+        spans, named = {}, {}
+        if later:
+            for i, (had, held) in enumerate(zip(rows.column(n + 1).to_pylist(), rows.column(n + 2).to_pylist(), strict=True)):
+                if had:
+                    spans[i], named[i] = [(s["start"], s["stop"]) for s in had], set(held)
+        for row, a, k, found in hits:
+            spans.setdefault(row, []).append((a, a + k))
+            named.setdefault(row, set()).update(ids[i] for i in found)
+        merged = [union(spans.get(i, ())) for i in range(rows.num_rows)]
+        flat = [x for m in merged for x in m]
+        pairs = pa.StructArray.from_arrays([pa.array([x[0] for x in flat], pa.int32()), pa.array([x[1] for x in flat], pa.int32())], ["start", "stop"])
+        yield pa.RecordBatch.from_arrays(
+            [*rows.columns[:n], pa.array(np.diff(first), pa.int64()), lists(np.array([len(m) for m in merged]), pairs),
+             pa.array([sorted(named.get(i, ())) for i in range(rows.num_rows)], pa.list_(id_type))],
+            [*rows.schema.names[:n], "n_words", "spans", "item_ids"])
+
+
+def _with_hits(texts: DataFrame, column: str, benchmark: DataFrame, item: str, item_text: str, window: int, block_chars: int, cut: bool = False) -> DataFrame:
+    """``texts`` with ``n_words``, ``spans`` and ``item_ids`` appended, by one streaming pass for each benchmark block.
+
+    With ``cut`` the last pass takes the spans out of the texts instead of appending anything.
+    """
     items = benchmark.select(F.col(item).alias("i"), F.col(item_text).alias("t")).where("i IS NOT NULL AND t IS NOT NULL")
     blocks = max(1, -(-(items.agg(F.sum(F.length("t"))).first()[0] or 0) // block_chars))
     part, id_type = F.pmod(F.xxhash64("i", "t"), F.lit(blocks)), items.schema["i"].dataType
     n, at, id_arrow = len(texts.columns), texts.columns.index(column), to_arrow_type(id_type)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema), "n_words bigint",
                         "spans array<struct<start:int,stop:int>>", f"item_ids array<{id_type.simpleString()}>"])
+    own = texts.schema
     for b in range(blocks):
         shared = texts.sparkSession.sparkContext.broadcast(window_block([(r.i, r.t) for r in items.where(part == b).collect()], window))
 
-        def scan(batches, shared=shared, later=b > 0):
-            ids, block = shared.value
-            for rows, data, offsets in text_runs(batches, at):
-                hits, _, _, first = _hits(data, offsets, block)
-                spans, named = {}, {}
-                if later:
-                    for i, (had, held) in enumerate(zip(rows.column(n + 1).to_pylist(), rows.column(n + 2).to_pylist(), strict=True)):
-                        if had:
-                            spans[i], named[i] = [(s["start"], s["stop"]) for s in had], set(held)
-                for row, a, k, found in hits:
-                    spans.setdefault(row, []).append((a, a + k))
-                    named.setdefault(row, set()).update(ids[i] for i in found)
-                merged = [union(spans.get(i, ())) for i in range(rows.num_rows)]
-                flat = [x for m in merged for x in m]
-                pairs = pa.StructArray.from_arrays([pa.array([x[0] for x in flat], pa.int32()), pa.array([x[1] for x in flat], pa.int32())], ["start", "stop"])
-                yield pa.RecordBatch.from_arrays(
-                    [*rows.columns[:n], pa.array(np.diff(first), pa.int64()), lists(np.array([len(m) for m in merged]), pairs),
-                     pa.array([sorted(named.get(i, ())) for i in range(rows.num_rows)], pa.list_(id_arrow))],
-                    [*rows.schema.names[:n], "n_words", "spans", "item_ids"])
-
-        texts = texts.mapInArrow(scan, schema)
+        def scan(batches, shared=shared, later=b > 0, last=cut and b == blocks - 1):
+            found = _mark(batches, at, n, id_arrow, shared.value, later)
+            return cut_words(found, at, n + 1, n) if last else found
+
+        texts = texts.mapInArrow(scan, own if cut and b == blocks - 1 else schema)
     return texts
 
 
@@ -120,9 +130,7 @@ def remove_contamination(eligibilities: DataFrame, benchmark: DataFrame, *, text
     columns = eligibilities.columns
     own = eligibilities.toDF(*(f"c{i}" for i in range(len(columns))))
     at = columns.index(text)
-    found = _with_hits(own, f"c{at}", benchmark, item, item_text, window, block_chars)
+    found = _with_hits(own, f"c{at}", benchmark, item, item_text, window, block_chars, cut=remove == "spans")
     if remove == "documents":
-        return found.where(F.size("spans") == 0).select(*own.columns).toDF(*columns)
-
-    schema = own.schema
-    return found.drop("n_words", "item_ids").mapInArrow(lambda batches: cut_words(batches, at, len(columns)), schema).toDF(*columns)
+        found = found.where(F.size("spans") == 0).select(*own.columns)
+    return found.toDF(*columns)

@@ -11,12 +11,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trialspark.session import checkpointed
 
-RUN_CHARS = 1 << 20
+RUN_CHARS = 1 << 18
 BITS, ORDER = 6, 4
 UNKNOWN = "und"
 _classes: list[np.ndarray] = []
@@ -62,20 +63,23 @@ class LanguageModels:
     top: np.ndarray
     lower: np.ndarray
     weight: np.ndarray
-    _place: np.ndarray | None = field(default=None, repr=False)
+    _after: np.ndarray = field(init=False, repr=False)  # for each context, the classes that follow it, as 64 bits
+    _start: np.ndarray = field(init=False, repr=False)  # and where its grams begin among the sorted keys
 
-    def __getstate__(self):
-        return self.__dict__ | {"_place": None}
+    def __post_init__(self):
+        contexts = self.keys >> BITS
+        self._after = np.zeros(1 << BITS * (ORDER - 1), np.uint64)
+        np.bitwise_or.at(self._after, contexts, np.uint64(1) << (self.keys & (1 << BITS) - 1).astype(np.uint64))
+        self._start = np.searchsorted(contexts, np.arange(len(self._after))).astype(np.int32)
 
     def log_probabilities(self, packed: np.ndarray) -> np.ndarray:
-        if self._place is None:  # where each packed gram stands in the sorted keys, for constant-time lookups
-            place = np.full(1 << BITS * ORDER, -1, np.int32)
-            place[self.keys] = np.arange(len(self.keys))
-            self._place = place
-        at = self._place[packed]
-        out = self.top[at] if len(self.keys) else np.zeros((len(packed), len(self.languages)), np.float32)
-        if len(miss := np.flatnonzero(at < 0)):
-            out[miss] = self.weight[packed[miss] >> BITS] + self.lower[packed[miss] & (1 << BITS * (ORDER - 1)) - 1]
+        context, bit = packed >> BITS, np.uint64(1) << (packed & (1 << BITS) - 1).astype(np.uint64)
+        after = self._after[context]
+        at = self._start[context] + np.bitwise_count(after & bit - np.uint64(1))
+        miss = np.flatnonzero(after & bit == 0)
+        out = self.top[np.minimum(at, len(self.keys) - 1)] if len(self.keys) else np.zeros((len(packed), len(self.languages)), np.float32)
+        if len(miss):
+            out[miss] = self.weight[context[miss]] + self.lower[packed[miss] & (1 << BITS * (ORDER - 1)) - 1]
         return out
 
 
@@ -130,7 +134,7 @@ def count_grams(eligibilities: DataFrame, *, text: str = "criteria", lang: str =
 
 
 def _runs(batch: pa.RecordBatch, limit: int = RUN_CHARS):
-    sizes = np.cumsum([len(t or "") for t in batch.column(0).to_pylist()]) if batch.num_rows else np.zeros(0)
+    sizes = np.cumsum(pc.fill_null(pc.utf8_length(batch.column(0)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     i = 0
     while i < batch.num_rows:
         j = max(i + 1, int(np.searchsorted(sizes, (sizes[i - 1] if i else 0) + limit, "right")))

@@ -15,11 +15,13 @@ from trialspark.llm.main_text import extract_main_text
 from trialspark.llm.packing import pack_texts
 from trialspark.llm.passages import repeated_passages
 from trialspark.llm.simhash import near_duplicates
+from trialspark.llm.text_arrays import small_batches
 from trialspark.llm.toxicity import fit_toxicity, score_toxicity
 from trialspark.llm.warc import derive_records
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -67,7 +69,7 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(eligibilities(spark, sf_dir))
     return found.select(F.col("nct_id").alias("doc_id"), F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"),
-                        F.col("component").alias("component_id"), "links")
+                        F.col("component").alias("component_id"))
 
 
 def bucket(key: str, n: int):

@@ -17,6 +17,14 @@ HASH_BYTES = 1 << 20
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+
+def small_batches(spark, rows: int = 1000) -> None:
+    """Let Arrow batches hold fewer texts, which are long, unless the session says how many rows they hold."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":  # Spark's default
+        spark.conf.set(key, str(rows))
+
+
 ALNUM = np.array([48 <= b < 58 or 97 <= b < 123 or b >= 128 for b in range(256)])
 NOT_SPACE = np.array([b != 32 and not 9 <= b <= 13 for b in range(256)])
 
@@ -130,8 +138,8 @@ def union(spans) -> list[tuple[int, int]]:
     return [(a, b) for a, b in merged]
 
 
-def cut_words(batches: Iterator[pa.RecordBatch], text: int, spans: int):
-    """Cut the word ranges of column ``spans`` out of column ``text`` and keep the columns before ``spans``.
+def cut_words(batches: Iterator[pa.RecordBatch], text: int, spans: int, keep: int):
+    """Cut the word ranges of column ``spans`` out of column ``text`` and keep the first ``keep`` columns.
 
     What stands between the words of a range goes with them; a row that had words and keeps none goes.
     """
@@ -149,4 +157,4 @@ def cut_words(batches: Iterator[pa.RecordBatch], text: int, spans: int):
         if texts:
             field = rows.schema.field(text)
             rows = rows.set_column(text, field, pa.array([texts.get(i, t) for i, t in enumerate(rows.column(text).to_pylist())], field.type))
-        yield rows.select(range(spans)).filter(pa.array(left))
+        yield rows.select(range(keep)).filter(pa.array(left))
