@@ -9,7 +9,8 @@ from trialspark.llm.decontamination import remove_contamination
 from trialspark.llm.language_id import calibrate, fit_language_models, rejected, score_languages
 from trialspark.llm.packing import pack_texts
 from trialspark.llm.passages import remove_repeats
-from trialspark.llm.simhash import near_duplicates
+from trialspark.llm.simhash import drop_near_duplicates
+from trialspark.llm.text_arrays import small_batches
 
 
 def with_length(docs: DataFrame) -> DataFrame:
@@ -18,6 +19,7 @@ def with_length(docs: DataFrame) -> DataFrame:
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fit no learned language go; a missing ``lang`` is filled with the predicted one."""
+    small_batches(spark)
     models = fit_language_models(docs, text="text")
     scored = score_languages(docs, models, text="text")
     kept = scored.where(~rejected(calibrate(scored)))
@@ -27,10 +29,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return kept.select(*own)
 
 
-def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the least id, stays of every group of near copies; rows without an id stay."""
-    copies = near_duplicates(docs, key="doc_id", text="text").where("doc_id <> component").select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the one with the least id, stays of every group of texts of similarity 0.8 or more."""
+    return drop_near_duplicates(docs, key="doc_id", text="text", shingle=1, distinct=True, tables=3, distance=5, similarity=0.8)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +51,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("language_id", identify_language),
-    ("simhash", drop_near_duplicates),
+    ("simhash", drop_copies),
     ("passages", drop_repeated_passages),
     ("decontaminate", decontaminate),
     ("packing", pack),
