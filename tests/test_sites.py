@@ -71,8 +71,8 @@ def test_network_nodes_and_edges(spark, tables):
     assert edges and all({r["site_a"], r["site_b"]} <= nodes and r["site_a"] < r["site_b"] for r in edges)
 
 
-@pytest.mark.parametrize("light", [2, 4, 1000])
-def test_shared_trials_equal_brute_force(spark, light):
+@pytest.mark.parametrize("block", [2, 5, 1000])
+def test_shared_trials_equal_brute_force(spark, block):
     r = random.Random(5)
     rows, seen = [], {}
     for t in range(25):
@@ -88,9 +88,14 @@ def test_shared_trials_equal_brute_force(spark, light):
             if less(a, b) or less(b, a):
                 want[(a, b) if less(a, b) else (b, a)] += 1
     d = frame(spark, "nct_id long, condition string, country string, facility_name string, city string", rows)
-    for k in (2, 3):
+    for k in (1, 2, 3):
         got = {((x["facility_name_a"], x["city_a"]), (x["facility_name_b"], x["city_b"])): x["shared_trials"]
-               for x in N.shared_trial_edges(d, min_shared=k, light_sites=light).collect()}
+               for x in N.shared_trial_edges(d, min_shared=k, block_sites=block).collect()}
         assert got == {p: n for p, n in want.items() if n >= k}
-    with pytest.raises(ValueError):
-        N.shared_trial_edges(d, min_shared=1)
+
+
+def test_shared_trials_of_many_sites_in_many_trials(spark):
+    d = spark.range(90).crossJoin(spark.range(40).select(F.col("id").alias("trial"))).select(
+        F.concat(F.lit("S"), "id").alias("facility_name"), F.lit("T").alias("city"), F.col("trial").alias("nct_id"), F.lit(1).alias("w"))
+    got = N.shared_trial_edges(d, within=("w",), block_sites=16).agg(F.count("*"), F.min("shared_trials"), F.max("shared_trials")).first()
+    assert tuple(got) == (90 * 89 // 2, 40, 40)

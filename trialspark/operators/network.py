@@ -1,8 +1,7 @@
 """Site co-participation networks: which sites share trials.
 
-Pairs per trial grow with the square of its sites, so pairs are formed only where that is bounded: among
-the top sites of a condition, or in trials with few sites. Trials with many sites only *count* pairs that
-something else has already made possible results.
+Pairs per trial grow with the square of its sites. Among the top sites of a condition that is bounded; elsewhere
+the sites of a trial are cut into blocks, so that a task only ever meets one block with another.
 """
 
 from __future__ import annotations
@@ -14,7 +13,6 @@ from pyspark.sql import DataFrame, functions as F
 from trialspark.functions import columns as X, filters as P
 from trialspark.operators.landscape import condition_studies
 from trialspark.operators.ordered import join_on
-from trialspark.session import checkpointed
 from trialspark.sources.registry import TrialTables
 
 
@@ -50,52 +48,30 @@ def network_edges(tables: TrialTables, condition: str, n_sites: int = 30, min_tr
 
 def shared_trial_edges(
     rows: DataFrame, *, trial: str = "nct_id", site: Sequence[str] = ("facility_name", "city"),
-    within: Sequence[str] = ("condition", "country"), min_shared: int = 2, light_sites: int = 100,
+    within: Sequence[str] = ("condition", "country"), min_shared: int = 2, block_sites: int = 256,
 ) -> DataFrame:
     """Pairs of sites sharing at least ``min_shared`` trials inside the same ``within`` values.
 
-    Exact for trials of any size. Sites in fewer than ``min_shared`` trials cannot be in a result and
-    go first. A pair is then either in some *light* trial (at most ``light_sites`` sites), or in two or
-    more *heavy* ones. Light trials form their pairs, at most ``light_sites / 2`` per row. Heavy trials
-    form none of their own: sites common to two heavy trials are paired per heavy-trial pair, and every
-    such pair is a result already; then heavy trials are counted for the known candidates only.
+    Exact for trials of any size, by one plan. Sites in fewer than ``min_shared`` trials cannot be in a result and go
+    first. The sites of each trial are dealt over blocks of about ``block_sites``, and block meets block, so one task
+    joins at most about ``block_sites`` squared rows of a trial. A pair that shares k trials is formed k times, and the
+    counts are combined before they are shuffled.
     """
-    if min_shared < 2:
-        raise ValueError("min_shared must be at least 2: one shared trial makes every pair a result")
     within, site = list(within), list(site)
     member = rows.select(trial, *within, *site).where(F.col(site[0]).isNotNull()).distinct()
     enough = member.groupBy(*within, *site).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_shared)
     member = join_on(member, enough.drop("n"), [*within, *site], "left_semi")
-    sizes = member.groupBy(trial, *within).agg(F.count(F.lit(1)).alias("sites"))
-    sized = checkpointed(join_on(member, sizes, [trial, *within]))  # read six times below
-    light = sized.where(F.col("sites") <= light_sites).drop("sites")
-    heavy = sized.where(F.col("sites") > light_sites).drop("sites")
+    sizes = member.groupBy(trial, *within).agg(F.ceil(F.count(F.lit(1)) / block_sites).cast("int").alias("_blocks"))
+    dealt = join_on(member, sizes, [trial, *within]).withColumn("_block", F.pmod(F.xxhash64(*site), "_blocks").cast("int"))
+    # A site of block i takes part in the meetings (i, j) and (j, i) with every block j, each named by its lesser block.
+    met = dealt.withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).withColumns({
+        "_lo": F.least("_block", "_with"), "_hi": F.greatest("_block", "_with")}).drop("_blocks", "_with")
+    tagged = [met.withColumnsRenamed({c: f"{c}_{tag}" for c in [*site, "_block"]}) for tag in "ab"]
+    less, same = F.lit(False), F.lit(True)
+    for c in site:
+        less = less | (same & (F.col(f"{c}_a") < F.col(f"{c}_b")))
+        same = same & F.col(f"{c}_a").eqNullSafe(F.col(f"{c}_b"))
+    both = (F.least("_block_a", "_block_b") == F.col("_lo")) & (F.greatest("_block_a", "_block_b") == F.col("_hi"))
     pair = [*within, *[f"{c}_a" for c in site], *[f"{c}_b" for c in site]]
-
-    def side(df: DataFrame, tag: str) -> DataFrame:
-        return df.withColumnsRenamed({c: f"{c}_{tag}" for c in site})
-
-    def ordered(df: DataFrame) -> DataFrame:
-        less = F.lit(False)
-        same = F.lit(True)
-        for c in site:
-            less = less | (same & (F.col(f"{c}_a") < F.col(f"{c}_b")))
-            same = same & (F.col(f"{c}_a") == F.col(f"{c}_b"))
-        return df.where(less)
-
-    light_pairs = ordered(join_on(side(light, "a"), side(light, "b"), [trial, *within])).select(*pair)
-    light_counts = light_pairs.groupBy(*pair).agg(F.count(F.lit(1)).alias("shared"))
-
-    heavy_key = [*within, *site]
-    other = heavy.withColumnRenamed(trial, "_t2")
-    twice = join_on(heavy.withColumnRenamed(trial, "_t1"), other, heavy_key).where("_t1 < _t2")
-    both = [*within, "_t1", "_t2"]
-    heavy_pairs = ordered(join_on(side(twice, "a"), side(twice, "b"), both)).select(*pair).distinct()
-    candidates = light_counts.select(*pair).unionByName(heavy_pairs).distinct()
-    in_a = join_on(candidates, side(heavy, "a"), [*within, *[f"{c}_a" for c in site]])
-    in_both = join_on(in_a, side(heavy, "b"), [trial, *within, *[f"{c}_b" for c in site]], "left_semi")
-    heavy_counts = in_both.groupBy(*pair).agg(F.count(F.lit(1)).alias("shared"))
-    return (
-        light_counts.unionByName(heavy_counts).groupBy(*pair).agg(F.sum("shared").alias("shared_trials"))
-        .where(F.col("shared_trials") >= min_shared)
-    )
+    pairs = join_on(*tagged, [trial, *within, "_lo", "_hi"]).where(less & both)
+    return pairs.groupBy(*pair).agg(F.count(F.lit(1)).alias("shared_trials")).where(F.col("shared_trials") >= min_shared)
