@@ -78,8 +78,6 @@ def test_similar_trials_and_scenario_limit(spark):
     got = [r["nct_id"] for r in E.similar_trials(m, s, 3).orderBy("position").collect()]
     assert got[0] == "n3" and set(got[1:]) == {"n2", "n4"}
     assert s.first()["geographic_concentration"] == 1.0
-    with pytest.raises(ValueError):
-        E.scenario_frame(spark, [{}] * (E.MAX_SCENARIOS + 1))
 
 
 def test_describe_equals_numpy(spark, scored):
@@ -87,3 +85,29 @@ def test_describe_equals_numpy(spark, scored):
     x = np.array([v["score"] for v in scored.select("score").collect()])
     assert [r["q1"], r["median"], r["q3"]] == pytest.approx(list(np.percentile(x, [25, 50, 75])))
     assert r["mean"] == pytest.approx(x.mean()) and r["std"] == pytest.approx(x.std(ddof=1))
+
+
+def test_efron_sums_equal_the_loop():
+    for d in (1, 2, 24, 25, 60, 1000, 100_000):
+        for ratio in (1.0, 1.5, 40.0, 1e6):
+            t = 0.7 * d
+            s = np.arange(d) / d
+            w = t * ratio - s * t
+            want = [np.log(w).sum(), (1 / w).sum(), (s / w).sum(), (1 / w**2).sum(), (s / w**2).sum(), (s * s / w**2).sum()]
+            got = [float(x[0]) for x in U.efron_sums(np.array([t * ratio]), np.array([t]), np.array([d]))]
+            # the sums meet risk, tied and their products, whose size sets what counts as equal
+            size = [max(1.0, abs(want[0])), want[1], max(want[2], d / t), want[3], max(want[4], d / (t * t * ratio)), max(want[5], d / (t * t))]
+            assert all(abs(g - x) <= 1e-8 * z for g, x, z in zip(got, want, size)), (d, ratio)
+
+
+def test_durations_survive_repeated_values_and_fractions(spark):
+    from datetime import date
+
+    from trialspark.operators import study_features as S
+
+    studies = frame(spark, "nct_id string, start_date date, completion_date date", [("a", date(2020, 1, 1), date(2020, 3, 1)), ("b", date(2020, 1, 1), None)])
+    supplied = frame(spark, "nct_id string, actual_duration double", [("a", 50.5), ("a", 60.25), ("b", None), ("b", None)])
+    got = S.study_durations(studies, supplied).collect()
+    assert len(got) == 2 and {r["nct_id"]: r["enrollment_duration_days"] for r in got}["b"] is None
+    d = frame(spark, "t double, e boolean, g string", [(3.2, True, "x"), (3.9, False, "x"), (7.5, True, "x")])
+    assert [(r["days"], r["at_risk"]) for r in U.kaplan_meier(d, "t", F.col("e"), ["g"], min_rows=2).orderBy("days").collect()] == [(3.0, 3), (7.0, 1)]

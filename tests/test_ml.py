@@ -148,3 +148,8 @@ def test_cox_equals_direct_newton(spark, modeling, tmp_path):
     model.save(spark, str(tmp_path / "cox"))
     again = U.CoxModel.load(spark, str(tmp_path / "cox"))
     assert again.beta == model.beta and again.cumulative_hazard == model.cumulative_hazard
+
+
+def test_cox_says_when_it_has_not_converged(modeling):
+    with pytest.raises(RuntimeError, match="converged"):
+        U.fit_cox(modeling, max_iter=1, tolerance=1e-14)

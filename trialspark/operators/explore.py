@@ -138,13 +138,10 @@ _SCENARIO_SCHEMA = (
     "scenario string, phase_numeric double, n_facilities long, n_countries long, "
     "n_eligibility_criteria double, enrollment double, sponsor_type string, intervention_model string, masking string"
 )
-MAX_SCENARIOS = 10_000
 
 
 def scenario_frame(spark, scenarios: Sequence[dict]) -> DataFrame:
     """Hypothetical studies completed with the fixed defaults of the forecast form."""
-    if len(scenarios) > MAX_SCENARIOS:
-        raise ValueError(f"at most {MAX_SCENARIOS} scenarios: they are replicated to every task")
     names = [part.split()[0] for part in _SCENARIO_SCHEMA.split(", ")]
     d = spark.createDataFrame([tuple(s.get(n) for n in names) for s in scenarios], _SCENARIO_SCHEMA)
     return d.withColumns({
@@ -160,14 +157,14 @@ def scenario_frame(spark, scenarios: Sequence[dict]) -> DataFrame:
 def similar_trials(modeling: DataFrame, scenarios: DataFrame, k: int = 10) -> DataFrame:
     """The ``k`` nearest historical studies of the same phase per scenario.
 
-    ``scenarios`` comes from ``scenario_frame``, whose size is checked, so it is broadcast; each task
-    keeps its best ``k`` per scenario before the shuffle.
+    The join on the phase is left to Spark's size statistics; each task keeps its best ``k`` per scenario
+    before the shuffle.
     """
     s = scenarios.select("scenario", "phase_numeric", *[
         F.col(c).alias(f"_{c}") for c in ("n_countries", "n_facilities", "enrollment")])
     past = modeling.where(P.known_positive(C.DURATION_TARGET)).select(
         "nct_id", "phase_numeric", "n_facilities", "n_countries", "enrollment", C.DURATION_TARGET, C.CLASS_TARGET)
-    d = past.join(F.broadcast(s), "phase_numeric")
+    d = past.join(s, "phase_numeric")
     gap = lambda c: F.abs(F.col(c) - F.col(f"_{c}"))
     distance = gap("n_countries") * 0.3 + gap("n_facilities") * 0.01 + gap("enrollment") / F.greatest(
         F.col("_enrollment"), F.lit(1.0))

@@ -99,13 +99,18 @@ def scaled_sponsor_performance(completed: DataFrame) -> DataFrame:
     return completed.withColumn("sponsor_historical_performance", F.col("sponsor_completed_trials") / top)
 
 
-def sponsor_ratio_history(sponsors: DataFrame, studies: DataFrame) -> DataFrame:
-    """Per lead sponsor: median actual/target ratio and number of completed studies, with volume rank."""
+def sponsor_ratio_history(sponsors: DataFrame, studies: DataFrame, stage=None) -> DataFrame:
+    """Per lead sponsor: median actual/target ratio and number of completed studies, with volume rank.
+
+    Counts, percentiles and ranks read the (sponsor, ratio) rows several times; ``stage`` writes them once.
+    """
     from trialspark.operators.ordered import exact_percentiles, join_on, with_rank
 
     done = studies.where((X.status_key("overall_status") == "COMPLETED") & (F.col("enrollment") > 0)).select(
         "nct_id", X.enrollment_ratio("actual_enrollment", "enrollment", cap=None).alias("ratio"))
     rows = lead_rows(sponsors).select("nct_id", F.col("name").alias("sponsor_name")).join(done, "nct_id")
+    if stage is not None:
+        rows = stage(rows.select("sponsor_name", "ratio"))
     counts = rows.groupBy("sponsor_name").agg(F.count(F.lit(1)).alias("sponsor_historical_trial_count"))
     medians = exact_percentiles(rows, "ratio", {"sponsor_median_enrollment_ratio": 0.5}, ["sponsor_name"])
     both = join_on(counts, medians, ["sponsor_name"], "left")
@@ -150,7 +155,8 @@ def study_durations(studies: DataFrame, calculated_values: DataFrame | None) ->
     d = studies.select("nct_id", "start_date", "completion_date")
     supplied = None
     if calculated_values is not None:
-        d = d.join(calculated_values.select("nct_id", "actual_duration"), "nct_id", "left")
+        longest = calculated_values.groupBy("nct_id").agg(F.max("actual_duration").alias("actual_duration"))
+        d = d.join(longest, "nct_id", "left")
         supplied = "actual_duration"
     span = X.study_duration(supplied, "start_date", "completion_date")
     return d.select("nct_id", span.alias(C.DURATION_TARGET))

@@ -22,11 +22,11 @@ def kaplan_meier(
 ) -> DataFrame:
     """S(t) = product over t_i <= t of (1 - d_i / n_i), per group with at least ``min_rows`` rows.
 
-    ``duration`` is in whole days, so a group has one row per distinct day after the first aggregation
+    Durations are cut to whole days, so a group has one row per distinct day after the first aggregation
     and the windows stay small whatever the number of studies.
     """
     by = list(by)
-    rows = df.where(F.col(duration).isNotNull()).groupBy(*by, F.col(duration).alias("days")).agg(
+    rows = df.where(F.col(duration).isNotNull()).groupBy(*by, F.floor(F.col(duration)).cast("double").alias("days")).agg(
         F.count(F.lit(1)).alias("n_here"), F.sum(F.coalesce(event.cast("int"), F.lit(0))).alias("events"))
     group = Window.partitionBy(*by)
     later = group.orderBy("days").rowsBetween(Window.currentRow, Window.unboundedFollowing)
@@ -136,34 +136,52 @@ def cox_covariates(df: DataFrame, medians: dict[str, float], categories: dict[st
 
 def fit_cox(
     modeling: DataFrame, penalizer: float = 0.1, min_days: float = 1, max_iter: int = 25, tolerance: float = 1e-7,
-    max_categories: int = 200,
 ) -> CoxModel:
     """Penalised Cox model of completion: Efron ties, mean log partial likelihood - penalizer/2 * |beta|^2.
 
-    Each Newton step is one Spark job that reduces the studies to one row of sums per distinct duration
-    day; only these rows (thousands, whatever the number of studies) reach the driver.
+    A Newton step is two Spark jobs. The first reduces the studies to one row of 2 + 3p sums per distinct duration
+    day; only these rows, thousands whatever the number of studies, reach the driver. The driver turns them into one
+    weight per day, and the second job sums the weighted p x p products of all rows. Steps that do not raise the
+    likelihood are halved. Raises ``RuntimeError`` if ``max_iter`` steps do not converge.
     """
+    d, names, medians, categories = _cox_frame(modeling, min_days)
+    d = d.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _newton(d, names, medians, categories, penalizer, max_iter, tolerance)
+    finally:
+        d.unpersist()
+
+
+def _cox_frame(modeling: DataFrame, min_days: float) -> tuple[DataFrame, list[str], dict, dict]:
+    """(day, event, x) of the studies with a duration, the names of the covariates, medians and categories."""
     from trialspark.ml.prep import exact_medians, feature_frame
 
     rows = modeling.where(F.col(C.DURATION_TARGET).isNotNull() & (F.col(C.DURATION_TARGET) >= min_days))
     frame = feature_frame(rows)
     medians = exact_medians(frame, [f"f_{c}" for c in C.NUMERIC_FEATURES])
-    categories = {}
-    for c in C.CATEGORICAL_FEATURES:
-        found = frame.select(f"f_{c}").distinct().limit(max_categories + 1).collect()
-        if len(found) > max_categories:
-            raise ValueError(f"{c} has more than {max_categories} values: group them before fitting")
-        categories[c] = sorted(r[0] for r in found)
+    categories = {c: sorted(r[0] for r in frame.select(f"f_{c}").distinct().collect()) for c in C.CATEGORICAL_FEATURES}
     covariates = cox_covariates(rows, medians, categories)
     d = rows.select(
         F.floor(F.col(C.DURATION_TARGET)).cast("double").alias("day"),
         F.coalesce(X.status_key("overall_status") == "COMPLETED", F.lit(False)).alias("event"),
-        F.array(*covariates.values()).alias("x"),
-    ).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return _newton(d, list(covariates), medians, categories, penalizer, max_iter, tolerance)
-    finally:
-        d.unpersist()
+        F.array(*covariates.values()).alias("x"))
+    return d, list(covariates), medians, categories
+
+
+def score_at_zero(rows: DataFrame, duration: str, event: Column, covariates: Sequence[str]) -> DataFrame:
+    """Per covariate: events, rows at risk on the first day, and gradient and information of the log partial
+    likelihood (Efron ties, raw scale) at coefficients of zero. Rows with a NULL among them are left out."""
+    d = rows.select(F.floor(F.col(duration)).cast("double").alias("day"), F.coalesce(event, F.lit(False)).alias("event"),
+                    F.array(*[F.col(c).cast("double") for c in covariates]).alias("x"))
+    d = d.where(F.col("day").isNotNull() & ~F.exists("x", F.isnull))
+    p = len(covariates)
+    zero, one = np.zeros(p), np.ones(p)
+    sums = _day_sums(d, zero, zero, one)
+    _, gradient, weights = _first_order(sums, p, zero)
+    information = _information(d, sums, weights, zero, zero, one)
+    return rows.sparkSession.createDataFrame(
+        [(c, int(sums[:, 1].sum()), int(round(sums[:, 2].sum())), float(gradient[i]), float(information[i, i])) for i, c in enumerate(covariates)],
+        "covariate string, events long, at_risk long, gradient double, information double")
 
 
 def _newton(d, names, medians, categories, penalizer, max_iter, tolerance) -> CoxModel:
@@ -175,92 +193,131 @@ def _newton(d, names, medians, categories, penalizer, max_iter, tolerance) -> Co
     means = np.array([stats[f"m{i}"] for i in range(p)], dtype=float)
     scales = np.array([stats[f"s{i}"] or 0.0 for i in range(p)], dtype=float)
     scales[~(scales > 1e-12)] = 1.0
-    n, beta, upper = stats["n"], np.zeros(p), np.triu_indices(p)
+    n, beta = stats["n"], np.zeros(p)
 
+    def at(beta):
+        sums = _day_sums(d, beta, means, scales)
+        value, gradient, weights = _first_order(sums, p, beta)
+        return sums, value / n - penalizer / 2 * beta @ beta, gradient / n - penalizer * beta, weights
+
+    sums, value, gradient, weights = at(beta)
+    information = _information(d, sums, weights, beta, means, scales)
     for _ in range(max_iter):
-        day_sums = _day_sums(d, beta, means, scales)
-        gradient, information = _partial_likelihood(day_sums, p, upper)
-        gradient = gradient / n - penalizer * beta
-        information = information / n + penalizer * np.eye(p)
-        step = np.linalg.solve(information, gradient)
-        beta = beta + step
+        step = np.linalg.solve(information / n + penalizer * np.eye(p), gradient)
+        while True:
+            sums, new, gradient, weights = at(beta + step)
+            if new >= value - 1e-10 * (1 + abs(value)) or np.max(np.abs(step)) < tolerance:
+                break
+            step = step / 2
+        beta, value = beta + step, new
+        information = _information(d, sums, weights, beta, means, scales)
         if np.max(np.abs(step)) < tolerance:
             break
-    day_sums = _day_sums(d, beta, means, scales)
-    _, information = _partial_likelihood(day_sums, p, upper)
+    else:
+        raise RuntimeError(f"the Cox model has not converged in {max_iter} steps (last step {np.max(np.abs(step)):.2g})")
     covariance = np.linalg.inv(information + n * penalizer * np.eye(p))
-    at_risk = np.cumsum(day_sums[::-1, 2])[::-1]
-    hazard = np.cumsum(day_sums[:, 1] / at_risk)
+    at_risk = np.cumsum(sums[::-1, 2])[::-1]
+    hazard = np.cumsum(sums[:, 1] / at_risk)
     return CoxModel(names, beta.tolist(), covariance.tolist(), means.tolist(), scales.tolist(),
-                    day_sums[:, 0].tolist(), hazard.tolist(), medians, categories)
+                    sums[:, 0].tolist(), hazard.tolist(), medians, categories)
 
 
 def _day_sums(d: DataFrame, beta: np.ndarray, means: np.ndarray, scales: np.ndarray) -> np.ndarray:
-    """Per day: day, events, then risk sums of all rows, of events, and the covariate sum of events."""
-    p = len(beta)
-    upper = np.triu_indices(p)
+    """Per day, in order: day, events, then sums of risk and risk * z over all rows and over events, and z over events."""
 
     def by_day(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        totals: dict[float, np.ndarray] = {}
         for batch in batches:
-            if len(batch) == 0:
-                continue
-            z = (np.stack(batch["x"].to_numpy()) - means) / scales
-            r = np.exp(z @ beta)
-            e = batch["event"].to_numpy(dtype=float)
-            outer = (z[:, :, None] * z[:, None, :])[:, upper[0], upper[1]]
-            risk = np.column_stack([r, r[:, None] * z, r[:, None] * outer])
-            sums = np.column_stack([e, risk, e[:, None] * risk, e[:, None] * z])
-            days, where = np.unique(batch["day"].to_numpy(), return_inverse=True)
-            grouped = np.zeros((len(days), sums.shape[1]))
-            np.add.at(grouped, where, sums)
-            for day, row in zip(days, grouped):
-                totals[day] = totals[day] + row if day in totals else row
-        yield pd.DataFrame({"day": list(totals), "sums": list(totals.values())})
-
-    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        totals: dict[float, np.ndarray] = {}
-        for batch in batches:
-            for day, row in zip(batch["day"], batch["sums"]):
-                totals[day] = totals[day] + row if day in totals else np.array(row)
-        yield pd.DataFrame({"day": list(totals), "sums": list(totals.values())})
+            if len(batch):
+                z = (np.stack(batch["x"].to_numpy()) - means) / scales
+                r = np.exp(z @ beta)[:, None]
+                e = batch["event"].to_numpy(dtype=float)[:, None]
+                order = np.argsort(batch["day"].to_numpy(), kind="stable")
+                days, first = np.unique(batch["day"].to_numpy()[order], return_index=True)
+                sums = np.hstack([e, r, r * z, e * r, e * r * z, e * z])[order]
+                yield pd.DataFrame({"day": days, "sums": list(np.add.reduceat(sums, first, axis=0))})
 
-    schema = "day double, sums array<double>"
-    merged = d.mapInPandas(by_day, schema).repartition("day").mapInPandas(merge, schema).toPandas()
+    p = len(beta)
+    parts = d.mapInPandas(by_day, "day double, sums array<double>")
+    merged = parts.groupBy("day").agg(F.array(*[F.sum(F.col("sums")[i]) for i in range(3 + 3 * p)]).alias("sums")).toPandas()
     merged = merged.sort_values("day")
+    if not len(merged):
+        raise ValueError("no rows with a duration")
     return np.column_stack([merged["day"].to_numpy(), np.stack(merged["sums"].to_numpy())])
 
 
-def _partial_likelihood(day_sums: np.ndarray, p: int, upper) -> tuple[np.ndarray, np.ndarray]:
-    """Gradient and information of the log partial likelihood with Efron's tie correction."""
-    q = len(upper[0])
-    events = day_sums[:, 1]
-    cut = lambda start, width: day_sums[:, start:start + width]
-    block = 1 + p + q
-    risk = np.cumsum(cut(2, block)[::-1], axis=0)[::-1]
-    tied, x_events = cut(2 + block, block), cut(2 + 2 * block, p)
-    gradient, information = np.zeros(p), np.zeros((p, p))
-
-    def square(packed: np.ndarray) -> np.ndarray:
-        full = np.zeros((p, p))
-        full[upper] = packed
-        return full + np.triu(full, 1).T
-
-    for i in np.flatnonzero(events):
-        (r0, r1, r2), (t0, t1, t2) = ((v[i][0], v[i][1:1 + p], v[i][1 + p:]) for v in (risk, tied))
-        a0, a1, b0, b1, b2 = _efron_sums(r0, t0, int(events[i]))
-        gradient += x_events[i] - (a0 * r1 - a1 * t1)
-        cross = np.outer(r1, t1)
-        means = b0 * np.outer(r1, r1) - b1 * (cross + cross.T) + b2 * np.outer(t1, t1)
-        information += square(a0 * r2 - a1 * t2) - means
-    return gradient, information
-
-
-def _efron_sums(r0: float, t0: float, d: int, chunk: int = 1_000_000) -> np.ndarray:
-    """Sums over k < d of 1/w, s/w, 1/w^2, s/w^2, s^2/w^2 with s = k/d, w = r0 - s t0, in bounded memory."""
-    totals = np.zeros(5)
-    for start in range(0, d, chunk):
-        s = np.arange(start, min(start + chunk, d)) / d
-        w = 1.0 / (r0 - s * t0)
-        totals += [w.sum(), (s * w).sum(), (w * w).sum(), (s * w * w).sum(), (s * s * w * w).sum()]
-    return totals
+def _first_order(sums: np.ndarray, p: int, beta: np.ndarray) -> tuple[float, np.ndarray, dict]:
+    """Log partial likelihood and its gradient with Efron's tie correction, and what the information needs of every day."""
+    events = sums[:, 1]
+    risk = np.cumsum(sums[::-1, 2:3 + p], axis=0)[::-1]
+    tied, x_events = sums[:, 3 + p:4 + 2 * p], sums[:, 4 + 2 * p:]
+    on = np.flatnonzero(events)
+    log_w, a0, a1, b0, b1, b2 = np.zeros((6, len(sums)))
+    log_w[on], a0[on], a1[on], b0[on], b1[on], b2[on] = efron_sums(risk[on, 0], tied[on, 0], events[on])
+    r1, t1 = risk[:, 1:], tied[:, 1:]
+    value = float(x_events.sum(0) @ beta - log_w.sum())
+    gradient = x_events.sum(0) - r1.T @ a0 + t1.T @ a1
+    cross = (r1 * b1[:, None]).T @ t1
+    means = (r1 * b0[:, None]).T @ r1 - cross - cross.T + (t1 * b2[:, None]).T @ t1
+    return value, gradient, {"all": np.cumsum(a0), "events": a1, "means": means}
+
+
+def _information(d: DataFrame, sums: np.ndarray, weights: dict, beta, means, scales) -> np.ndarray:
+    """The p x p information: one sum of risk * weight(day) * z z' over all rows, less the products of the risk means."""
+    days, of_all, of_events = sums[:, 0], weights["all"], weights["events"]
+
+    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((len(beta), len(beta)))
+        for batch in batches:
+            if len(batch):
+                z = (np.stack(batch["x"].to_numpy()) - means) / scales
+                at = np.searchsorted(days, batch["day"].to_numpy())
+                w = np.exp(z @ beta) * (of_all[at] - batch["event"].to_numpy(dtype=float) * of_events[at])
+                total += (z * w[:, None]).T @ z
+        yield pd.DataFrame({"row": range(len(beta)), "sums": list(total)})
+
+    p = len(beta)
+    parts = d.mapInPandas(products, "row int, sums array<double>")
+    rows = parts.groupBy("row").agg(F.array(*[F.sum(F.col("sums")[i]) for i in range(p)]).alias("sums")).collect()
+    total = np.zeros((p, p))
+    for r in rows:
+        total[r["row"]] = r["sums"]
+    return total - weights["means"]
+
+
+def efron_sums(risk: np.ndarray, tied: np.ndarray, events: np.ndarray, direct: int = 24) -> tuple[np.ndarray, ...]:
+    """Sums over k < d of log w, 1/w, s/w, 1/w^2, s/w^2 and s^2/w^2 with s = k/d and w = risk - s * tied, for every day.
+
+    With u = d * risk / tied they are sums over k of 1/(u - k) and its square: the last ``direct`` terms are added one by
+    one, the others are differences of digamma and trigamma by their asymptotic series. The cost per day is constant.
+    """
+    d, ratio = events.astype(float), tied / events
+    u = risk / ratio
+    rest = np.maximum(d - direct, 0.0)  # k < rest by series
+    k = np.arange(direct)[None, :] + rest[:, None]
+    w = np.where(k < d[:, None], risk[:, None] - k * ratio[:, None], 1.0)
+    s1 = np.where(k < d[:, None], ratio[:, None] / w, 0.0).sum(1)
+    s2 = np.where(k < d[:, None], (ratio[:, None] / w) ** 2, 0.0).sum(1)
+    log_w = np.where(k < d[:, None], np.log(w), 0.0).sum(1)
+    many = np.flatnonzero(rest)
+    if len(many):
+        hi, lo = u[many] + 1, u[many] - rest[many] + 1
+        s1[many] += _series(hi, lo, (-1 / 2, -1 / 12, 1 / 120, -1 / 252), (1, 2, 4, 6)) - np.log1p((lo - hi) / hi)
+        s2[many] += -_series(hi, lo, (1, 1 / 2, 1 / 6, -1 / 30, 1 / 42), (1, 2, 3, 5, 7))
+        stirling = lambda x: 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5)
+        # log gamma(hi) - log gamma(lo), its leading terms written as differences
+        log_u = (lo - 0.5) * np.log1p((hi - lo) / lo) + (hi - lo) * np.log(hi) - (hi - lo) + stirling(hi) - stirling(lo)
+        log_w[many] += log_u + rest[many] * np.log(ratio[many])
+    few = rest == 0  # exact where no term is left to the series
+    s = np.where(k < d[:, None], k / d[:, None], 0.0)
+    inverse = np.where(k < d[:, None], 1 / w, 0.0)
+    t = ratio
+    a0, b0 = s1 / t, s2 / t**2
+    a1 = np.where(few, (s * inverse).sum(1), (u * s1 - d) / (d * t))
+    b1 = np.where(few, (s * inverse**2).sum(1), (u * s2 - s1) / (d * t**2))
+    b2 = np.where(few, (s**2 * inverse**2).sum(1), (u**2 * s2 - 2 * u * s1 + d) / (d * t) ** 2)
+    return log_w, a0, a1, b0, b1, b2
+
+
+def _series(hi: np.ndarray, lo: np.ndarray, factors: Sequence[float], powers: Sequence[int]) -> np.ndarray:
+    """Sum of factor * (hi ** -power - lo ** -power)."""
+    return sum(f * (hi**-float(n) - lo**-float(n)) for f, n in zip(factors, powers))
