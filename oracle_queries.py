@@ -356,11 +356,15 @@ def build() -> dict[str, str]:
         FROM fac_study a JOIN fac_study b ON a.nct_id = b.nct_id AND a.country = b.country AND (a.facility_name, a.city) < (b.facility_name, b.city) GROUP BY 1, 2, 3, 4, 5, 6 HAVING count(DISTINCT a.nct_id) >= 2""")
     add("site_pairs_by_country", """SELECT a.country, a.facility_name AS facility_name_a, a.city AS city_a, b.facility_name AS facility_name_b, b.city AS city_b, count(DISTINCT a.nct_id) AS shared_trials
         FROM fac_study a JOIN fac_study b ON a.nct_id = b.nct_id AND a.country = b.country AND (a.facility_name, a.city) < (b.facility_name, b.city) GROUP BY 1, 2, 3, 4, 5 HAVING count(DISTINCT a.nct_id) >= 2""")
+    add("site_pairs_by_month", """SELECT a.name AS name_a, b.name AS name_b, count(*) AS shared_trials FROM sm a JOIN sm b ON a.month = b.month AND a.name < b.name GROUP BY 1, 2 HAVING count(*) >= 2""",
+        "sm AS (SELECT DISTINCT strftime(start_date, '%Y-%m') AS month, name FROM facilities JOIN studies USING (nct_id) WHERE name IS NOT NULL AND start_date IS NOT NULL)")
     adj = R("performance_score * coalesce(365.0 / greatest(avg_duration_days, 365.0), 1.0)", 10)
     add("site_recommendation", f"""SELECT rank, country, performance_score, completion_rate, n_completed, avg_duration_days, alloc AS allocated_enrollment, greatest(CAST(ceil(alloc / greatest(avg_enrollment, 10.0)) AS BIGINT), 1) AS recommended_sites,
         concat(CAST(n_completed AS VARCHAR), ' completed trials; completion rate ', CAST(CAST(round(completion_rate * 100) AS BIGINT) AS VARCHAR), '%; avg duration ', format('{{:.1f}}', avg_duration_days / 365.25), ' yrs') AS rationale
         FROM (SELECT *, row_number() OVER (ORDER BY adj DESC, country) AS rank, CAST(round(adj / sum(adj) OVER () * 1000) AS BIGINT) AS alloc FROM (SELECT *, {adj} AS adj FROM perf WHERE n_completed >= 3 ORDER BY adj DESC, country LIMIT 6))""", country_perf("gear"))
     z = lambda c: R(f"coalesce((coalesce({c}, 0) - avg(coalesce({c}, 0)) OVER ()) / nullif(stddev_pop(coalesce({c}, 0)) OVER (), 0), 0)", 4)
+    add("country_zscores_wide", "SELECT country, z1 AS n_trials, z2 AS completion_rate, z3 AS avg_enrollment FROM z",
+        country_perf(f"(SELECT * FROM studies WHERE {INTERVENTIONAL})") + f", z AS (SELECT country, {z('n_trials')} AS z1, {z('completion_rate')} AS z2, {z('avg_enrollment')} AS z3 FROM (SELECT * FROM perf ORDER BY n_trials DESC, country LIMIT 25))")
     add("country_zscores", "SELECT country, 'n_trials' AS metric, z1 AS z_score FROM z UNION ALL SELECT country, 'completion_rate', z2 FROM z UNION ALL SELECT country, 'avg_enrollment', z3 FROM z",
         country_perf(f"(SELECT * FROM studies WHERE {INTERVENTIONAL})") + f", z AS (SELECT country, {z('n_trials')} AS z1, {z('completion_rate')} AS z2, {z('avg_enrollment')} AS z3 FROM (SELECT * FROM perf ORDER BY n_trials DESC, country LIMIT 25))")
 
@@ -411,6 +415,13 @@ def build() -> dict[str, str]:
     add("kaplan_meier", f"""SELECT phase, days, CAST(events AS BIGINT) AS events, at_risk, {R('CASE WHEN dead THEN 0.0 ELSE exp(ls) END', 6)} AS survival FROM (SELECT *, sum(CASE WHEN events < at_risk THEN ln(1 - events / at_risk) ELSE 0 END) OVER w AS ls, bool_or(events = at_risk) OVER w AS dead FROM (
         SELECT phase, days, events, CAST(sum(n) OVER (PARTITION BY phase ORDER BY days DESC) AS BIGINT) AS at_risk FROM (SELECT phase, {d} AS days, count(*) AS n, sum(CAST(overall_status = 'Completed' AS INTEGER)) AS events FROM modeling WHERE {d} > 0 AND phase IN ('Phase 1', 'Phase 2', 'Phase 3', 'Phase 4') GROUP BY 1, 2)) WINDOW w AS (PARTITION BY phase ORDER BY days))
         WHERE phase IN (SELECT phase FROM modeling WHERE {d} > 0 GROUP BY 1 HAVING count(*) >= 20)""")
+    parts = " UNION ALL ".join(f"SELECT '{c}' AS covariate, floor({d}) AS day, CAST(overall_status = 'Completed' AS INTEGER) AS e, CAST({c} AS DOUBLE) AS x FROM modeling WHERE {d} IS NOT NULL AND phase_numeric IS NOT NULL" for c in ("phase_numeric", "n_facilities", "n_countries"))
+    add("cox_score_at_zero", f"""SELECT covariate, CAST(events AS BIGINT) AS events, CAST(at_risk AS BIGINT) AS at_risk, {R('es - sm', 4)} AS gradient, {R('sv', 4)} AS information FROM
+        (SELECT covariate, sum(k) AS events, sum(n) AS at_risk, sum(es) AS es FROM per_day GROUP BY 1) JOIN
+        (SELECT covariate, sum(m) AS sm, sum(mm - m * m) AS sv FROM (SELECT covariate, (rs - f * es) / (rn - f * k) AS m, (rss - f * ess) / (rn - f * k) AS mm FROM
+            (SELECT *, j / k AS f FROM (SELECT *, unnest(range(CAST(k AS BIGINT))) AS j FROM risk WHERE k > 0))) GROUP BY 1) USING (covariate)""",
+        f"""per_day AS (SELECT covariate, day, count(*) AS n, sum(e) AS k, sum(x) AS s, sum(x * x) AS ss, sum(e * x) AS es, sum(e * x * x) AS ess FROM ({parts}) GROUP BY 1, 2),
+        risk AS (SELECT *, sum(n) OVER w AS rn, sum(s) OVER w AS rs, sum(ss) OVER w AS rss FROM per_day WINDOW w AS (PARTITION BY covariate ORDER BY day DESC))""")
     labeled = "(SELECT nct_id, enrollment_met_target AS label FROM modeling WHERE enrollment_met_target IS NOT NULL)"
     add("stratified_split", f"SELECT nct_id, label, pos < round(size * 0.2) AS is_test FROM ({order_hash(labeled, 'label', 'nct_id')})")
     add("stratified_folds", f"SELECT nct_id, label, CAST(pos % 5 AS INTEGER) AS fold FROM ({order_hash(labeled, 'label', 'nct_id')})")
@@ -420,6 +431,13 @@ def build() -> dict[str, str]:
     add("risk_factor_rows", "SELECT doc_id, factor_no, risk_factor, coalesce(scored, 'medium') AS severity, suggestion, '' AS population_impact FROM factors", FACTORS)
     add("severity_counts", "SELECT position, severity, (SELECT count(*) FROM factors f WHERE f.scored = s.severity) AS n FROM (VALUES (1::BIGINT, 'high'), (2::BIGINT, 'medium'), (3::BIGINT, 'low')) s(position, severity)", FACTORS)
     add("criteria_validation", "SELECT doc_id, len(lines) AS n_factors, len(lines) = 0 AS lengths_match, TRUE AS severities_known FROM doc_lines", FACTORS)
+    add("criteria_enrichment", "SELECT doc_id, substr(sha256(text), 1, 16) AS cache_key, format('{{\"longest\": {}, \"n_lines\": {}}}', coalesce(list_max([length(x) FOR x IN lines]), 0), len(lines)) AS result FROM doc_lines JOIN documents USING (doc_id)", FACTORS)
     imp = "CASE WHEN o_totalprice > 300000 THEN 'favorable_A' WHEN o_totalprice > 100000 THEN 'favorable_B' WHEN o_totalprice > 50000 THEN 'unclear' END"
     add("comparison_rows", f"SELECT o_orderkey, 1::BIGINT AS difference_no, o_orderpriority AS criterion, o_orderstatus AS protocol_a, CAST(o_custkey AS VARCHAR) AS protocol_b, '' AS more_restrictive, coalesce({imp}, 'neutral') AS impact, CASE coalesce({imp}, 'neutral') WHEN 'favorable_A' THEN 'Favors A' WHEN 'favorable_B' THEN 'Favors B' WHEN 'neutral' THEN 'Neutral' ELSE {imp} END AS impact_label FROM orders")
+    add("comparison_validation", f"SELECT o_orderkey, ({imp}) IS NOT NULL AS impacts_match FROM orders")
+    add("landscape_nested", f"""SELECT 'phase_breakdown' AS part, coalesce(phase, 'N/A') AS name, count(*) AS n FROM gear WHERE {k} IN {ACTIVE} GROUP BY 2
+        UNION ALL SELECT 'temporal_density', 'last_' || m || 'm', count(*) FILTER (start_date >= DATE '{AS_OF}' - to_months(m)) FROM gear, (VALUES (6), (12), (24)) t(m) GROUP BY m
+        UNION ALL SELECT * FROM (SELECT 'top_countries', country, count(*) FROM facilities WHERE nct_id IN (SELECT nct_id FROM gear) GROUP BY 2 ORDER BY 3 DESC, 2 LIMIT 10)
+        UNION ALL SELECT * FROM (SELECT 'top_sponsors', sponsor_name, count(*) FROM leads WHERE nct_id IN (SELECT nct_id FROM gear WHERE {k} IN {ACTIVE}) GROUP BY 2 ORDER BY 3 DESC, 2 LIMIT 10)""")
+    q["site_performance_country"] = f"SELECT * FROM ({q['site_performance']}) WHERE lower(country) = '{COUNTRY.lower()}'"
     return q

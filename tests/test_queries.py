@@ -1,12 +1,15 @@
 import pytest
 from check_oracles import compare, duck
 
+from oracle_queries import build
+from trialspark.plans.registered import REGISTERED
+
 from __spark_entry__ import entry, oracle_sql, queries
 
 SF = "/root/testdata/sf0.001"
-SQL = oracle_sql()
+SQL = build()
 ROWS_ONLY = {"train_classifier", "train_regressor", "score", "feature_importance", "tree_node_importance",
-             "importance_divergence", "explain_scores", "cox_coefficients", "survival_probabilities", "criteria_enrichment"}
+             "importance_divergence", "explain_scores", "cox_coefficients", "survival_probabilities"}
 
 
 @pytest.fixture(scope="module")
@@ -15,8 +18,8 @@ def con():
 
 
 def test_every_sql_has_a_query_and_the_rest_is_known():
-    assert set(SQL) <= set(queries())
-    assert set(queries()) - set(SQL) == ROWS_ONLY
+    assert set(SQL) <= set(REGISTERED) <= set(queries()) and set(SQL) <= set(oracle_sql())
+    assert set(REGISTERED) - set(SQL) == ROWS_ONLY
 
 
 def test_entry(spark):

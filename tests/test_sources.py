@@ -67,3 +67,31 @@ def test_sql_text_binds_parameters(spark, tables):
     cached = tables.persist(["countries"])
     assert cached.countries.is_cached
     cached.unpersist()
+
+
+def test_quoted_breaks_across_file_blocks_give_the_same_rows(spark, tmp_path):
+    want = {}
+    for name in ("a", "b"):
+        with open(tmp_path / f"{name}.txt", "w", newline="") as out:
+            out.write("id|nct_id|criteria|gender\r\n")
+            for i in range(120):
+                text = None if i % 11 == 0 else f"Inclusion {name}{i}:\n\n - age \"{i}\" | years\r\n" + "- more words\n" * (i % 5)
+                cell = "" if text is None else '"' + text.replace('"', '""') + '"'
+                want[f"N{name}{i}"] = text
+                out.write(f"{i}|N{name}{i}|{cell}|ALL\r\n")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for size in ("128m", "97b"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "0b")
+            got = R.read_text_table(spark, str(tmp_path), "eligibilities").collect()
+            assert len(got) == 240 and all(r["gender"] == "ALL" for r in got)
+            assert {r["nct_id"]: r["criteria"] and r["criteria"].strip() for r in got} == {k: v and v.strip() for k, v in want.items()}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_jdbc_asks_for_the_partitioning_of_every_table(spark):
+    with pytest.raises(ValueError, match="studies"):
+        R.load_from_jdbc(spark, "jdbc:none", {"conditions": {}}, only=["studies"])

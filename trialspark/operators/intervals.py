@@ -57,7 +57,10 @@ def count_overlaps(
 
 
 def _meeting(d: DataFrame, by: list[str], out: str) -> DataFrame:
-    """``d`` plus ``out``: rows of the group whose interval meets [_s, _e], the row itself included."""
+    """``d`` plus ``out``: rows of the group whose interval meets [_s, _e], the row itself included.
+
+    Everything is counted per distinct interval; the rows themselves are joined once, to their interval's answer.
+    """
     # The filter on the count keeps the column in every branch below, so all of them read one exchange.
     iv = (
         d.where("_s IS NOT NULL AND _e IS NOT NULL").groupBy(*by, "_s", "_e")
@@ -76,9 +79,10 @@ def _meeting(d: DataFrame, by: list[str], out: str) -> DataFrame:
     )
     at_end = days.select(*by, F.col("_day").alias("_e"), "_started")
     at_start = days.select(*by, F.col("_day").alias("_s"), "_ended")
-    counted = join_on(join_on(d, at_end, [*by, "_e"], "left"), at_start, [*by, "_s"], "left")
+    counted = join_on(join_on(iv.drop("_n"), at_end, [*by, "_e"]), at_start, [*by, "_s"])
     counted = join_on(counted, _dominance(iv, by), [*by, "_s", "_e"], "left")
-    return counted.withColumn(out, F.expr("_started - _ended + coalesce(_gap, 0)")).drop("_started", "_ended", "_gap")
+    answer = counted.select(*by, "_s", "_e", F.expr("_started - _ended + coalesce(_gap, 0)").alias(out))
+    return join_on(d, answer, [*by, "_s", "_e"], "left")
 
 
 def _dominance(iv: DataFrame, by: list[str]) -> DataFrame:

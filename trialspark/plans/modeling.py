@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, functions as F
 
 from trialspark.functions import columns as X, constants as C, filters as P
@@ -35,14 +37,17 @@ def competing_trials(cleaned: DataFrame, conditions: DataFrame, open_end="2035-1
 
 def build_modeling_table(
     tables: TrialTables, min_start_year: int = 2008, min_enrollment: float = 10,
-    open_end="2035-12-31", ratio_cap: float = 2.0,
+    open_end="2035-12-31", ratio_cap: float = 2.0, stage: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Cleaned studies with every feature and target; one lazy plan, no action.
 
-    Every child table is reduced to one row per study (narrow joins on condition and sponsor come
+    The cleaned studies are read four more times, by overlaps, sponsor counts and the median. ``stage`` (such as
+    ``session.stored``) writes them once, with their duration, and lets all of those read the narrow table. Every child table is reduced to one row per study (narrow joins on condition and sponsor come
     first), so all joins of the wide row are on ``nct_id`` and share its partitioning.
     """
     df = S.clean_studies(tables.studies, min_start_year, min_enrollment)
+    if stage is not None:
+        df = stage(df)
     cleaned = df
     df = df.withColumns({
         "study_type": X.normalized("study_type"),
@@ -120,11 +125,14 @@ def build_modeling_table(
     return df
 
 
-def enrollment_extract(tables: TrialTables, min_start_year: int = 2008, order: bool = False) -> DataFrame:
+def enrollment_extract(
+    tables: TrialTables, min_start_year: int = 2008, order: bool = False, stage: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
     """One row per study with targets, characteristics and labels, by the SQL rules.
 
     Statuses drop NULL, unknown phases have no ordinal, the condition frequency counts studies, and
-    actual and target enrollment are separate columns.
+    actual and target enrollment are separate columns. ``stage`` (such as ``session.stored``) writes what the
+    sponsor history reads several times.
     """
     t = tables
     base = t.studies.where(
@@ -135,7 +143,7 @@ def enrollment_extract(tables: TrialTables, min_start_year: int = 2008, order: b
     first = S.primary_value(t.conditions, "downcase_name", "condition")
     frequency = S.condition_frequency(t.conditions, "studies").withColumnRenamed("condition_lower", "condition")
     condition = first.join(frequency, "condition", "left")
-    history = S.sponsor_ratio_history(t.sponsors, t.studies)
+    history = S.sponsor_ratio_history(t.sponsors, t.studies, stage)
     sponsor = S.lead_sponsor(t.sponsors).join(history, "sponsor_name", "left")
     joined = (
         base.join(cv, "nct_id", "left").join(condition, "nct_id", "left")

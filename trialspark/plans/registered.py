@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -14,7 +15,7 @@ from trialspark.operators import (
 )
 from trialspark.operators.ordered import exact_percentiles
 from trialspark.plans.modeling import build_modeling_table, competing_trials, enrollment_extract
-from trialspark.session import checkpointed, shared_folder
+from trialspark.session import shared_folder, stored
 from trialspark.sources.bindings import registry, table
 
 YEAR, AS_OF = 1996, "2001-08-01"
@@ -63,19 +64,8 @@ def _from_base(base: str, **queries) -> None:
         REGISTERED[name] = lambda spark, sf, fn=fn: fn(table(spark, sf, base))
 
 
-_BUILT: dict[tuple[str, str, str], object] = {}
-
-
-def _once(kind: str, spark: SparkSession, sf: str, build):
-    """Plans and fitted models are built once per application and folder."""
-    key = (kind, spark.sparkContext.applicationId, sf)
-    if key not in _BUILT:
-        _BUILT[key] = build()
-    return _BUILT[key]
-
-
 def modeling(spark: SparkSession, sf: str) -> DataFrame:
-    return _once("modeling plan", spark, sf, lambda: build_modeling_table(registry(spark, sf), YEAR))
+    return build_modeling_table(registry(spark, sf), YEAR)
 
 
 def _market(t) -> DataFrame:
@@ -125,7 +115,7 @@ _from_tables(
     primary_condition=lambda t: S.primary_value(t.conditions, "name", "condition"),
     condition_frequency=_frequency,
     sponsor_history=lambda t: _rounded(
-        S.sponsor_ratio_history(t.sponsors, t.studies), 6, "sponsor_median_enrollment_ratio"),
+        S.sponsor_ratio_history(t.sponsors, t.studies, stored), 6, "sponsor_median_enrollment_ratio"),
     sponsor_performance_scaled=lambda t: _rounded(S.scaled_sponsor_performance(
         S.sponsor_completed_counts(t.sponsors, _cleaned(t))), 6, "sponsor_historical_performance"),
     lead_sponsor=lambda t: S.lead_sponsor(t.sponsors),
@@ -137,20 +127,26 @@ _from_tables(
         _market(t).select("nct_id", "start_date", "effective_end"), end="effective_end", open_end=None,
         out="concurrent_trial_count").select("nct_id", "concurrent_trial_count"),
     enrollment_extract=lambda t: _rounded(
-        enrollment_extract(t, YEAR), 6, "sponsor_historical_performance", "enrollment_ratio").drop("study_type"),
+        enrollment_extract(replace(t, studies=stored(t.studies)), YEAR, stage=stored), 6, "sponsor_historical_performance", "enrollment_ratio").drop("study_type"),
 )
 _from_modeling(
     competitors_in_window=lambda m: I.competitors_in_window(
         m, condition=CONDITION, window_start=WINDOW[0], window_end=WINDOW[1]),
-    modeling_table=lambda m: _rounded(
-        m.select(*MODEL_COLUMNS, "enrollment_ratio", "geographic_concentration", "sponsor_historical_performance"),
-        6, "enrollment_ratio", "geographic_concentration", "sponsor_historical_performance"),
     filter_state=lambda m: P.FilterState(
         condition_query="bolt", phases=("Phase 1", "Phase 3"), sponsor_types=("industry", "academic"),
         start_from="1996-06-01", start_to="2000-12-31", min_enrollment=50, max_enrollment=900,
     ).apply(m).select("nct_id", "condition", "phase", "sponsor_type", "start_date", "enrollment"),
 )
 
+
+
+@_query
+def modeling_table(spark: SparkSession, sf: str) -> DataFrame:
+    ratios = ("enrollment_ratio", "geographic_concentration", "sponsor_historical_performance")
+    m = build_modeling_table(registry(spark, sf), YEAR, stage=stored)
+    return _rounded(m.select(*MODEL_COLUMNS, *ratios), 6, *ratios)
+
+
 # ---- landscape --------------------------------------------------------------------
 
 _from_tables(
@@ -192,8 +188,12 @@ _from_tables(
     site_network_nodes=lambda t: N.network_nodes(t, CONDITION),
     site_network_edges=lambda t: N.network_edges(t, CONDITION),
     site_pairs=lambda t: N.shared_trial_edges(_facility_rows(t)),
+    site_pairs_by_month=lambda t: N.shared_trial_edges(
+        t.facilities.join(t.studies.select("nct_id", F.date_format("start_date", "yyyy-MM").alias("month")), "nct_id"),
+        trial="month", site=("name",), within=()),
     site_pairs_by_country=lambda t: N.shared_trial_edges(_facility_rows(t), within=("country",)),
     site_recommendation=lambda t: T.recommend_sites(t, CONDITION, 1000, 6),
+    country_zscores_wide=lambda t: T.country_zscores(T.country_performance(t), _Z_METRICS, wide=True),
     country_zscores=lambda t: T.country_zscores(T.country_performance(t), _Z_METRICS),
     kpi_summary=E.kpi_summary,
     dataset_summary=E.dataset_summary,
@@ -202,6 +202,21 @@ _from_tables(
 )
 
 
+@_query
+def site_performance_country(spark: SparkSession, sf: str) -> DataFrame:
+    d = T.site_performance(registry(spark, sf).facilities, modeling(spark, sf), COUNTRY.lower())
+    return _rounded(d, 6, "avg_enrollment_ratio", "median_enrollment_ratio", "avg_duration_days", "avg_target_enrollment")
+
+
+@_query
+def landscape_nested(spark: SparkSession, sf: str) -> DataFrame:
+    """The nested breakdowns of the one-row landscape, one row for each of their entries."""
+    one = L.landscape(registry(spark, sf), CONDITION, AS_OF)
+    lists = [one.select(F.lit(c).alias("part"), F.explode(c).alias("e")).select("part", "e.name", F.col("e.count").alias("n")) for c in ("top_countries", "top_sponsors")]
+    maps = [one.select(F.lit(c).alias("part"), F.explode(c).alias("name", "n")) for c in ("phase_breakdown", "temporal_density")]
+    return lists[0].unionByName(lists[1]).unionByName(maps[0]).unionByName(maps[1])
+
+
 @_query
 def site_performance(spark: SparkSession, sf: str) -> DataFrame:
     d = T.site_performance(registry(spark, sf).facilities, modeling(spark, sf))
@@ -321,7 +336,8 @@ _from_base(
     severity_counts=lambda d: K.severity_counts(_analysis(d)),
     criteria_validation=lambda d: K.validate_analysis(_analysis(d), "doc_id"),
 )
-_from_base("orders", comparison_rows=lambda d: K.comparison_rows(_comparison(d), "o_orderkey"))
+_from_base("orders", comparison_rows=lambda d: K.comparison_rows(_comparison(d), "o_orderkey"),
+           comparison_validation=lambda d: K.validate_comparison(_comparison(d), "o_orderkey"))
 
 
 @_query
@@ -331,7 +347,9 @@ def criteria_enrichment(spark: SparkSession, sf: str) -> DataFrame:
         return {"n_lines": len(lines), "longest": max((len(x) for x in lines), default=0)}
 
     cache = f"{shared_folder(spark)}/criteria-cache-{uuid.uuid4().hex}"
-    return K.enrich(table(spark, sf, "documents").select("doc_id", "text"), ["text"], line_facts, cache).drop("text")
+    texts = table(spark, sf, "documents").select("doc_id", "text")
+    K.enrich(texts, ["text"], line_facts, cache)
+    return K.enrich(texts, ["text"], line_facts, cache).drop("text")  # the second run finds every answer in the cache
 
 
 # ---- models ------------------------------------------------------------------------
@@ -341,18 +359,14 @@ _SMALL_TREES = {"maxIter": 5, "maxDepth": 3}
 
 
 def _stored_modeling(spark: SparkSession, sf: str) -> DataFrame:
-    """The modeling table written once, since training reads it many times."""
-    return _once("modeling table", spark, sf, lambda: checkpointed(modeling(spark, sf)))
+    """The modeling table written once for a query, since training reads it many times."""
+    return stored(build_modeling_table(registry(spark, sf), YEAR, stage=stored))
 
 
-def _forecaster(spark: SparkSession, sf: str):
+def _forecaster(m: DataFrame):
     from trialspark.ml.train import Forecaster
 
-    return _once("trees", spark, sf, lambda: Forecaster(_SMALL_TREES, _SMALL_TREES).fit(_stored_modeling(spark, sf)))
-
-
-def _cox(spark: SparkSession, sf: str) -> U.CoxModel:
-    return _once("cox", spark, sf, lambda: U.fit_cox(_stored_modeling(spark, sf)))
+    return Forecaster(_SMALL_TREES, _SMALL_TREES).fit(m)
 
 
 @_query
@@ -365,25 +379,26 @@ def train_classifier(spark: SparkSession, sf: str) -> DataFrame:
 @_query
 def train_regressor(spark: SparkSession, sf: str) -> DataFrame:
     m = _stored_modeling(spark, sf)
-    scored = _forecaster(spark, sf).predict(m, ("nct_id", C.DURATION_TARGET))
+    scored = _forecaster(m).predict(m, ("nct_id", C.DURATION_TARGET))
     return V.regression_diagnostics(scored, C.DURATION_TARGET, "pred_duration_days")
 
 
 @_query
 def score(spark: SparkSession, sf: str) -> DataFrame:
-    return _forecaster(spark, sf).predict(_stored_modeling(spark, sf))
+    m = _stored_modeling(spark, sf)
+    return _forecaster(m).predict(m)
 
 
 @_query
 def feature_importance(spark: SparkSession, sf: str) -> DataFrame:
-    return _forecaster(spark, sf).feature_importances(spark)
+    return _forecaster(_stored_modeling(spark, sf)).feature_importances(spark)
 
 
 @_query
 def tree_node_importance(spark: SparkSession, sf: str) -> DataFrame:
     from trialspark.ml.explain import node_importance
 
-    f = _forecaster(spark, sf)
+    f = _forecaster(_stored_modeling(spark, sf))
     return node_importance(spark, f.classifier.stages[-1], f.names)
 
 
@@ -391,25 +406,34 @@ def tree_node_importance(spark: SparkSession, sf: str) -> DataFrame:
 def importance_divergence(spark: SparkSession, sf: str) -> DataFrame:
     from trialspark.ml.explain import importance_divergence as divergence
 
-    return divergence(_forecaster(spark, sf).feature_importances(spark))
+    return divergence(_forecaster(_stored_modeling(spark, sf)).feature_importances(spark))
 
 
 @_query
 def explain_scores(spark: SparkSession, sf: str) -> DataFrame:
     from trialspark.ml import explain, prep
 
-    f = _forecaster(spark, sf)
-    frame = prep.feature_frame(_stored_modeling(spark, sf), ["nct_id"])
+    m = _stored_modeling(spark, sf)
+    f = _forecaster(m)
+    frame = prep.feature_frame(m, ["nct_id"])
     return explain.mean_contributions(explain.explain(spark, f.classifier, frame, "nct_id", f.names), f.names)
 
 
+@_query
+def cox_score_at_zero(spark: SparkSession, sf: str) -> DataFrame:
+    completed = X.status_key("overall_status") == "COMPLETED"
+    found = U.score_at_zero(modeling(spark, sf), C.DURATION_TARGET, completed, ["phase_numeric", "n_facilities", "n_countries"])
+    return _rounded(found, 4, "gradient", "information")
+
+
 @_query
 def cox_coefficients(spark: SparkSession, sf: str) -> DataFrame:
-    return _cox(spark, sf).hazard_ratios(spark)
+    return U.fit_cox(_stored_modeling(spark, sf)).hazard_ratios(spark)
 
 
 @_query
 def survival_probabilities(spark: SparkSession, sf: str) -> DataFrame:
-    model = _cox(spark, sf)
-    d = model.predict_median(model.predict_survival(_stored_modeling(spark, sf)))
+    m = _stored_modeling(spark, sf)
+    model = U.fit_cox(m)
+    d = model.predict_median(model.predict_survival(m))
     return d.select("nct_id", *[f"S_t{t}" for t in C.SURVIVAL_TIME_POINTS], "pred_median_duration_days")

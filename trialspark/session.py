@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
+import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,7 +31,8 @@ def local_session(cpus: int | str = "*", app: str = "trialspark", memory: str |
 def shared_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``, shared by all executors.
 
-    Only a local master without that setting falls back to a temporary folder.
+    Only a local master without that setting falls back to a temporary folder. On a cluster a ``file:`` folder has to
+    be mounted on every machine, which nothing here can see, so it is warned of.
     """
     sc = spark.sparkContext
     folder = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
@@ -37,6 +40,8 @@ def shared_folder(spark: SparkSession) -> str:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         folder = tempfile.mkdtemp(prefix="trialspark-shared-")
+    if str(folder).startswith("file:") and not sc.master.startswith("local"):
+        warnings.warn(f"{folder} is on local disks: it must be mounted on every executor", stacklevel=2)
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
@@ -46,3 +51,14 @@ def checkpointed(df: DataFrame, eager: bool = True) -> DataFrame:
     """Write ``df`` to the shared folder and cut its lineage, so branches read it instead of redoing it."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write ``df`` as parquet to the shared folder and read it back, so that readers prune its columns.
+
+    Unlike a checkpoint the files stay until the folder is cleared; a run of ``stored`` is a Spark job.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)

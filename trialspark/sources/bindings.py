@@ -22,15 +22,9 @@ def _choice(c: str, pairs: dict[str, str | None], default: str | None = None) ->
     return out.otherwise(F.lit(default).cast("string"))
 
 
-_PLANS: dict[tuple[str, str], TrialTables] = {}
-
-
 def registry(spark: SparkSession, sf_dir: str) -> TrialTables:
-    """The bound tables: lazy plans, built once per application and folder."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _PLANS:
-        _PLANS[key] = _bind(spark, sf_dir)
-    return _PLANS[key]
+    """The bound tables: lazy plans over the files as they are now."""
+    return _bind(spark, sf_dir)
 
 
 def _bind(spark: SparkSession, sf_dir: str) -> TrialTables:

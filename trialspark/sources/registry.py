@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass, fields
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.storagelevel import StorageLevel
 
 from trialspark.functions import columns as X, constants as C
@@ -75,21 +75,54 @@ def load_registry(spark: SparkSession, directory: str) -> TrialTables:
     return TrialTables.of(load_tables(spark, directory))
 
 
+_TEXT_FORMAT = {"sep": "|", "quote": '"', "escape": '"'}
+
+
 def read_text_table(spark: SparkSession, path: str, table: str) -> DataFrame:
     """A pipe-delimited registry file with a header.
 
-    Columns are matched by header name, so files may hold more columns, or in another order. Files
-    with line breaks inside quoted text are read whole per file, so ship such a table as many files.
+    Columns are matched by header name, so files may hold more columns, or in another order. Line breaks inside quoted
+    text, as in eligibilities, do not keep a file from being split: see ``_quoted_records``.
     """
-    raw = (
-        spark.read.option("sep", "|").option("header", True).option("quote", '"').option("escape", '"')
-        .option("multiLine", table == "eligibilities").csv(path)
-    )
+    if table == "eligibilities":
+        raw = _quoted_records(spark, path)
+    else:
+        raw = spark.read.options(**_TEXT_FORMAT).option("header", True).csv(path)
     cleaned = raw.select(*[X.null_tokens(f"`{c}`").alias(c) for c in raw.columns])
     df = conform(cleaned, table)
     return normalize_studies(df) if table == "studies" else df
 
 
+def _quoted_records(spark: SparkSession, path: str) -> DataFrame:
+    """Records of delimited files whose quoted fields hold line breaks, read by as many tasks as the files have blocks.
+
+    A line starts a record if an even number of quotes stands before it. Quotes are counted per file block, the blocks of
+    a file are summed up, and lines are then numbered inside their block. Only the pieces of records are shuffled.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"), "value")
+    lines = lines.withColumn("quotes", F.length("value") - F.length(F.replace("value", F.lit('"'))))
+    before = Window.partitionBy("file", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    own = lines.withColumn("odd", F.coalesce(F.sum("quotes").over(before), F.lit(0)) % 2)
+    blocks = own.groupBy("file", "block").agg(
+        F.sum("quotes").alias("quotes"), F.count_if(F.col("odd") == 0).alias("even_starts"), F.count_if(F.col("odd") == 1).alias("odd_starts"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # one row for each block
+    blocks = blocks.withColumn("shift", F.coalesce(F.sum("quotes").over(earlier), F.lit(0)) % 2)
+    started = F.when(F.col("shift") == 0, F.col("even_starts")).otherwise(F.col("odd_starts"))
+    blocks = blocks.select("file", "block", "shift", F.coalesce(F.sum(started).over(earlier), F.lit(0)).alias("records"))
+    upto = Window.partitionBy("file", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    placed = own.join(blocks, ["file", "block"]).withColumn("starts", F.col("odd") == F.col("shift"))
+    placed = placed.withColumn("record", F.col("records") + F.sum(F.col("starts").cast("int")).over(upto))
+    parts = F.array_sort(F.collect_list(F.struct("block", "at", "value")))
+    records = placed.groupBy("file", "record").agg(F.array_join(F.transform(parts, lambda x: x["value"]), "\n").alias("text"))
+    records = records.select("record", F.rtrim("text", F.lit("\r")).alias("text")).where("text <> ''")
+    header = spark.read.options(**_TEXT_FORMAT).option("header", True).csv(path).columns
+    schema = ", ".join(f"`{c}` string" for c in header)
+    # the header is the first record of every file
+    return records.where("record > 1").select(F.from_csv("text", schema, {**_TEXT_FORMAT, "maxCharsPerColumn": "-1"}).alias("r")).select("r.*")
+
+
 def normalize_studies(df: DataFrame) -> DataFrame:
     """Phase repair and title-cased status, applied before studies are stored."""
     repaired = X.literal_map(C.PHASE_SPELLINGS)[X.normalized("phase")]
@@ -149,18 +182,21 @@ def resolve_source(
 
 
 def load_from_jdbc(
-    spark: SparkSession, url: str, schema: str = "ctgov", only: Iterable[str] = C.TABLES,
-    partitions: dict[str, dict] | None = None, **options: str,
+    spark: SparkSession, url: str, partitions: dict[str, dict], schema: str = "ctgov",
+    only: Iterable[str] = C.TABLES, **options: str,
 ) -> TrialTables:
     """A live relational registry.
 
-    ``partitions[table]`` takes partitionColumn / lowerBound / upperBound / numPartitions, so that a
-    large table is read by many tasks.
+    ``partitions[table]`` takes partitionColumn / lowerBound / upperBound / numPartitions for every table,
+    so that each is read by many tasks.
     """
+    wanted = ("partitionColumn", "lowerBound", "upperBound", "numPartitions")
+    if lacking := [t for t in only if any(k not in partitions.get(t, {}) for k in wanted)]:
+        raise ValueError(f"say how to partition {', '.join(lacking)}: {', '.join(wanted)}")
     tables = {}
     for table in only:
         reader = spark.read.format("jdbc").option("url", url).option("dbtable", f"{schema}.{table}")
-        for k, v in {**options, **(partitions or {}).get(table, {})}.items():
+        for k, v in {**options, **partitions[table]}.items():
             reader = reader.option(k, v)
         tables[table] = reader.load()
     return TrialTables.of(tables)
