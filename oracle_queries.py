@@ -439,5 +439,12 @@ def build() -> dict[str, str]:
         UNION ALL SELECT 'temporal_density', 'last_' || m || 'm', count(*) FILTER (start_date >= DATE '{AS_OF}' - to_months(m)) FROM gear, (VALUES (6), (12), (24)) t(m) GROUP BY m
         UNION ALL SELECT * FROM (SELECT 'top_countries', country, count(*) FROM facilities WHERE nct_id IN (SELECT nct_id FROM gear) GROUP BY 2 ORDER BY 3 DESC, 2 LIMIT 10)
         UNION ALL SELECT * FROM (SELECT 'top_sponsors', sponsor_name, count(*) FROM leads WHERE nct_id IN (SELECT nct_id FROM gear WHERE {k} IN {ACTIVE}) GROUP BY 2 ORDER BY 3 DESC, 2 LIMIT 10)""")
+    add("importance_normalisation", f"""SELECT feature, metric, score, {R('CASE WHEN max(score) OVER (PARTITION BY metric) > 0 THEN score / max(score) OVER (PARTITION BY metric) ELSE 0.0 END', 6)} AS score_norm FROM brands UNPIVOT (score FOR metric IN (gain, weight, cover))""",
+        "brands AS (SELECT p_brand AS feature, sum(floor(p_retailprice))::DOUBLE AS gain, count(*)::DOUBLE AS weight, 0.0::DOUBLE AS cover FROM part GROUP BY 1)")
+    add("importance_agreement", f"""SELECT feature, clf_importance, reg_importance, mean_importance, {R('c', 6)} AS clf_norm, {R('r', 6)} AS reg_norm, {R('delta', 6)} AS delta, {R('1 - delta / greatest(max(delta) OVER (), 1e-9)', 6)} AS agreement, delta > 0.05 AS diverges
+        FROM (SELECT *, abs(c - r) AS delta FROM (SELECT *, clf_importance / max(clf_importance) OVER () AS c, reg_importance / max(reg_importance) OVER () AS r, (clf_importance + reg_importance) / 2 AS mean_importance FROM brands) ORDER BY mean_importance DESC, feature LIMIT 15)""",
+        "brands AS (SELECT p_brand AS feature, sum(floor(p_retailprice))::DOUBLE AS clf_importance, sum(p_size)::DOUBLE AS reg_importance FROM part GROUP BY 1)")
+    add("contribution_waterfall", """SELECT p_partkey, CAST(row_number() OVER (PARTITION BY p_partkey ORDER BY value, feature) - 1 AS INTEGER) AS position, value, feature FROM
+        (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY abs(value) DESC, feature, value) AS place FROM (SELECT p_partkey, unnest(['size', 'price', 'key', 'rest']) AS feature, unnest([p_size - 25.0::DOUBLE, floor(p_retailprice) - 1200.0::DOUBLE, p_partkey % 7 - 3.0::DOUBLE, 0.5::DOUBLE]) AS value FROM part)) WHERE place <= 3""")
     q["site_performance_country"] = f"SELECT * FROM ({q['site_performance']}) WHERE lower(country) = '{COUNTRY.lower()}'"
     return q

@@ -437,3 +437,32 @@ def survival_probabilities(spark: SparkSession, sf: str) -> DataFrame:
     model = U.fit_cox(m)
     d = model.predict_median(model.predict_survival(m))
     return d.select("nct_id", *[f"S_t{t}" for t in C.SURVIVAL_TIME_POINTS], "pred_median_duration_days")
+
+
+# The rules behind the model reports, over values that the tables give, so that SQL can follow them.
+
+@_query
+def importance_normalisation(spark: SparkSession, sf: str) -> DataFrame:
+    from trialspark.ml.explain import normalized_long
+
+    wide = table(spark, sf, "part").groupBy(F.col("p_brand").alias("feature")).agg(
+        F.sum(F.floor("p_retailprice")).cast("double").alias("gain"), F.count(F.lit(1)).cast("double").alias("weight"), F.lit(0.0).alias("cover"))
+    return _rounded(normalized_long(wide, "feature", ["gain", "weight", "cover"]), 6, "score_norm")
+
+
+@_query
+def importance_agreement(spark: SparkSession, sf: str) -> DataFrame:
+    from trialspark.ml.explain import importance_divergence as divergence
+
+    own = table(spark, sf, "part").groupBy(F.col("p_brand").alias("feature")).agg(
+        F.sum(F.floor("p_retailprice")).cast("double").alias("clf_importance"), F.sum("p_size").cast("double").alias("reg_importance"))
+    own = own.withColumn("mean_importance", (F.col("clf_importance") + F.col("reg_importance")) / 2)
+    return _rounded(divergence(own, top=15, limit=0.05), 6, "clf_norm", "reg_norm", "delta", "agreement")
+
+
+@_query
+def contribution_waterfall(spark: SparkSession, sf: str) -> DataFrame:
+    from trialspark.ml.explain import row_waterfall
+
+    values = F.array(F.col("p_size") - 25.0, F.floor("p_retailprice") - 1200.0, F.col("p_partkey") % 7 - 3.0, F.lit(0.5))
+    return row_waterfall(table(spark, sf, "part").select("p_partkey", values.alias("contributions")), ["size", "price", "key", "rest"], "p_partkey", top=3)
