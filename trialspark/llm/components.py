@@ -23,6 +23,12 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node links to one centre only, and no centre links on to a lesser node."""
+    rows, nodes, upward = edges.agg(F.count("*"), F.count_distinct("a"), F.count_if(F.col("a") < F.col("b"))).first()
+    return rows == nodes and not upward and edges.join(edges.select(F.col("b").alias("a")), "a", "left_semi").isEmpty()
+
+
 def connected_components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of ``links`` (a, b); the component is its least node.
 
@@ -31,12 +37,7 @@ def connected_components(links: DataFrame) -> DataFrame:
     size of a component, and no component is ever held in one place.
     """
     edges = checkpointed(links.select("a", "b").where("a <> b").distinct())
-    seen = None
-    while True:
+    while not _are_stars(edges):
         edges = checkpointed(_small_star(_star(edges)))
-        state = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if state == seen:
-            break
-        seen = state
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
         edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -217,12 +217,15 @@ def rejected(limits: dict[str, tuple[float, float, float]], tolerance: float = 8
     """Whether a scored text fits its best language so badly that it belongs to none of them.
 
     A text without a language is rejected. Another one is if its cross-entropy exceeds its language's mean by
-    ``tolerance`` times the spread that texts of its length have.
+    ``tolerance`` times the spread that texts of its length have, and is also nearer to that of guessing each character
+    blindly than to the mean. So odd but readable texts stay.
     """
     if not limits:
         return F.lit(True)
     m, s, u = (_by_language({k: float(v[i]) for k, v in limits.items()}) for i in range(3))
-    return F.coalesce(F.col("cross_entropy") > m + tolerance * F.greatest(s, u / F.sqrt("n_grams")) + 0.01, F.lit(True))
+    blind = float(np.log(1 << BITS))
+    limit = F.greatest(m + tolerance * F.greatest(s, u / F.sqrt("n_grams")), (m + blind) / 2)
+    return F.coalesce(F.col("cross_entropy") > limit, F.lit(True))
 
 
 def identify_language(eligibilities: DataFrame, models: LanguageModels, *, key: str = "nct_id", text: str = "criteria") -> DataFrame:
