@@ -151,7 +151,7 @@ def chance_within(n: int, sums: np.ndarray, bits: list[int], limit: int) -> list
     a, b = p * size, (1 - p) * size
     beta = lambda x, y: lgamma(x) + lgamma(y) - lgamma(x + y)
     chances = [comb(w, d) * np.exp(beta(d + a, w - d + b) - beta(a, b)) for d in range(limit + 1)]
-    return np.cumsum(chances).tolist()
+    return np.clip(np.nan_to_num(np.cumsum(chances), nan=1.0), 0, 1).tolist()  # too few rows to tell: anything may happen
 
 
 def allocate(n: int, sums: np.ndarray, distance: int = DISTANCE, most: int = 8) -> list[tuple[list[int], int]]:
@@ -160,12 +160,12 @@ def allocate(n: int, sums: np.ndarray, distance: int = DISTANCE, most: int = 8)
     For each number of partitions, a dynamic programme over (partition, threshold sum left) weighs probes and estimated
     candidates; the cheapest number wins.
     """
-    best, chosen = float("inf"), []
+    n, best, chosen = max(n, 2), float("inf"), []
     for parts in range(1, most + 1):
         groups, total = group_bits(n, sums, parts), distance - parts + 1
         table = {0: (0.0, [])}  # sum of (threshold + 1) so far -> cost, thresholds
         for bits in groups:
-            top = min(distance, len(bits) - 1)
+            top = min(distance, len(bits) - 1, 2)  # beyond two flipped bits, probes are never worth it
             within = chance_within(n, sums, bits, top)
             cost = [0.0] + [n * PROBE_COST * sum(comb(len(bits), j) for j in range(t + 1)) + CANDIDATE_COST * n * n / 2 * within[t] for t in range(top + 1)]
             step = {}
