@@ -31,7 +31,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one with the least id, stays of every group of texts of similarity 0.8 or more."""
-    return drop_near_duplicates(docs, key="doc_id", text="text", shingle=1, distinct=True, tables=3, distance=5, similarity=0.8)
+    return drop_near_duplicates(docs, key="doc_id", text="text", shingle=1, distinct=True, distance=5, similarity=0.8)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -225,6 +225,34 @@ def test_edited_texts_are_found_by_word_sets_and_others_left_alone(spark):
     assert sorted(r.nct_id for r in kept.collect() if r.nct_id is not None) == sorted(set(got.values())) and kept.count() == len(set(got.values())) + 2
 
 
+def similar_classes(rows, similarity=0.8):
+    """{key: least key within chains of texts of that 5-word Jaccard similarity} by comparing all pairs."""
+    sets = {i: {tuple(w[j:j + 5]) for j in range(len(w) - 4)} for i, w in ((i, t.split()) for i, t in rows)}
+    out = {i: i for i in sets}
+    for i in sorted(sets):
+        for j in sorted(sets):
+            if i < j and len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]):
+                low, high = sorted((out[i], out[j]))
+                out = {k: low if c == high else c for k, c in out.items()}
+    return out
+
+
+def test_texts_with_a_block_added_cut_or_moved_are_found(spark):
+    rng, rows = random.Random(9), []
+    for i in range(40):
+        text, other = prose(300, 3000 + i).split(), prose(70, 4000 + i).split()
+        at, rows_of = rng.randrange(240), [text]
+        rows_of.append(text + other)  # similarity 0.81
+        rows_of.append(text[:at] + text[at + 58:])  # 0.8 or a little less
+        rows_of.append(text[:at] + other[:60] + text[at:])
+        rows_of.append(text[120:] + text[:120])
+        rows += [(10 * i + j, " ".join(t)) for j, t in enumerate(rows_of)]
+    want = similar_classes(rows)
+    n = sum(k != c for k, c in want.items())
+    got = {r.nct_id: r.component for r in simhash.near_duplicates(texts(spark, rows), shingle=1, distinct=True, distance=5, similarity=0.8).collect()}
+    assert n > 100 and all(got[k] == got[c] for k, c in want.items())
+
+
 def test_thresholds_keep_the_pigeonhole_and_get_more_selective():
     rng = np.random.default_rng(1)
     bits = np.hstack([np.where(rng.random((5000, 64)) < 0.5, 1, -1), np.ones((5000, 1))])

@@ -4,6 +4,9 @@ Bits that go together are grouped into partitions, and each partition gets its o
 sum to ``distance - partitions + 1``, two fingerprints within ``distance`` bits meet at least one of them. A dynamic
 programme picks the thresholds with the least estimated work from statistics of all fingerprints, so the plan gets more
 selective as the table grows. Texts with one fingerprint meet only once, as one row.
+
+Where a similarity is asked for, bands of min-hashes of 5-word shingles add candidates. Their chance to meet depends on the
+Jaccard similarity alone, not on whether the edits are scattered or one block. Sketches judge them.
 """
 
 from __future__ import annotations
@@ -19,13 +22,15 @@ from pyspark.sql import functions as F
 
 from trialspark.llm.components import connected_components
 from trialspark.llm.id_filter import split
-from trialspark.llm.text_arrays import LOWER, NOT_SPACE, mix, text_runs, window_hashes, word_hashes, word_spans
+from trialspark.llm.text_arrays import LOWER, NOT_SPACE, lists, mix, text_runs, window_hashes, word_hashes, word_spans
 from trialspark.session import checkpointed
 
 SHINGLE, DISTANCE, SEED = 4, 4, 42
 PROBE_COST, CANDIDATE_COST = 1.0, 0.01  # of shuffling one probe, and of comparing two fingerprints in the join
 SKETCH = 4  # longs of a similarity sketch, one bit for each of 256 min-hashes
-SLACK = 0.05  # by which a sketched similarity, whose standard deviation is 0.04, may fall short
+SLACK = 0.15  # by which a sketched similarity may fall short: four of its standard deviations
+BANDS, BAND = 24, 5  # bands of so many min-hashes: at similarity 0.8 all of them differ for 7 in 100,000 pairs
+TURNS = 2  # rounds of one leader a row before all pairs between groups are looked at
 LEADERS = 8  # of each bucket, that all its rows are compared with first
 CROWD = 4096  # fingerprints of one bucket that one task compares; a larger bucket is dealt over several
 
@@ -55,22 +60,31 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * votes > len(hashes), bitorder="little").view(np.int64)[0])
 
 
-def sketches(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """For every text ``SKETCH`` longs: one bit of each of 64 min-hashes of its 5-word shingles."""
+def _text_shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the 5-word shingles of all texts and the n + 1 places where those of each begin."""
     starts, ends, first = word_spans(data, offsets, NOT_SPACE)
     words = word_hashes(data, starts, ends)
     size = np.diff(first)
     at, grams = window_hashes(words, first, 5)
-    edge, out = np.searchsorted(at, first), np.zeros((len(size), SKETCH), np.uint64)
+    edge = np.searchsorted(at, first)
     few = np.flatnonzero((size > 0) & (size < 5))  # the whole sequence is the one shingle
     alone = np.array([np.bitwise_xor.reduce(mix(words[first[i]:first[i + 1]] + np.arange(size[i], dtype=np.uint64))) for i in few], np.uint64)
-    grams, edge = np.insert(grams, edge[few], alone), edge + np.searchsorted(few, np.arange(len(size) + 1))
-    full = np.flatnonzero(np.diff(edge))
+    return np.insert(grams, edge[few], alone), edge + np.searchsorted(few, np.arange(len(size) + 1))
+
+
+def sketches(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For every text ``SKETCH`` longs, one bit of each of 64 min-hashes of its 5-word shingles; ``BANDS`` longs, each of
+    ``BAND`` whole min-hashes; and whether it has a shingle."""
+    grams, edge = _text_shingles(data, offsets)
+    n, full = len(edge) - 1, np.flatnonzero(np.diff(edge))
+    out, bands = np.zeros((n, SKETCH), np.uint64), np.zeros((n, BANDS), np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64)
     if len(full):
         for j in range(64 * SKETCH):
             least = np.minimum.reduceat((grams ^ _SALTS[j]) * _ODDS[j], edge[full])
             out[full, j // 64] |= (mix(least) & np.uint64(1)) << np.uint64(j % 64)
-    return out
+            if j < BANDS * BAND:
+                bands[full, j // BAND] = mix(bands[full, j // BAND] * _ODDS[0] + least)
+    return out, bands, np.diff(edge) > 0
 
 
 def fingerprints(eligibilities: DataFrame, *, key: str = "nct_id", text: str = "criteria", shingle: int = SHINGLE, distinct: bool = False,
@@ -79,7 +93,7 @@ def fingerprints(eligibilities: DataFrame, *, key: str = "nct_id", text: str = "
 
     Null and empty texts have fingerprint zero; fewer words than a shingle are one shingle; ``distinct`` counts repeated
     shingles once. More ``tables`` add independent fingerprints of the same shingles (``fingerprint_1`` ...), ``sketch``
-    the bits by which the similarity of 5-word shingles is judged (``sketch_0`` ...).
+    the bits by which the similarity of 5-word shingles is estimated (``sketch_0`` ...) and the array ``bands``.
     """
     extra = [f"fingerprint_{i}" for i in range(1, tables)] + [f"sketch_{i}" for i in range(SKETCH if sketch else 0)]
 
@@ -91,12 +105,16 @@ def fingerprints(eligibilities: DataFrame, *, key: str = "nct_id", text: str = "
                 hashes = shingle_hashes(low[a:b].tobytes().split(), shingle, distinct)
                 found.append([fingerprint(hashes), *(fingerprint(mix(hashes + np.uint64(i))) for i in range(1, tables))])
             columns = np.array(found, np.int64).reshape(-1, tables)
+            more = []
             if sketch:
-                columns = np.hstack([columns, sketches(low, offsets).view(np.int64)])
-            yield pa.RecordBatch.from_arrays([rows.column(0), *(pa.array(c) for c in columns.T)], [rows.schema.names[0], "fingerprint", *extra])
+                bits, bands, some = sketches(low, offsets)
+                columns = np.hstack([columns, bits.view(np.int64)])
+                more = [lists(some * BANDS, pa.array(bands[some].ravel().view(np.int64)))]
+            yield pa.RecordBatch.from_arrays([rows.column(0), *(pa.array(c) for c in columns.T), *more],
+                                             [rows.schema.names[0], "fingerprint", *extra, *["bands"][:len(more)]])
 
     own = eligibilities.select(F.col(key).alias("k"), F.col(text).alias("t"))
-    schema = ", ".join([f"k {own.schema['k'].dataType.simpleString()}", *(f"{c} bigint" for c in ("fingerprint", *extra))])
+    schema = ", ".join([f"k {own.schema['k'].dataType.simpleString()}", *(f"{c} bigint" for c in ("fingerprint", *extra)), *["bands array<bigint>"][:sketch]])
     return own.mapInArrow(scan, schema).withColumnRenamed("k", key)
 
 
@@ -198,18 +216,32 @@ def _signatures(plan: list[tuple[list[int], int]], near: bool):
     return F.flatten(F.array(*keys))
 
 
-def _keyed(rows: DataFrame, plan: list[tuple[list[int], int]], near: bool) -> DataFrame:
+def _keyed(rows: DataFrame, plan: list[tuple[list[int], int]] | None, near: bool) -> DataFrame:
+    """Every row once for each of its buckets: those of the plan, or without one its bands."""
+    if plan is None:
+        return rows.select(*_plain(rows), F.lit(0).cast("byte").alias("part"), F.explode("bands").alias("value"))
     return rows.select("*", F.explode(_signatures(plan, near)).alias("k")).select(*rows.columns, "k.part", "k.value")
 
 
+def _plain(rows: DataFrame) -> list[str]:
+    return [c for c in rows.columns if c != "bands"]
+
+
 def _close(columns: list[str], distance: int, similarity: float | None):
-    """Whether rows ``a`` and ``b`` are linked: by their fingerprints and, if asked, by their sketches."""
-    apart = lambda c: F.bit_count(F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}")))
-    close = apart("fingerprint") <= distance
+    """Whether rows ``a`` and ``b`` are linked by their fingerprints, where they have any, and if asked may be by their sketches."""
+    close = _apart("fingerprint") <= distance if "fingerprint" in columns else F.lit(True)
     if similarity is None:
         return close
+    return close & (_sketched(columns) <= int((1 - similarity + SLACK) / 2 * 64 * SKETCH))
+
+
+def _apart(column: str):
+    return F.bit_count(F.col(f"a.{column}").bitwiseXOR(F.col(f"b.{column}")))
+
+
+def _sketched(columns: list[str]):
     bits = [c for c in columns if c.startswith("sketch")]
-    return close & (sum((apart(c) for c in bits[1:]), apart(bits[0])) <= int((1 - similarity + SLACK) / 2 * 64 * SKETCH))
+    return sum((_apart(c) for c in bits[1:]), _apart(bits[0]))
 
 
 def leader_links(rows: DataFrame, plan: list[tuple[list[int], int]], distance: int, similarity: float | None, leaders: int = LEADERS) -> DataFrame:
@@ -226,8 +258,58 @@ def leader_links(rows: DataFrame, plan: list[tuple[list[int], int]], distance: i
     return found.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct()
 
 
-def group_links(rows: DataFrame, plan: list[tuple[list[int], int]], distance: int, similarity: float | None, crowd: int = CROWD) -> DataFrame:
-    """Distinct pairs (a, b) of different values of ``id`` that have rows which are linked.
+def closest_leaders(rows: DataFrame, similarity: float, turn: int) -> DataFrame:
+    """Pairs (a, b) of every ``node`` and the closest of the leaders of its bands that has another ``id``.
+
+    The first leader of a band is the text whose bands most texts share, so that a crowd of copies meets what they were made
+    of; each later ``turn`` draws another. One pair a row joins most of a crowd of near copies.
+    """
+    keyed = _keyed(rows, None, near=False)
+    own = _plain(rows)
+    drawn = F.min(F.struct((F.xxhash64("node", F.lit(turn)) if turn else -F.col("weight")).alias("h"), *own)).alias("r")
+    chosen = keyed.groupBy("value").agg(drawn, F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("value", "r.*")
+    met = keyed.alias("a").join(chosen.alias("b"), (F.col("a.value") == F.col("b.value")) & (F.col("a.id") != F.col("b.id")) & _close(own, 0, similarity))
+    best = met.groupBy(F.col("a.node").alias("n")).agg(F.min(F.struct(_sketched(own).alias("d"), F.col("b.node").alias("m"))).alias("r"))
+    return best.select(F.least("n", "r.m").alias("a"), F.greatest("n", "r.m").alias("b")).distinct()
+
+
+def shared_bands(one: DataFrame) -> DataFrame:
+    """(id, bands, weight): for every ``id`` the bands that another one has too, and how many rows share them."""
+    keys = one.select("id", F.explode("bands").alias("value"))
+    shared = keys.groupBy("value").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("value", "n")
+    return keys.join(shared, "value").groupBy("id").agg(F.collect_set("value").alias("bands"), F.sum("n").alias("weight"))
+
+
+def similar_links(one: DataFrame, views: list[DataFrame], distance: int, similarity: float) -> DataFrame:
+    """Links (a, b) between texts of ``similarity`` that join the same groups as all such links would.
+
+    First every text is linked to one leader in each of ``TURNS`` rounds, then all pairs that share a band or are near
+    in a fingerprint and do not belong to one group yet.
+    """
+    sketch = [c for c in one.columns if c.startswith("sketch")]
+    banded = checkpointed(one.select("id", *sketch).join(shared_bands(one), "id"))
+    links = known = None
+
+    def grouped(rows):
+        rows = rows.withColumnRenamed("id", "node")
+        if known is None:
+            return rows.withColumn("id", F.col("node"))
+        return rows.join(known.select(F.col("node").alias("n"), "component"), F.col("node") == F.col("n"), "left").select(
+            F.coalesce("component", "node").alias("id"), *rows.columns)
+
+    for turn in range(TURNS):
+        found = checkpointed(closest_leaders(grouped(banded), similarity, turn))
+        links = found if links is None else links.unionByName(found)
+        known = connected_components(links)
+    pairs = group_links(grouped(banded), None, distance, similarity, each="node")
+    for view in views:
+        pairs = pairs.unionByName(group_links(grouped(view), allocate(*bit_moments(view), distance), distance, similarity, each="node"))
+    return links.unionByName(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+
+
+def group_links(rows: DataFrame, plan: list[tuple[list[int], int]] | None, distance: int, similarity: float | None, crowd: int = CROWD,
+                each: str = "id") -> DataFrame:
+    """Distinct pairs (a, b) of ``each`` of rows with different values of ``id`` which are linked.
 
     Any two linked rows share the bucket of some partition: one with its own value, the other with one within the
     partition's threshold. They are compared inside the join, which only puts out links between different ids. A bucket of
@@ -240,23 +322,22 @@ def group_links(rows: DataFrame, plan: list[tuple[list[int], int]], distance: in
     if crowds.isEmpty():
         residents, probes = residents.withColumn("salt", F.lit(0)), probes.withColumn("salt", F.lit(0))
     else:
-        residents = residents.join(crowds, ["part", "value"], "left").withColumn("salt", F.pmod(F.xxhash64(*rows.columns), salted).cast("int"))
+        residents = residents.join(crowds, ["part", "value"], "left").withColumn("salt", F.pmod(F.xxhash64(*_plain(rows)), salted).cast("int"))
         probes = probes.join(crowds, ["part", "value"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salted - 1)))
     a, b = probes.alias("a"), residents.alias("b")
     same = (F.col("a.part") == F.col("b.part")) & (F.col("a.value") == F.col("b.value")) & (F.col("a.salt") == F.col("b.salt"))
     found = a.join(b, same & (F.col("a.id") < F.col("b.id")) & _close(rows.columns, distance, similarity))
-    return found.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+    return found.select(F.col(f"a.{each}").alias("a"), F.col(f"b.{each}").alias("b")).distinct()
 
 
 def near_duplicates(eligibilities: DataFrame, *, key: str = "nct_id", text: str = "criteria", shingle: int = SHINGLE, distance: int = DISTANCE,
                     distinct: bool = False, tables: int = 1, similarity: float | None = None) -> DataFrame:
     """``key``, ``fingerprint`` and ``component`` of every row.
 
-    ``component`` is the least key that a chain of links reaches, its own included. A link takes at most ``distance``
-    differing bits in one of ``tables`` fingerprints and, if ``similarity`` is given, about that Jaccard similarity of 5-word
-    shingles, judged by 256 one-bit min-hashes. A few edited words use up the margin of a fingerprint of long shingles: to
-    find texts of similarity 0.8, take fingerprints of the ``distinct`` single words in three ``tables`` at distance 5,
-    which meets 98 of 100 such pairs.
+    ``component`` is the least key that a chain of links reaches, its own included. Without ``similarity`` a link takes at
+    most ``distance`` differing bits of the fingerprint. With it, a link takes that Jaccard similarity of 5-word shingles,
+    judged by the sketch; candidates share a band of min-hashes, which 7 in 100,000 pairs of
+    similarity 0.8 do not, whatever the shape of the edits, or are near in one of ``tables`` fingerprints.
 
     Null and empty texts share fingerprint zero and are linked like any other; rows with a null key are left out; repeated
     rows are repeated; extra columns are ignored. Every text is read once: signatures are checkpointed in the shared folder.
@@ -264,16 +345,19 @@ def near_duplicates(eligibilities: DataFrame, *, key: str = "nct_id", text: str
     own = eligibilities.where(F.col(key).isNotNull())
     prints = checkpointed(fingerprints(own, key=key, text=text, shingle=shingle, distinct=distinct, tables=tables,
                                        sketch=similarity is not None).withColumnRenamed(key, "k"))
-    signature = [c for c in prints.columns if c != "k"]
-    one = checkpointed(prints.groupBy(*signature).agg(F.min("k").alias("id")))
+    signature = [c for c in prints.columns if c not in ("k", "bands")]
+    one = prints.groupBy(*signature).agg(F.min("k").alias("id"), *([F.min_by("bands", "k").alias("bands")] if similarity is not None else []))
+    one = checkpointed(one)
     sketch = [c for c in signature if c.startswith("sketch")]
     views = [one.select("id", F.col(c).alias("fingerprint"), *sketch) for c in signature if c not in sketch]
-    plans = [allocate(*bit_moments(v), distance) for v in views]
-    links = checkpointed(leader_links(views[0], plans[0], distance, similarity))
-    known = connected_components(links)
-    for view, plan in zip(views, plans, strict=True):
-        grouped = view.join(known, F.col("id") == F.col("node"), "left").select(F.coalesce("component", "id").alias("id"), "fingerprint", *sketch)
-        links = links.unionByName(group_links(grouped, plan, distance, similarity))
+    if similarity is None:
+        plan = allocate(*bit_moments(one), distance)
+        links = checkpointed(leader_links(views[0], plan, distance, None))
+        known = connected_components(links)
+        grouped = views[0].join(known, F.col("id") == F.col("node"), "left").select(F.coalesce("component", "id").alias("id"), "fingerprint")
+        links = links.unionByName(group_links(grouped, plan, distance, None))
+    else:
+        links = similar_links(one, views, distance, similarity)
     groups = connected_components(links)
     joined = one.join(groups, F.col("id") == F.col("node"), "left").select(*signature, F.coalesce("component", "id").alias("component"))
     return prints.join(joined, signature).select(F.col("k").alias(key), "fingerprint", "component")
