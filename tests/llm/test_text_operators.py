@@ -250,7 +250,24 @@ def test_texts_with_a_block_added_cut_or_moved_are_found(spark):
     want = similar_classes(rows)
     n = sum(k != c for k, c in want.items())
     got = {r.nct_id: r.component for r in simhash.near_duplicates(texts(spark, rows), shingle=1, distinct=True, distance=5, similarity=0.8).collect()}
-    assert n > 100 and all(got[k] == got[c] for k, c in want.items())
+    assert n > 100 and got == want
+
+
+def test_links_are_verified_by_shingle_sets_in_a_crowd_of_templates(spark):
+    base, rows = prose(300, 51).split(), []
+    for i in range(60):  # 0.7 to each other
+        rows.append((i, " ".join(base + prose(64, 5000 + i).split())))
+    rows += [(100 + i, rows[i][1] + " " + prose(1, 6000 + i)) for i in range(0, 60, 3)]
+    want = similar_classes(rows)
+    got = {r.nct_id: r.component for r in simhash.near_duplicates(texts(spark, rows), shingle=1, distinct=True, distance=5, similarity=0.8).collect()}
+    assert got == want and len(set(want.values())) == 60
+
+
+def test_a_text_of_many_pairs_is_dealt_over_copies(spark):
+    rows = [(0, prose(100, 52))] + [(i, prose(100, 52) + (" " + prose(30 if i % 2 else 5, 7000 + i))) for i in range(1, 30)]
+    pairs = spark.createDataFrame([(0, i) for i in range(1, 30)], "a long, b long")
+    got = simhash.similar_pairs(pairs, texts(spark, rows, "k long, t string"), 0.8, hub=4).collect()
+    assert sorted((r.a, r.b) for r in got) == [(0, i) for i in range(2, 30, 2)]
 
 
 def test_thresholds_keep_the_pigeonhole_and_get_more_selective():

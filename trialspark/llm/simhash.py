@@ -6,7 +6,8 @@ programme picks the thresholds with the least estimated work from statistics of
 selective as the table grows. Texts with one fingerprint meet only once, as one row.
 
 Where a similarity is asked for, bands of min-hashes of 5-word shingles add candidates. Their chance to meet depends on the
-Jaccard similarity alone, not on whether the edits are scattered or one block. Sketches judge them.
+Jaccard similarity alone, not on whether the edits are scattered or one block. Sketches only sort out what is far off; every
+link is then verified by the exact shingle sets.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trialspark.llm.components import connected_components
-from trialspark.llm.id_filter import split
+from trialspark.llm.id_filter import bit_of, id_filter, split, with_bit
 from trialspark.llm.text_arrays import LOWER, NOT_SPACE, lists, mix, text_runs, window_hashes, word_hashes, word_spans
 from trialspark.session import checkpointed
 
@@ -31,6 +32,7 @@ SKETCH = 4  # longs of a similarity sketch, one bit for each of 256 min-hashes
 SLACK = 0.15  # by which a sketched similarity may fall short: four of its standard deviations
 BANDS, BAND = 24, 5  # bands of so many min-hashes: at similarity 0.8 all of them differ for 7 in 100,000 pairs
 TURNS = 2  # rounds of one leader a row before all pairs between groups are looked at
+HUB = 256  # pairs of one text that one task verifies; those of others are dealt over several
 LEADERS = 8  # of each bucket, that all its rows are compared with first
 CROWD = 4096  # fingerprints of one bucket that one task compares; a larger bucket is dealt over several
 
@@ -280,10 +282,59 @@ def shared_bands(one: DataFrame) -> DataFrame:
     return keys.join(shared, "value").groupBy("id").agg(F.collect_set("value").alias("bands"), F.sum("n").alias("weight"))
 
 
-def similar_links(one: DataFrame, views: list[DataFrame], distance: int, similarity: float) -> DataFrame:
+def shingle_sets(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """(k, grams): the distinct 5-word shingles, sorted, of every text of ``texts`` (k, t) whose key is in ``ids`` (k)."""
+    wanted = id_filter(ids)
+
+    def scan(batches):
+        for rows, data, offsets in text_runs(with_bit(batches, 2, wanted, True), 1):
+            grams, edge = _text_shingles(LOWER[data], offsets)
+            sets = [np.unique(grams[a:b]) for a, b in zip(edge[:-1], edge[1:], strict=True)]
+            values = pa.array(np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([rows.column(0), lists(np.array([len(x) for x in sets], np.int64), values)], ["k", "grams"])
+
+    found = texts.withColumn("b", bit_of("k")).mapInArrow(scan, f"k {texts.schema['k'].dataType.simpleString()}, grams array<bigint>")
+    return found.join(ids, "k", "left_semi").dropDuplicates(["k", "grams"])
+
+
+def similar_pairs(pairs: DataFrame, texts: DataFrame, similarity: float, hub: int = HUB) -> DataFrame:
+    """Of ``pairs`` (a, b) those whose texts in ``texts`` (k, t) have a Jaccard similarity of 5-word shingles of ``similarity``.
+
+    Runs jobs; ``pairs`` are best checkpointed. A text of more than ``hub`` pairs is repeated, and its pairs are dealt over
+    the copies.
+    """
+    sets = checkpointed(shingle_sets(texts, pairs.select(F.col("a").alias("k")).unionByName(pairs.select(F.col("b").alias("k"))).distinct()))
+    for side, other in (("b", "a"), ("a", "b")):
+        hubs = checkpointed(pairs.groupBy(side).count().where(F.col("count") > hub).select(F.col(side).alias("k"), F.ceil(F.col("count") / hub).cast("int").alias("salts")))
+        own, met = sets.select("k", F.col("grams").alias(f"{side}_grams")), pairs
+        if hubs.isEmpty():
+            own, met = own.withColumn("salt", F.lit(0)), met.withColumn("salt", F.lit(0))
+        else:
+            salted = F.coalesce("salts", F.lit(1))
+            own = own.join(hubs, "k", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salted - 1))).drop("salts")
+            met = met.join(hubs.withColumnRenamed("k", side), side, "left").withColumn("salt", F.pmod(F.xxhash64(other), salted).cast("int")).drop("salts")
+        pairs = met.join(own.withColumnRenamed("k", side), [side, "salt"]).drop("salt")
+
+    def alike(batches):
+        for batch in batches:
+            left, right = batch.column(2), batch.column(3)
+            good = []
+            for i in range(batch.num_rows):
+                x, y = left[i].values.to_numpy(), right[i].values.to_numpy()
+                both = np.concatenate((x, y))
+                both.sort()
+                same = int((both[1:] == both[:-1]).sum())
+                good.append(same >= similarity * (len(both) - same) - 1e-9 * len(both))
+            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+
+    kind = texts.schema["k"].dataType.simpleString()
+    return pairs.select("a", "b", "a_grams", "b_grams").mapInArrow(alike, f"a {kind}, b {kind}").distinct()
+
+
+def similar_links(one: DataFrame, views: list[DataFrame], texts: DataFrame, distance: int, similarity: float) -> DataFrame:
     """Links (a, b) between texts of ``similarity`` that join the same groups as all such links would.
 
-    First every text is linked to one leader in each of ``TURNS`` rounds, then all pairs that share a band or are near
+    First every text is verified against one leader in each of ``TURNS`` rounds, then all pairs that share a band or are near
     in a fingerprint and do not belong to one group yet.
     """
     sketch = [c for c in one.columns if c.startswith("sketch")]
@@ -298,13 +349,13 @@ def similar_links(one: DataFrame, views: list[DataFrame], distance: int, similar
             F.coalesce("component", "node").alias("id"), *rows.columns)
 
     for turn in range(TURNS):
-        found = checkpointed(closest_leaders(grouped(banded), similarity, turn))
+        found = checkpointed(similar_pairs(checkpointed(closest_leaders(grouped(banded), similarity, turn)), texts, similarity))
         links = found if links is None else links.unionByName(found)
         known = connected_components(links)
     pairs = group_links(grouped(banded), None, distance, similarity, each="node")
     for view in views:
         pairs = pairs.unionByName(group_links(grouped(view), allocate(*bit_moments(view), distance), distance, similarity, each="node"))
-    return links.unionByName(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    return links.unionByName(similar_pairs(checkpointed(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), texts, similarity))
 
 
 def group_links(rows: DataFrame, plan: list[tuple[list[int], int]] | None, distance: int, similarity: float | None, crowd: int = CROWD,
@@ -336,7 +387,7 @@ def near_duplicates(eligibilities: DataFrame, *, key: str = "nct_id", text: str
 
     ``component`` is the least key that a chain of links reaches, its own included. Without ``similarity`` a link takes at
     most ``distance`` differing bits of the fingerprint. With it, a link takes that Jaccard similarity of 5-word shingles,
-    judged by the sketch; candidates share a band of min-hashes, which 7 in 100,000 pairs of
+    verified by the shingle sets (64-bit hashes); candidates share a band of min-hashes, which 7 in 100,000 pairs of
     similarity 0.8 do not, whatever the shape of the edits, or are near in one of ``tables`` fingerprints.
 
     Null and empty texts share fingerprint zero and are linked like any other; rows with a null key are left out; repeated
@@ -357,7 +408,7 @@ def near_duplicates(eligibilities: DataFrame, *, key: str = "nct_id", text: str
         grouped = views[0].join(known, F.col("id") == F.col("node"), "left").select(F.coalesce("component", "id").alias("id"), "fingerprint")
         links = links.unionByName(group_links(grouped, plan, distance, None))
     else:
-        links = similar_links(one, views, distance, similarity)
+        links = similar_links(one, views, own.select(F.col(key).alias("k"), F.col(text).alias("t")), distance, similarity)
     groups = connected_components(links)
     joined = one.join(groups, F.col("id") == F.col("node"), "left").select(*signature, F.coalesce("component", "id").alias("component"))
     return prints.join(joined, signature).select(F.col("k").alias(key), "fingerprint", "component")
