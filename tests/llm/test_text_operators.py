@@ -320,6 +320,21 @@ def test_repeated_passages_small_cases(spark):
     assert repeated_passages(texts(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("repeat", [50, 51, 120])
+def test_an_exact_repeat_is_found_behind_texts_that_have_its_single_shingles(spark, repeat):
+    rows, n = [], 0
+    for case in range(12):
+        shared = prose(repeat, 800 + case).split()
+        for at in range(repeat - 4):  # each shingle stands alone in an earlier text
+            rows.append((n := n + 1, prose(50, 10_000 + n) + " " + " ".join(shared[at:at + 5]) + " " + prose(50, 20_000 + n)))
+        for _ in range(2):
+            rows.append((100_000 + len(rows), prose(60, 30_000 + len(rows)) + " " + " ".join(shared) + " " + prose(60, 40_000 + len(rows))))
+    late = sorted(i for i, _ in rows if i > 100_000)
+    got = {r.nct_id: r for r in repeated_passages(texts(spark, rows)).collect()}
+    assert set(got) == set(late[1::2])
+    assert all(got[b].first_nct_id == a and [(s.start, s.stop) for s in got[b].spans] == [(60, 60 + repeat)] for a, b in zip(late[::2], late[1::2], strict=True))
+
+
 def test_exact_repeats_of_50_words_are_found_on_the_given_table(spark):
     docs = {r.doc_id: words(r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     first, late = {}, set()
