@@ -12,6 +12,8 @@ from trialspark.llm.passages import remove_repeats
 from trialspark.llm.simhash import drop_near_duplicates
 from trialspark.llm.text_arrays import small_batches
 
+HELD, HELD_LEAST = 10, 1000  # one in so many labelled texts is held back from a language model, if there are so many of the language
+
 
 def with_length(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.length("text").cast("long"))
@@ -20,11 +22,15 @@ def with_length(docs: DataFrame) -> DataFrame:
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fit no learned language go; a missing ``lang`` is filled with the predicted one."""
     small_batches(spark)
-    models = fit_language_models(docs, text="text")
-    scored = score_languages(docs, models, text="text")
-    kept = scored.where(~rejected(calibrate(scored)))
-    own = [F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)]
     at = docs.columns.index("lang")
+    # limits come from labelled rows that the models have not seen, where a language has enough of them
+    counted = docs.where("lang IS NOT NULL AND text IS NOT NULL").groupBy("lang").count().where(F.col("count") >= HELD_LEAST).collect()
+    held = F.coalesce(F.col("lang").isin([r.lang for r in counted]) & (F.pmod(F.xxhash64("doc_id", "text"), F.lit(HELD)) == 0), F.lit(False))
+    models = fit_language_models(docs.where(~held), text="text")
+    few = F.col("lang").isNotNull() & ~F.col("lang").isin([r.lang for r in counted])
+    limits = calibrate(score_languages(docs.where(held | F.coalesce(few, F.lit(False))), models, text="text"), label=f"c{at}")
+    kept = score_languages(docs, models, text="text").where(~rejected(limits))
+    own = [F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)]
     own[at] = F.coalesce(F.col(f"c{at}"), "language").alias("lang")
     return kept.select(*own)
 

@@ -11,6 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from trialspark.llm.knn_join import top_k_join
 from trialspark.llm.language_id import BITS, calibrate, fit_language_models, grams, identify_language, kneser_ney, rejected, score_languages
 from trialspark.llm.main_text import best_region, extract_main_text, fit_weights, main_text
@@ -66,6 +67,18 @@ def test_language_small_cases(spark):
     assert {r.language for r in identify_language(docs, nothing).collect()} == {"und"}
 
 
+@pytest.mark.parametrize("kind", ["letters", "finnish"])
+def test_a_third_of_rows_that_fit_no_language_does_not_widen_its_limit(spark, kind):
+    rng = random.Random(5)
+    finnish = "tutkimukseen osallistuvien potilaiden täytyy olla vähintään kahdeksantoista vuotta vanhoja eikä heillä saa olla aiempaa hoitoa".split()
+    foreign = {"letters": lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))), "finnish": lambda: rng.choice(finnish)}[kind]
+    rows = [(i, " ".join(rng.choice((EN if i % 2 else DE).split()) for _ in range(rng.randint(40, 150))), "en" if i % 2 else "de", "s", 1) for i in range(800)]
+    rows += [(1000 + i, " ".join(foreign() for _ in range(rng.randint(40, 150))), None, "bad", 1) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")
+    kept = {r.doc_id for r in corpus_pipeline.identify_language(spark, docs, "").collect()}
+    assert kept == set(range(800))
+
+
 def test_language_query_is_right_on_held_out_texts(spark):
     found = QUERIES["op8_language"](spark, "/root/testdata/sf0.01")
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang")

@@ -201,12 +201,23 @@ def score_languages(eligibilities: DataFrame, models: LanguageModels, *, text: s
     return own.mapInArrow(score, ", ".join(fields))
 
 
-def calibrate(scored: DataFrame) -> dict[str, tuple[float, float, float]]:
-    """By language, over all scored texts: mean cross-entropy, its spread, and its spread times the root of the length."""
-    e, m = F.col("cross_entropy"), F.least("n_grams", F.lit(400)).cast("double")
-    sums = scored.where(e.isNotNull()).groupBy("language").agg(
-        F.avg(e).alias("mean"), F.stddev_pop(e).alias("spread"), F.avg(m).alias("m"), F.avg(m * e).alias("me"), F.avg(m * e * e).alias("mee"))
-    return {r.language: (r.mean, r.spread, max(0.0, r.mee - 2 * r.mean * r.me + r.mean ** 2 * r.m) ** 0.5) for r in sums.collect()}
+def calibrate(scored: DataFrame, label: str | None = None, least: int = 20) -> dict[str, tuple[float, float, float]]:
+    """By language: median cross-entropy, its spread, and its spread times the root of the length.
+
+    With ``label`` only texts whose label is the predicted language count. Spreads are taken from the better-fitting half
+    (median less 16th percentile), by length too where ``least`` texts have it, so that what fits badly does not widen its
+    own limit while it is less than half of a language.
+    """
+    e = F.col("cross_entropy")
+    sure = scored.where(e.isNotNull() if label is None else e.isNotNull() & (F.col(label) == F.col("language")))
+    by = sure.select("language", e, F.floor(F.log2(F.least("n_grams", F.lit(400)))).cast("int").alias("size")).rollup("language", "size")
+    found = by.agg(F.count("*").alias("n"), F.percentile_approx(e, [0.16, 0.5], 10_000).alias("q")).where("language IS NOT NULL").collect()
+    whole = {r.language: r.q for r in found if r["size"] is None}
+    out = {}
+    for name, (low, mid) in whole.items():
+        wide = [(max(0.0, r.q[1] - mid) + r.q[1] - r.q[0]) * 2 ** (r["size"] / 2) for r in found if r.language == name and r["size"] is not None and r.n >= least]
+        out[name] = (mid, mid - low, max(wide, default=0.0))
+    return out
 
 
 def _by_language(values: dict[str, float]):
@@ -216,13 +227,14 @@ def _by_language(values: dict[str, float]):
 def rejected(limits: dict[str, tuple[float, float, float]], tolerance: float = 8.0):
     """Whether a scored text fits its best language so badly that it belongs to none of them.
 
-    A text without a language is rejected. Another one is if its cross-entropy exceeds its language's mean by
+    A text without a language is rejected. Another one is if its cross-entropy exceeds its language's median by
     ``tolerance`` times the spread that texts of its length have, and is also nearer to that of guessing each character
-    blindly than to the mean. So odd but readable texts stay.
+    blindly than to the median. So odd but readable texts stay. A language without limits has the widest of the others;
+    without any, only texts without a language are rejected.
     """
     if not limits:
-        return F.lit(True)
-    m, s, u = (_by_language({k: float(v[i]) for k, v in limits.items()}) for i in range(3))
+        return F.col("cross_entropy").isNull()
+    m, s, u = (F.coalesce(_by_language({k: float(v[i]) for k, v in limits.items()}), F.lit(float(max(v[i] for v in limits.values())))) for i in range(3))
     blind = float(np.log(1 << BITS))
     limit = F.greatest(m + tolerance * F.greatest(s, u / F.sqrt("n_grams")), (m + blind) / 2)
     return F.coalesce(F.col("cross_entropy") > limit, F.lit(True))
