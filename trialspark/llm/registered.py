@@ -7,17 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trialspark.llm.conversations import repair_conversations, transcript_digests, with_missing
 from trialspark.llm.decontamination import find_contamination
+from trialspark.llm.hard_negatives import mine_hard_negatives
 from trialspark.llm.knn_join import top_k_join
 from trialspark.llm.language_id import fit_language_models, identify_language
 from trialspark.llm.licenses import find_licenses
 from trialspark.llm.main_text import extract_main_text
 from trialspark.llm.packing import pack_texts
 from trialspark.llm.passages import repeated_passages
+from trialspark.llm.sharding import shard_texts
 from trialspark.llm.simhash import near_duplicates
 from trialspark.llm.text_arrays import small_batches
 from trialspark.llm.toxicity import fit_toxicity, score_toxicity
 from trialspark.llm.warc import derive_records
+from trialspark.operators.ordered import join_on
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -106,6 +110,42 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_texts(eligibilities(spark, sf_dir)).withColumnRenamed("nct_id", "doc_id")
 
 
+def damaged(turns: DataFrame) -> DataFrame:
+    """Conversations with planted faults; the remainder of a hash of conversation and turn picks the fault of a row."""
+    plain = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    fault = F.pmod(F.crc32(F.concat(plain("conv_id"), F.lit(":"), plain("turn")).cast("binary")), F.lit(20))
+    rows = turns.select("conv_id", "turn", plain("role").alias("role"), plain("text").alias("text"), fault.alias("fault")).where("fault <> 0")
+    text = F.when(F.col("fault") == 1, "").when(F.col("fault") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    role = F.when(F.col("fault") == 4, "user").otherwise(F.col("role"))
+    copies = F.explode(F.when(F.col("fault") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    return rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), copies.alias("copy")).drop("copy")
+
+
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    repair = repair_conversations(damaged(turns))
+    found = join_on(repair.report, transcript_digests(repair.transcript), ["conv_id"], "left")
+    found = with_missing(found, turns.select("conv_id").distinct())
+    count = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return found.select("conv_id", *map(count, ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")), F.coalesce("audit", F.lit("")).alias("audit"),
+                        F.coalesce("sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as the features of studies; every seventh label is wrong, so that hard cases exist."""
+    vectors = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    studies = vectors.select(F.col("vec_id").alias("nct_id"), F.col("embedding").alias("features"), label.alias("label_binary"))
+    return mine_hard_negatives(studies, studies.where("nct_id % 100 = 0"))
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("nct_id"), F.col("text").alias("criteria"), F.col("source").alias("gender"))
+    found = shard_texts(docs)
+    return found.select(F.col("nct_id").alias("doc_id"), (F.col("n_bytes") + 1).alias("size"), F.col("checksum").alias("text_crc32"),
+                        F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licenses": op1_licenses,
     "op2_warc": op2_warc,
@@ -117,4 +157,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_main_text": op9_main_text,
     "op10_packing": op10_packing,
+    "op11_conversations": op11_conversations,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_sharding": op13_sharding,
 }
