@@ -337,6 +337,14 @@ def build() -> dict[str, str]:
     add("country_performance_ranked", f"""SELECT country, condition, n_trials, n_unique_sites, {R('r', 3)} AS avg_enrollment_ratio, {R('d', 0)} AS avg_duration_days, {R('r / nullif(d / 365.0, 0)', 4)} AS enrollment_efficiency,
         {R('done / n_trials * 100', 1)} AS trial_completion_rate_pct, rank() OVER (PARTITION BY condition ORDER BY round(r, 10) DESC NULLS LAST) AS rank_in_condition, rank() OVER (ORDER BY n_trials DESC) AS global_volume_rank FROM (
         SELECT country, condition, count(DISTINCT nct_id) AS n_trials, count(DISTINCT concat(facility_name, '|', city)) AS n_unique_sites, avg(enrollment_ratio) AS r, avg(duration_days) AS d, sum(completed_flag) AS done FROM fac_study GROUP BY 1, 2)""")
+    levels = {"site_performance": ("country", "condition", "facility_name", "city"), "country_performance": ("country", "condition"), "condition_performance": ("condition",),
+              "site_total": ("country", "facility_name", "city"), "country_total": ("country",), "grand_total": ()}
+    names = lambda by: ", ".join(c if c in by else f"CAST(NULL AS VARCHAR) AS {c}" for c in levels["site_performance"])
+    site = lambda by: "country, condition, facility_name, city" if "condition" in by else "country, facility_name, city"
+    add("site_rollup", "SELECT *, rank() OVER (PARTITION BY result_type ORDER BY n_trials DESC, completion_rate_pct DESC) AS global_rank, CASE WHEN result_type NOT IN ('site_total', 'country_total', 'grand_total') THEN rank() OVER (PARTITION BY result_type, condition ORDER BY n_trials DESC, completion_rate_pct DESC) END AS rank_in_condition FROM ("
+        + " UNION ALL ".join(f"""SELECT '{level}' AS result_type, {names(by)}, count(DISTINCT nct_id) AS n_trials, count(DISTINCT ({site(by)})) AS n_unique_sites, CAST(sum(completed_flag) AS BIGINT) AS n_completed,
+        {R('avg(enrollment_ratio)', 3)} AS avg_enrollment_ratio, {R('avg(duration_days)', 0)} AS avg_duration_days, {R('sum(completed_flag) / count(DISTINCT nct_id) * 100', 1)} AS completion_rate_pct
+        FROM fac_study {'GROUP BY ' + ', '.join(by) if by else ''}""" for level, by in levels.items()) + ")")
     add("country_performance", "SELECT * FROM perf", country_perf(f"(SELECT * FROM studies WHERE {INTERVENTIONAL})"))
     add("country_performance_condition", "SELECT * FROM perf", country_perf("gear"))
     sites_agg = f"""SELECT name, city, country, count(*) AS n_trials, count(*) FILTER (st = 'COMPLETED') AS n_completed, count(*) FILTER (st = 'TERMINATED') AS n_terminated,

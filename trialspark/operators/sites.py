@@ -267,3 +267,45 @@ def country_performance_ranked(rows: DataFrame) -> DataFrame:
     within = Window.partitionBy("condition").orderBy(F.col("_ratio").desc_nulls_last())  # one row per country
     agg = agg.withColumn("rank_in_condition", F.rank().over(within).cast("long"))
     return with_rank(agg, [("n_trials", True)], "global_volume_rank").drop("_ratio", "_completed")
+
+
+ROLLUP = {  # the columns that name a group on every level; columns below it are NULL
+    "site_performance": ("country", "condition", "facility_name", "city"), "country_performance": ("country", "condition"),
+    "condition_performance": ("condition",), "site_total": ("country", "facility_name", "city"), "country_total": ("country",), "grand_total": (),
+}
+
+
+def site_rollup(rows: DataFrame) -> DataFrame:
+    """Site, country and condition results in one long table tagged by ``result_type``, from one pass over the rows.
+
+    ``GROUPING SETS`` reduce the participations to one row per level, group and study, so that a study counts once in
+    every group whatever its sites; a second set of rows without the study stands for the distinct sites of a group. Both steps
+    combine on the map side: no key is hotter than one study or one site of a level. Every level ranks its groups
+    overall by volume and completion rate, and within the condition where it has one. Missing facility names and cities count as one name.
+    """
+    dims = ["country", "condition", "facility_name", "city"]
+    d = rows.select("nct_id", "country", "condition", F.coalesce("facility_name", F.lit("")).alias("facility_name"), F.coalesce("city", F.lit("")).alias("city"),
+                    "completed_flag", "enrollment_ratio", "duration_days")
+    by_study = [[*level, "nct_id"] for level in ROLLUP.values()]
+    sites = [["country", "condition", "facility_name", "city"], ["country", "facility_name", "city"]]
+    keys = [*dims, "nct_id"]
+    d = d.groupingSets([[F.col(c) for c in s] for s in by_study + sites], *keys).agg(
+        F.grouping_id(*keys).alias("_set"), F.count(F.lit(1)).alias("w"),
+        *[F.max(c).alias(c) for c in ("completed_flag", "enrollment_ratio", "duration_days")])
+    code = lambda s: sum(1 << (len(keys) - 1 - i) for i, c in enumerate(keys) if c not in s)
+    level = F.create_map(*[x for name, by in ROLLUP.items() for x in (F.lit(code([*by, "nct_id"])), F.array(F.lit(name)))],
+                         *[x for s, names in zip(sites, (["site_performance", "country_performance", "condition_performance"], ["site_total", "country_total", "grand_total"]))
+                           for x in (F.lit(code(s)), F.array(*map(F.lit, names)))])
+    d = d.withColumn("is_site", F.col("_set").bitwiseAND(1) == 1).withColumn("result_type", F.explode(level[F.col("_set").cast("int")]))
+    shown = lambda c: F.when(F.col("result_type").isin([n for n, by in ROLLUP.items() if c in by]), F.col(c))
+    study, w = ~F.col("is_site"), F.col("w")
+    mean = lambda c: F.sum(F.when(study, F.col(c) * w)) / F.sum(F.when(study & F.col(c).isNotNull(), w))
+    agg = d.groupBy("result_type", *[shown(c).alias(c) for c in dims]).agg(
+        F.count_if(study).alias("n_trials"), F.count_if("is_site").alias("n_unique_sites"),
+        F.sum(F.when(study, F.col("completed_flag") * w)).cast("long").alias("n_completed"),
+        X.stable_round(mean("enrollment_ratio"), 3).alias("avg_enrollment_ratio"), X.stable_round(mean("duration_days"), 0).alias("avg_duration_days"))
+    agg = agg.withColumn("completion_rate_pct", X.stable_round(F.col("n_completed") / F.col("n_trials") * 100, 1))
+    order = [("n_trials", True), ("completion_rate_pct", True)]
+    ranked = with_ranks(checkpointed(agg), order, {"rank_in_condition": ["result_type", "condition"], "global_rank": ["result_type"]})
+    in_condition = F.col("result_type").isin([n for n, by in ROLLUP.items() if "condition" in by])
+    return ranked.withColumn("rank_in_condition", F.when(in_condition, F.col("rank_in_condition")))

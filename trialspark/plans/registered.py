@@ -180,6 +180,7 @@ _Z_METRICS = ["n_trials", "completion_rate", "avg_enrollment"]
 _from_tables(
     site_performance_by_condition=lambda t: T.site_performance_by_condition(_facility_rows(t), AS_OF),
     country_performance_ranked=lambda t: T.country_performance_ranked(_facility_rows(t)),
+    site_rollup=lambda t: T.site_rollup(_facility_rows(t)),
     country_performance=lambda t: T.country_performance(t),
     country_performance_condition=lambda t: T.country_performance(t, CONDITION),
     top_sites=lambda t: T.top_sites(t, CONDITION),
