@@ -4,10 +4,11 @@ For a closed interval [S, E] and any other [s, e] of its group (inverted ones, e
 
     overlap  =  [s <= E and e >= S]  =  [s <= E] - [e < S] + [s > E and e < S]
 
-The first two terms are running counts per day. The third is zero for two well-formed intervals; it
-matters only where one of them is inverted, and is a two-dimensional dominance count, taken over a
-radix tree of the start days (``_dominance``). Per group every window holds one row per distinct day,
-never one per study, so a group with a third of all studies costs no more than any other.
+The first two terms are running counts per day. Each group keeps them in one array of its distinct days, thousands
+whatever the number of studies; every row meets the array of its group once and finds both of its days by binary search.
+The third term is zero for two well-formed intervals; it matters only where one of them is inverted, and is a
+two-dimensional dominance count, taken over a radix tree of the start days (``_dominance``). It is left out of the plan
+where no interval is inverted.
 """
 
 from __future__ import annotations
@@ -17,7 +18,8 @@ from datetime import date
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from trialspark.operators.ordered import join_on
+from trialspark.operators.ordered import count_at_most, join_on
+from trialspark.session import checkpointed
 
 _DIGITS = 6  # radix-16 digits of a day distance: 24 bits, over 45,000 years
 
@@ -33,12 +35,15 @@ def count_overlaps(
     out: str = "overlaps",
     unique_ids: bool = True,
     method: str = "sweep",
+    inverted: bool | None = None,
 ) -> DataFrame:
     """Add ``out``: how many *other* rows of the group have an intersecting closed interval.
 
     Rows without a start count 0 and are counted by nobody. A missing end becomes ``open_end``. NULL
     is a group of its own. "Other" means another ``id_col``: with ``unique_ids=False`` repeated ids
-    are handled by a second sweep inside (group, id). ``method='pairs'`` forms the pairs, for tests.
+    are handled by a second sweep inside (group, id). ``method='pairs'`` forms the pairs, for tests. ``inverted`` tells
+    whether intervals that end before they start may occur; None counts the distinct intervals while the plan is built,
+    stores them and looks.
     """
     by = list(by)
     end_col = F.col(end).cast("date")
@@ -47,42 +52,38 @@ def count_overlaps(
     d = df.withColumns({"_s": F.unix_date(F.col(start).cast("date")), "_e": F.unix_date(end_col)})
     if method == "pairs":
         return _by_pairs(d, id_col, by, out)
-    counted = _meeting(d, by, out)
+    counted = _meeting(d, by, out, inverted)
     if unique_ids:
         own = F.expr("CAST(_s <= _e AS BIGINT)")
     else:
-        counted, own = _meeting(counted, [*by, id_col], "_own"), F.col("_own")
+        counted, own = _meeting(counted, [*by, id_col], "_own", inverted), F.col("_own")
     result = F.coalesce(F.col(out) - own, F.lit(0)).cast("long")
     return counted.select(*df.columns, result.alias(out))
 
 
-def _meeting(d: DataFrame, by: list[str], out: str) -> DataFrame:
-    """``d`` plus ``out``: rows of the group whose interval meets [_s, _e], the row itself included.
-
-    Everything is counted per distinct interval; the rows themselves are joined once, to their interval's answer.
-    """
-    # The filter on the count keeps the column in every branch below, so all of them read one exchange.
-    iv = (
-        d.where("_s IS NOT NULL AND _e IS NOT NULL").groupBy(*by, "_s", "_e")
-        .agg(F.count(F.lit(1)).alias("_n")).where("_n > 0")
-    )
+def _meeting(d: DataFrame, by: list[str], out: str, inverted: bool | None) -> DataFrame:
+    """``d`` plus ``out``: rows of the group whose interval meets [_s, _e], the row itself included."""
+    iv = d.where("_s IS NOT NULL AND _e IS NOT NULL").groupBy(*by, "_s", "_e").agg(F.count(F.lit(1)).alias("_n"))
+    if inverted is None:
+        iv = checkpointed(iv)
+        inverted = not iv.where("_e < _s").limit(1).isEmpty()
     days = (
         iv.select(*by, F.expr("inline(array(struct(_s AS _day, _n AS _start, 0L AS _end),"
                               " struct(_e AS _day, 0L AS _start, _n AS _end)))"))
         .groupBy(*by, "_day").agg(F.sum("_start").alias("_start"), F.sum("_end").alias("_end"))
     )
-    w = Window.partitionBy(*by).orderBy("_day")
-    days = days.select(
-        *by, "_day",
-        F.sum("_start").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("_started"),
-        F.coalesce(F.sum("_end").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_ended"),
-    )
-    at_end = days.select(*by, F.col("_day").alias("_e"), "_started")
-    at_start = days.select(*by, F.col("_day").alias("_s"), "_ended")
-    counted = join_on(join_on(iv.drop("_n"), at_end, [*by, "_e"]), at_start, [*by, "_s"])
+    w = Window.partitionBy(*by).orderBy("_day").rowsBetween(Window.unboundedPreceding, 0)
+    days = days.select(*by, F.struct("_day", F.sum("_start").over(w).alias("_started"), F.sum("_end").over(w).alias("_ended")).alias("_at"))
+    lists = days.groupBy(*by).agg(F.array_sort(F.collect_list("_at")).alias("_at"))  # one element per distinct day of the group
+    lists = lists.select(*by, *(F.col(f"_at.{c}").alias(f"{c}s") for c in ("_day", "_started", "_ended")))
+    counted = join_on(d, lists, by, "left")
+    running = lambda day, total: F.coalesce(F.get(F.col(total), count_at_most(F.col("_days"), day) - 1), F.lit(0))
+    answer = running(F.col("_e"), "_starteds") - running(F.col("_s") - 1, "_endeds")
+    counted = counted.withColumn(out, F.when(F.col("_s").isNotNull() & F.col("_e").isNotNull(), answer)).drop("_days", "_starteds", "_endeds")
+    if not inverted:
+        return counted
     counted = join_on(counted, _dominance(iv, by), [*by, "_s", "_e"], "left")
-    answer = counted.select(*by, "_s", "_e", F.expr("_started - _ended + coalesce(_gap, 0)").alias(out))
-    return join_on(d, answer, [*by, "_s", "_e"], "left")
+    return counted.withColumn(out, F.col(out) + F.coalesce("_gap", F.lit(0))).drop("_gap")
 
 
 def _dominance(iv: DataFrame, by: list[str]) -> DataFrame:
