@@ -423,6 +423,13 @@ def build() -> dict[str, str]:
     add("kaplan_meier", f"""SELECT phase, days, CAST(events AS BIGINT) AS events, at_risk, {R('CASE WHEN dead THEN 0.0 ELSE exp(ls) END', 6)} AS survival FROM (SELECT *, sum(CASE WHEN events < at_risk THEN ln(1 - events / at_risk) ELSE 0 END) OVER w AS ls, bool_or(events = at_risk) OVER w AS dead FROM (
         SELECT phase, days, events, CAST(sum(n) OVER (PARTITION BY phase ORDER BY days DESC) AS BIGINT) AS at_risk FROM (SELECT phase, {d} AS days, count(*) AS n, sum(CAST(overall_status = 'Completed' AS INTEGER)) AS events FROM modeling WHERE {d} > 0 AND phase IN ('Phase 1', 'Phase 2', 'Phase 3', 'Phase 4') GROUP BY 1, 2)) WINDOW w AS (PARTITION BY phase ORDER BY days))
         WHERE phase IN (SELECT phase FROM modeling WHERE {d} > 0 GROUP BY 1 HAVING count(*) >= 20)""")
+    add("survival_curve", f"""SELECT nct_id, t, {R('exp(-coalesce(hazard, 0) * risk)', 6)} AS survival FROM (
+        SELECT nct_id, exp(0.2::DOUBLE * (phase_numeric - 2) - 0.05::DOUBLE * (n_facilities - 3)) AS risk, unnest([0.5::DOUBLE, 60.0::DOUBLE, n_facilities * 400.0::DOUBLE]) AS t FROM modeling)
+        LEFT JOIN (SELECT t, max(hazard) AS hazard FROM hazard_at GROUP BY 1) USING (t)""",
+        f"""per_day AS (SELECT floor({d}) AS day, count(*) AS n, sum(CAST(overall_status = 'Completed' AS INTEGER)) AS e FROM modeling WHERE {d} > 0 GROUP BY 1),
+        steps AS (SELECT day, e / sum(n) OVER (ORDER BY day DESC) AS step FROM per_day),
+        hazard AS (SELECT day, sum(step) OVER (ORDER BY day) AS hazard FROM steps),
+        hazard_at AS (SELECT t, hazard FROM (SELECT DISTINCT unnest([0.5::DOUBLE, 60.0::DOUBLE, n_facilities * 400.0::DOUBLE]) AS t FROM modeling) JOIN hazard ON day <= t)""")
     parts = " UNION ALL ".join(f"SELECT '{c}' AS covariate, floor({d}) AS day, CAST(overall_status = 'Completed' AS INTEGER) AS e, CAST({c} AS DOUBLE) AS x FROM modeling WHERE {d} IS NOT NULL AND phase_numeric IS NOT NULL" for c in ("phase_numeric", "n_facilities", "n_countries"))
     add("cox_score_at_zero", f"""SELECT covariate, CAST(events AS BIGINT) AS events, CAST(at_risk AS BIGINT) AS at_risk, {R('es - sm', 4)} AS gradient, {R('sv', 4)} AS information FROM
         (SELECT covariate, sum(k) AS events, sum(n) AS at_risk, sum(es) AS es FROM per_day GROUP BY 1) JOIN

@@ -9,7 +9,7 @@ from __spark_entry__ import entry, oracle_sql, queries
 SF = "/root/testdata/sf0.001"
 SQL = build()
 ROWS_ONLY = {"train_classifier", "train_regressor", "score", "feature_importance", "tree_node_importance",
-             "importance_divergence", "explain_scores", "cox_coefficients", "survival_probabilities"}
+             "importance_divergence", "explain_scores", "cox_coefficients", "survival_probabilities", "scenario_forecast", "cross_validation", "weight_sweep"}
 
 
 @pytest.fixture(scope="module")

@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -64,78 +64,145 @@ def importance_divergence(importances: DataFrame, top: int = 20, limit: float =
     return d.withColumns({"agreement": agree, "diverges": F.col("delta") > limit})
 
 
-def _leaf_paths(nodes: pd.DataFrame, weights: Sequence[float]) -> list:
-    """(value, [(feature, share of cover, conditions)]) of every leaf of every tree."""
-    paths = []
-    for tree, part in nodes.groupby("tree"):
-        by_id = {r.node: r for r in part.itertuples()}
-        stack = [(by_id[0], {})]
-        while stack:
-            n, seen = stack.pop()
-            if n.left < 0:
-                paths.append((n.prediction * weights[tree], [(f, *v) for f, v in seen.items()]))
-                continue
-            for child, is_left in ((by_id[n.left], True), (by_id[n.right], False)):
-                share, conds = seen.get(n.feature, (1.0, ()))
-                step = (tuple(n.cut), n.categories, is_left)
-                stack.append((child, {**seen, n.feature: (share * child.cover / n.cover, (*conds, step))}))
-    return paths
-
-
-def _satisfied(x: np.ndarray, conditions) -> np.ndarray:
-    ok = np.ones(len(x), dtype=bool)
-    for cut, categories, is_left in conditions:
-        left = np.isin(x, cut) if categories >= 0 else x <= cut[0]
-        ok &= left if is_left else ~left
-    return ok
-
+def _shapley_factors(met: Sequence[np.ndarray], share: np.ndarray) -> list[np.ndarray]:
+    """The Shapley value of every feature of a path whose product has one factor a feature: 1 or 0 where it is known (met or
+    not), its share of the training cover where it is not.
 
-def _contributions(x: np.ndarray, paths: list) -> np.ndarray:
-    """Path-dependent Shapley values of the summed trees, one row per input row.
-
-    A leaf adds value * product over its features of (met or not | share of training cover), so its
-    Shapley values follow from the coefficients of prod(share + met * t) over the other features.
+    With the product as a polynomial in t, factors share + met * t, the values follow from its coefficients (EXTEND) after
+    one factor is taken out again (UNWIND).
+    """
+    m = len(met)
+    c = [np.ones(np.broadcast(met[0], share[..., 0]).shape)]
+    for j in range(m):
+        c = [a * share[..., j] + b * met[j] for a, b in zip([*c, 0.0], [0.0, *c], strict=True)]
+    weight = [math.factorial(k) * math.factorial(m - k - 1) / math.factorial(m) for k in range(m)]
+    out = []
+    for i in range(m):
+        q = c[m]
+        with_it = weight[m - 1] * q
+        for k in range(m - 1, 0, -1):
+            q = c[k] - share[..., i] * q
+            with_it = with_it + weight[k - 1] * q
+        without = sum(w * a for w, a in zip(weight, c)) / share[..., i]
+        out.append((met[i] - share[..., i]) * np.where(met[i] > 0, with_it, without))
+    return out
+
+
+class PackedTrees:
+    """A tree ensemble as arrays: the splits of every tree, and its leaves by how many features lead to them.
+
+    What a leaf adds to each feature depends only on which of its features go its way. A path of few features has a table of
+    all cases; a row finds its case from the bits of its decisions. Longer paths are worked out row by row. Rows that decide alike at
+    every split of a tree share its contributions, so they are looked up once for each pattern of decisions.
     """
-    phi = np.zeros(x.shape)
-    for value, parts in paths:
-        m = len(parts)
-        met = [_satisfied(x[:, f], conds).astype(float) for f, _, conds in parts]
-        for i, (f, share, _) in enumerate(parts):
-            poly = [np.ones(len(x))]
-            for j, (_, other, _) in enumerate(parts):
-                if j != i:
-                    grown = [c * other for c in poly] + [np.zeros(len(x))]
-                    for k, c in enumerate(poly):
-                        grown[k + 1] = grown[k + 1] + c * met[j]
-                    poly = grown
-            w = [math.factorial(k) * math.factorial(m - k - 1) / math.factorial(m) for k in range(m)]
-            phi[:, f] += value * (met[i] - share) * sum(wk * c for wk, c in zip(w, poly))
-    return phi
+
+    TABLE, WORD = 8, 64  # features of a path with a table, splits whose decisions fit into one word
+
+    def __init__(self, nodes: pa.Table, weights: Sequence[float], width: int):
+        self.width, self.base, self.trees = width, 0.0, []
+        columns = {c: nodes.column(c).to_pylist() for c in nodes.column_names}
+        rows: dict[int, dict[int, int]] = {}
+        for i, (tree, node) in enumerate(zip(columns["tree"], columns["node"], strict=True)):
+            rows.setdefault(tree, {})[node] = i
+        for tree, at in sorted(rows.items()):
+            splits = [i for i in at.values() if columns["left"][i] >= 0]
+            place, leaves = {i: k for k, i in enumerate(splits)}, {}
+            stack = [(at[0], {})]
+            while stack:
+                i, seen = stack.pop()
+                if columns["left"][i] < 0:
+                    leaves.setdefault(len(seen), []).append((columns["prediction"][i] * weights[tree], list(seen.items())))
+                    continue
+                feature = columns["feature"][i]
+                for child, goes_left in ((at[columns["left"][i]], True), (at[columns["right"][i]], False)):
+                    share, steps = seen.get(feature, (1.0, ()))
+                    stack.append((child, {**seen, feature: (share * columns["cover"][child] / columns["cover"][i], (*steps, (place[i], goes_left)))}))
+            self.base += sum(v * math.prod(share for _, (share, _) in path) for group in leaves.values() for v, path in group)
+            cuts = [(columns["feature"][i], columns["cut"][i], columns["categories"][i]) for i in splits]
+            self.trees.append((
+                np.array([f for f, _, _ in cuts], np.int64), np.array([c[0] if n < 0 else 0.0 for _, c, n in cuts]),
+                [(k, f, c) for k, (f, c, n) in enumerate(cuts) if n >= 0], [self._pack(m, group, len(splits)) for m, group in leaves.items() if m]))
+
+    def _pack(self, m: int, group: list, splits: int):
+        """Leaves of ``m`` features: the decisions each feature needs, its share, and where its contribution goes."""
+        value, onto = np.array([v for v, _ in group]), np.zeros((len(group), m, self.width))
+        share = np.array([[part for _, (part, _) in path] for _, path in group])
+        for leaf, (_, path) in enumerate(group):
+            onto[leaf, range(m), [f for f, _ in path]] = 1.0
+        onto = onto.reshape(-1, self.width)
+        if m <= self.TABLE and splits <= self.WORD:
+            asked = np.array([[sum(1 << k for k, _ in steps) for _, (_, steps) in path] for _, path in group], np.uint64)
+            wanted = np.array([[sum(left << k for k, left in steps) for _, (_, steps) in path] for _, path in group], np.uint64)
+            case = np.arange(1 << m)
+            met = [((case >> i) & 1)[None, :].astype(float) for i in range(m)]
+            table = np.stack(_shapley_factors(met, share[:, None, :]), axis=2) * value[:, None, None]
+            return True, asked, wanted, table.reshape(-1, m), onto
+        longest = max(len(steps) for _, path in group for _, (_, steps) in path)
+        need = np.full((len(group), m, longest), 2 * splits)  # a column that is always true fills up
+        for leaf, (_, path) in enumerate(group):
+            for i, (_, (_, steps)) in enumerate(path):
+                need[leaf, i, :len(steps)] = [2 * k + (not left) for k, left in steps]
+        return False, need, share, value, onto
+
+    def contributions(self, x: np.ndarray) -> np.ndarray:
+        """Path-dependent Shapley values of the summed trees, one row per input row."""
+        phi, columns = np.zeros((self.width, len(x))), np.ascontiguousarray(x.T)
+        for feature, cut, categorical, groups in self.trees:
+            if not len(feature):
+                continue
+            left = columns[feature] <= cut[:, None]
+            for k, f, values in categorical:
+                left[k] = np.isin(columns[f], values)
+            bits = np.zeros((-(-len(feature) // self.WORD) * 8, len(x)), np.uint8)
+            packed = np.packbits(left, axis=0, bitorder="little")
+            bits[:len(packed)] = packed
+            bits = np.ascontiguousarray(bits.T)
+            words = bits.view("<u8")
+            one = words[:, 0] if words.shape[1] == 1 else bits.view(f"S{bits.shape[1]}")[:, 0]
+            _, first, same = np.unique(one, return_index=True, return_inverse=True)
+            here = np.zeros((len(first), self.width))
+            for tabled, *group in groups:
+                here += (self._looked_up if tabled else self._worked_out)(words[first], left[:, first].T, *group)
+            for f in np.unique(feature):
+                phi[f] += here[:, f].take(same.ravel())
+        return phi.T
+
+    @staticmethod
+    def _looked_up(words, left, asked, wanted, table, onto):
+        cases, word = np.zeros((len(words), len(asked)), np.intp), words[:, :1]
+        for i in range(asked.shape[1]):
+            cases |= ((word & asked[:, i]) == wanted[:, i]).astype(np.intp) << i
+        cases += np.arange(len(asked)) << asked.shape[1]
+        return table.take(cases.ravel(), axis=0).reshape(len(words), -1) @ onto
+
+    @staticmethod
+    def _worked_out(words, left, need, share, value, onto):
+        decided = np.concatenate((np.stack((left, ~left), axis=2).reshape(len(left), -1), np.ones((len(left), 1), bool)), axis=1)
+        met = decided[:, need].all(axis=3).astype(float)  # pattern, leaf, feature
+        parts = _shapley_factors([met[:, :, i] for i in range(met.shape[2])], share)
+        return (np.stack(parts, axis=2) * value[:, None]).reshape(len(left), -1) @ onto
 
 
 def explain(spark: SparkSession, pipeline, frame: DataFrame, id_col: str, names: Sequence[str]) -> DataFrame:
     """(id, base, raw, contributions array): base + sum of contributions = raw ensemble score.
 
-    The node table is as small as the model; it travels with the task, and rows stay where they are.
+    The node table is as small as the model; packed into arrays it travels with the task, and rows stay where they are.
     """
     model = pipeline.stages[-1]
-    nodes = node_table(spark, model).toPandas()
-    weights = list(model.treeWeights)
-    paths = _leaf_paths(nodes, weights)
-    base = sum(v * math.prod(s for _, s, _ in parts) for v, parts in paths)
-    prepared = pipeline
-    for_rows = prepared.transform(frame).select(id_col, vector_to_array("features").alias("x"))
+    trees = PackedTrees(node_table(spark, model).toArrow(), list(model.treeWeights), len(names))
+    for_rows = pipeline.transform(frame).select(id_col, vector_to_array("features").alias("x"))
     id_type = for_rows.schema[id_col].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if len(batch) == 0:
+            if not batch.num_rows:
                 continue
-            phi = _contributions(np.stack(batch["x"].to_numpy()), paths)
-            yield pd.DataFrame({id_col: batch[id_col], "base": base, "raw": base + phi.sum(axis=1),
-                                "contributions": list(phi)})
+            phi = trees.contributions(batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, phi.size + 1, phi.shape[1]), pa.int32()), pa.array(phi.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(len(phi), trees.base)), pa.array(trees.base + phi.sum(axis=1)), lists],
+                                             [id_col, "base", "raw", "contributions"])
 
-    return for_rows.mapInPandas(run, f"{id_col} {id_type}, base double, raw double, contributions array<double>")
+    return for_rows.mapInArrow(run, f"{id_col} {id_type}, base double, raw double, contributions array<double>")
 
 
 def mean_contributions(explained: DataFrame, names: Sequence[str], top: int = 15) -> DataFrame:

@@ -5,11 +5,13 @@ from __future__ import annotations
 import warnings
 from collections.abc import Sequence
 
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame, functions as F
 
 from trialspark.functions import columns as X, constants as C, filters as P
 from trialspark.operators.ordered import exact_percentiles
+from trialspark.session import checkpointed
 
 NUMERIC = [*C.NUMERIC_FEATURES, *C.BOOLEAN_FEATURES]
 CATEGORICAL = list(C.CATEGORICAL_FEATURES)
@@ -64,17 +66,40 @@ def exact_medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
 
 def preparation_stages(frame: DataFrame) -> list:
     """Median fill, one-hot categories (unseen ones all zero) and the feature vector."""
-    medians = exact_medians(frame, [f"f_{c}" for c in NUMERIC])
+    return [_fill(exact_medians(frame, [f"f_{c}" for c in NUMERIC])), *_encoders(), _assembler()]
+
+
+def fold_features(frame: DataFrame, parts: Sequence[int]) -> tuple[DataFrame, dict[int, PipelineModel]]:
+    """The frame stored with its categories encoded, and for each part what completes the features without knowing it.
+
+    ``frame`` has a ``part`` column. The medians of all rows outside a part are exact, and one job finds those of every part.
+    """
+    parts = sorted(set(parts))
+    columns = [f"f_{c}" for c in NUMERIC]
+    encoder = Pipeline(stages=_encoders()).fit(frame)
+    encoded = checkpointed(encoder.transform(frame))
+    outside = encoded.withColumn("outside", F.explode(F.array(*map(F.lit, parts)))).where("outside <> part")
+    long = outside.select("outside", *columns).unpivot("outside", columns, "feature", "value")
+    found = exact_percentiles(long, "value", {"median": 0.5}, ["outside", "feature"]).collect()
+    medians = {(r["outside"], r["feature"]): r["median"] for r in found}
+    return encoded, {p: PipelineModel([_fill({c: float(medians.get((p, c), 0.0)) for c in columns}), _assembler()]) for p in parts}
+
+
+def _fill(medians: dict[str, float]) -> SQLTransformer:
     fills = ", ".join(f"coalesce({c}, {m!r}D) AS x_{c[2:]}" for c, m in medians.items())
+    return SQLTransformer(statement=f"SELECT *, {fills} FROM __THIS__")
+
+
+def _encoders() -> list:
     indexed = [f"i_{c}" for c in CATEGORICAL]
-    hot = [f"x_{c}" for c in CATEGORICAL]
     return [
-        SQLTransformer(statement=f"SELECT *, {fills} FROM __THIS__"),
         StringIndexer(inputCols=[f"f_{c}" for c in CATEGORICAL], outputCols=indexed,
                       handleInvalid="keep", stringOrderType="alphabetAsc"),
-        OneHotEncoder(inputCols=indexed, outputCols=hot, dropLast=True),
-        VectorAssembler(inputCols=[f"x_{c}" for c in NUMERIC] + hot, outputCol="features"),
-    ]
+        OneHotEncoder(inputCols=indexed, outputCols=[f"x_{c}" for c in CATEGORICAL], dropLast=True)]
+
+
+def _assembler() -> VectorAssembler:
+    return VectorAssembler(inputCols=[f"x_{c}" for c in [*NUMERIC, *CATEGORICAL]], outputCol="features")
 
 
 def feature_names(transformed: DataFrame) -> list[str]:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from trialspark.functions import columns as X, constants as C, filters as P
 from trialspark.operators.evaluation import describe, histogram
 from trialspark.operators.ordered import exact_percentiles
+from trialspark.session import checkpointed
 from trialspark.sources.registry import TrialTables
 
 
@@ -140,10 +141,10 @@ _SCENARIO_SCHEMA = (
 )
 
 
-def scenario_frame(spark, scenarios: Sequence[dict]) -> DataFrame:
-    """Hypothetical studies completed with the fixed defaults of the forecast form."""
-    names = [part.split()[0] for part in _SCENARIO_SCHEMA.split(", ")]
-    d = spark.createDataFrame([tuple(s.get(n) for n in names) for s in scenarios], _SCENARIO_SCHEMA)
+def complete_scenarios(scenarios: DataFrame) -> DataFrame:
+    """Hypothetical studies completed with the fixed defaults of the forecast form; NULL where a given column is absent."""
+    names, kinds = zip(*(part.split() for part in _SCENARIO_SCHEMA.split(", ")), strict=True)
+    d = scenarios.select(*[(F.col(n) if n in scenarios.columns else F.lit(None)).cast(k).alias(n) for n, k in zip(names, kinds, strict=True)])
     return d.withColumns({
         "geographic_concentration": F.round(1.0 / F.greatest(F.col("n_countries"), F.lit(1)), 4),
         "condition_prevalence_proxy": F.lit(50.0),
@@ -154,21 +155,68 @@ def scenario_frame(spark, scenarios: Sequence[dict]) -> DataFrame:
     })
 
 
+def scenario_frame(spark, scenarios: Sequence[dict]) -> DataFrame:
+    """Scenarios given as dictionaries, completed."""
+    names = [part.split()[0] for part in _SCENARIO_SCHEMA.split(", ")]
+    return complete_scenarios(spark.createDataFrame([tuple(s.get(n) for n in names) for s in scenarios], _SCENARIO_SCHEMA))
+
+
+_DISTANCE = {"n_countries": 0.3, "n_facilities": 0.01, "enrollment": 1.0}  # the last gap counts relative to the scenario's own enrollment
+_CELLS = {"n_countries": 4, "n_facilities": 4, "enrollment": 8}  # of a bucket per factor of two
+
+
+def _cell(prefix: str = "") -> Column:
+    """The bucket of a study's values: powers of two cut into steps, so that buckets are few whatever the number of studies."""
+    steps = [F.floor(F.log2(1 + F.greatest(F.col(prefix + c).cast("double"), F.lit(0.0))) * n).cast("string") for c, n in _CELLS.items()]
+    return F.concat_ws("/", *steps)
+
+
+def nearest_buckets(past: DataFrame, scenarios: DataFrame, k: int) -> DataFrame:
+    """(phase_numeric, _class, _cell): the buckets of studies that can hold one of the ``k`` nearest of a class of scenarios.
+
+    ``past`` and ``scenarios`` carry their buckets. From the least and greatest values of both follow bounds of every
+    distance between them. Buckets in the order of their upper bounds are sure to offer ``k`` studies within some distance; a
+    bucket whose lower bound is beyond that is left out. Only bucket tables meet here.
+    """
+    def ranges(df, cell, prefix, n):
+        return df.groupBy("phase_numeric", cell).agg(F.count(F.lit(1)).alias(n), *[
+            f(F.col(prefix + c).cast("double")).alias(f"{n}_{k}_{c}") for c in _DISTANCE for k, f in (("low", F.min), ("high", F.max))])
+
+    pairs = ranges(scenarios, "_class", "_", "s").join(ranges(past, "_cell", "", "p"), "phase_numeric")
+    col = lambda side, end, c: F.col(f"{side}_{end}_{c}")
+    scale = lambda c, end: F.greatest(col("s", end, c), F.lit(1.0)) if c == "enrollment" else F.lit(1.0)
+    low, high = F.lit(0.0), F.lit(0.0)
+    for c, w in _DISTANCE.items():
+        least = F.greatest(F.lit(0.0), col("p", "low", c) - col("s", "high", c), col("s", "low", c) - col("p", "high", c))
+        most = F.greatest(col("p", "high", c) - col("s", "low", c), col("s", "high", c) - col("p", "low", c))
+        low, high = low + least * w / scale(c, "high"), high + most * w / scale(c, "low")
+    own = Window.partitionBy("phase_numeric", "_class")
+    pairs = pairs.select("phase_numeric", "_class", "_cell", "p", low.alias("low"), high.alias("high"))
+    pairs = pairs.withColumn("offered", F.sum("p").over(own.orderBy("high").rowsBetween(Window.unboundedPreceding, 0)))
+    pairs = pairs.withColumn("enough", F.min(F.when(F.col("offered") >= k, F.col("high"))).over(own))
+    return pairs.where("enough IS NULL OR low <= enough + 1e-8").select("phase_numeric", "_class", "_cell")  # distances are rounded
+
+
 def similar_trials(modeling: DataFrame, scenarios: DataFrame, k: int = 10) -> DataFrame:
-    """The ``k`` nearest historical studies of the same phase per scenario.
+    """The ``k`` nearest historical studies of the same phase per scenario; ties go to the smaller id.
 
-    The join on the phase is left to Spark's size statistics; each task keeps its best ``k`` per scenario
-    before the shuffle.
+    A scenario meets only the buckets that can hold one of its nearest. Of studies that are equal in all compared values
+    ``k`` are enough, so a bucket with very many of them stays small; each task keeps its best ``k`` per scenario before the shuffle. Scenarios and
+    studies that lack one of the values are not compared.
     """
-    s = scenarios.select("scenario", "phase_numeric", *[
-        F.col(c).alias(f"_{c}") for c in ("n_countries", "n_facilities", "enrollment")])
-    past = modeling.where(P.known_positive(C.DURATION_TARGET)).select(
+    has = lambda prefix: F.forall(F.array(*[F.col(prefix + c).isNotNull() for c in _DISTANCE]), lambda x: x)
+    s = scenarios.select("scenario", "phase_numeric", *[F.col(c).alias(f"_{c}") for c in _DISTANCE])
+    s = s.where(has("_")).withColumn("_class", _cell("_"))
+    past = modeling.where(P.known_positive(C.DURATION_TARGET) & has("")).select(
         "nct_id", "phase_numeric", "n_facilities", "n_countries", "enrollment", C.DURATION_TARGET, C.CLASS_TARGET)
-    d = past.join(s, "phase_numeric")
+    equal = Window.partitionBy("phase_numeric", *_DISTANCE).orderBy("nct_id")
+    past = past.withColumn("_equal", F.row_number().over(equal)).where(F.col("_equal") <= k).drop("_equal")
+    past = checkpointed(past.withColumn("_cell", _cell()))
+    d = past.join(nearest_buckets(past, s, k), ["phase_numeric", "_cell"]).join(s, ["phase_numeric", "_class"])
     gap = lambda c: F.abs(F.col(c) - F.col(f"_{c}"))
     distance = gap("n_countries") * 0.3 + gap("n_facilities") * 0.01 + gap("enrollment") / F.greatest(
         F.col("_enrollment"), F.lit(1.0))
-    d = d.withColumn("distance", X.stable_round(distance, 9)).drop("_n_countries", "_n_facilities", "_enrollment")
+    d = d.withColumn("distance", X.stable_round(distance, 9)).drop("_n_countries", "_n_facilities", "_enrollment", "_class", "_cell")
     w = Window.partitionBy("scenario").orderBy("distance", "nct_id")
     return d.withColumn("position", F.row_number().over(w)).where(F.col("position") <= k)
 

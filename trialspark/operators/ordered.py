@@ -116,10 +116,11 @@ def exact_percentiles(
     return near.groupBy(*by).agg(*aggs)
 
 
-def count_at_most(values: Column, bound: Column) -> Column:
-    """How many elements of an ascending array are at most ``bound``: a binary search in SQL."""
+def count_at_most(values: Column, bound: Column, strict: bool = False) -> Column:
+    """How many elements of an ascending array are at most (or, ``strict``, less than) ``bound``: a binary search in SQL."""
+    fits = (lambda v: v < bound) if strict else (lambda v: v <= bound)
     half = lambda s: F.floor((s["low"] + s["high"]) / 2).cast("int")
-    step = lambda s, _: F.when(s["low"] >= s["high"], s).when(F.get(values, half(s)) <= bound, F.struct(
+    step = lambda s, _: F.when(s["low"] >= s["high"], s).when(fits(F.get(values, half(s))), F.struct(
         (half(s) + 1).alias("low"), s["high"].alias("high"))).otherwise(F.struct(s["low"].alias("low"), half(s).alias("high")))
     start = F.struct(F.lit(0).alias("low"), F.size(values).alias("high"))
     steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(values) + 1.0)).cast("int"))

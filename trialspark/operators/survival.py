@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.storagelevel import StorageLevel
 
 from trialspark.functions import columns as X, constants as C, filters as P
+from trialspark.operators.ordered import count_at_most
 from trialspark.sources.registry import path_exists
 
 
@@ -46,8 +47,36 @@ def phase_survival_curves(modeling: DataFrame, phases: Sequence[str] = C.SINGLE_
     return curve.withColumn("years", F.col("days") / 365.25)
 
 
+def nelson_aalen(df: DataFrame, duration: str, event: Column) -> DataFrame:
+    """(day, cumulative_hazard): sum over days up to here of events / rows at risk. Windows run over distinct days only."""
+    days = df.where(F.col(duration).isNotNull()).groupBy(F.floor(F.col(duration)).cast("double").alias("day")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(event.cast("int"), F.lit(0))).alias("events"))
+    at_risk = F.sum("n").over(Window.orderBy("day").rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    days = days.withColumn("step", F.col("events") / at_risk)
+    return days.select("day", F.sum("step").over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("cumulative_hazard"))
+
+
+def survival_at(rows: DataFrame, baseline: DataFrame, time_points: Sequence[float] | Column, risk: str = "risk") -> DataFrame:
+    """Rows times time points ``t``, with the baseline hazard of the last day not after ``t`` and exp(-hazard * risk).
+
+    The as-of join is an equi-join: baseline days are whole, so each is spread over the days up to the next one, and a
+    point after the last day takes the last. The spread table has one row a day, decades are ten thousand. Before the first
+    day the hazard is 0; a NULL point or risk has no survival.
+    """
+    points = time_points if isinstance(time_points, Column) else F.array(*[F.lit(float(t)) for t in time_points])
+    after = F.lead("day").over(Window.orderBy("day"))
+    last = baseline.agg(F.max("day")).scalar().cast("long")
+    spread = baseline.withColumn("_next", F.coalesce(after - 1, F.col("day"))).select(
+        F.explode(F.sequence(F.col("day").cast("long"), F.col("_next").cast("long"))).alias("_day"), "cumulative_hazard")
+    d = rows.withColumn("t", F.explode(points)).withColumn("_day", F.least(F.floor("t"), last))
+    d = d.join(spread, "_day", "left").drop("_day").withColumn("cumulative_hazard", F.when(F.col("t").isNotNull(), F.coalesce("cumulative_hazard", F.lit(0.0))))
+    return d.withColumn("survival", F.exp(-F.col("cumulative_hazard") * F.col(risk)))
+
+
 # ---- Cox proportional hazards -------------------------------------------------------
 
+MOST_CATEGORIES = 200  # of one column; each but the first is a covariate
+
 @dataclass
 class CoxModel:
     """Coefficients on standardised covariates, their scale, and the baseline hazard by day."""
@@ -90,16 +119,22 @@ class CoxModel:
             out[f"S_t{t}"] = F.exp(-F.lit(h) * risk)
         return df.withColumns(out)
 
-    def predict_median(self, df: DataFrame, out: str = "pred_median_duration_days") -> DataFrame:
-        """First day with S <= 0.5; infinity when the curve never gets there."""
-        days = np.array([*self.days, np.inf])
-        hazard = np.array(self.cumulative_hazard)
+    def baseline(self, spark: SparkSession) -> DataFrame:
+        """(day, cumulative_hazard): one row per distinct duration day, thousands whatever the number of studies."""
+        return spark.createDataFrame(list(zip(self.days, self.cumulative_hazard, strict=True)), "day double, cumulative_hazard double")
 
-        @F.pandas_udf("double")
-        def first_day(needed: pd.Series) -> pd.Series:
-            return pd.Series(days[np.searchsorted(hazard, needed.to_numpy(), side="left")])
+    def predict_curve(self, df: DataFrame, time_points: Sequence[float] | Column = C.SURVIVAL_TIME_POINTS) -> DataFrame:
+        """One row per study and time point: ``t`` and ``survival``. The points may be an array column of the studies' own."""
+        rows = df.withColumn("risk", F.exp(self._linear_predictor(df)))
+        return survival_at(rows, self.baseline(df.sparkSession), time_points).drop("risk", "cumulative_hazard")
 
-        return df.withColumn(out, first_day(F.lit(math.log(2.0)) / F.exp(self._linear_predictor(df))))
+    def predict_median(self, df: DataFrame, out: str = "pred_median_duration_days") -> DataFrame:
+        """First day with S <= 0.5; infinity when the curve never gets there."""
+        one = df.sparkSession.createDataFrame([(self.days, self.cumulative_hazard)], "days array<double>, hazard array<double>")
+        needed = F.lit(math.log(2.0)) / F.exp(self._linear_predictor(df))
+        df = df.withColumns({"__days": one.select("days").scalar(), "__hazard": one.select("hazard").scalar()})
+        first = F.get("__days", count_at_most(F.col("__hazard"), needed, strict=True))
+        return df.withColumn(out, F.coalesce(first, F.lit(float("inf")))).drop("__days", "__hazard")
 
     def save(self, spark: SparkSession, path: str) -> None:
         """Coefficient, baseline and setting tables as parquet."""
@@ -159,7 +194,12 @@ def _cox_frame(modeling: DataFrame, min_days: float) -> tuple[DataFrame, list[st
     rows = modeling.where(F.col(C.DURATION_TARGET).isNotNull() & (F.col(C.DURATION_TARGET) >= min_days))
     frame = feature_frame(rows)
     medians = exact_medians(frame, [f"f_{c}" for c in C.NUMERIC_FEATURES])
-    categories = {c: sorted(r[0] for r in frame.select(f"f_{c}").distinct().collect()) for c in C.CATEGORICAL_FEATURES}
+    categories = {}
+    for c in C.CATEGORICAL_FEATURES:
+        found = [r[0] for r in frame.select(f"f_{c}").distinct().limit(MOST_CATEGORIES + 1).collect()]
+        if len(found) > MOST_CATEGORIES:
+            raise ValueError(f"{c} has more than {MOST_CATEGORIES} values: group them first")
+        categories[c] = sorted(found)
     covariates = cox_covariates(rows, medians, categories)
     d = rows.select(
         F.floor(F.col(C.DURATION_TARGET)).cast("double").alias("day"),

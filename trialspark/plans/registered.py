@@ -13,7 +13,7 @@ from trialspark.operators import (
     criteria as K, evaluation as V, explore as E, intervals as I, landscape as L, network as N,
     sites as T, study_features as S, survival as U,
 )
-from trialspark.operators.ordered import exact_percentiles
+from trialspark.operators.ordered import exact_percentiles, join_on
 from trialspark.plans.modeling import build_modeling_table, competing_trials, enrollment_extract
 from trialspark.session import shared_folder, stored
 from trialspark.sources.bindings import registry, table
@@ -440,6 +440,44 @@ def survival_probabilities(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("nct_id", *[f"S_t{t}" for t in C.SURVIVAL_TIME_POINTS], "pred_median_duration_days")
 
 
+@_query
+def survival_curve(spark: SparkSession, sf: str) -> DataFrame:
+    """Survival of every study at three points of its own, from the hazard of all studies and given coefficients."""
+    m = _stored_modeling(spark, sf)
+    hazard = stored(U.nelson_aalen(m.where(P.known_positive(C.DURATION_TARGET)), C.DURATION_TARGET, X.status_key("overall_status") == "COMPLETED"))
+    risk = F.exp(0.2 * (F.col("phase_numeric") - 2) - 0.05 * (F.col("n_facilities") - 3))
+    points = F.array(F.lit(0.5), F.lit(60.0), F.col("n_facilities") * 400.0)
+    curve = U.survival_at(m.select("nct_id", "n_facilities", risk.alias("risk")), hazard, points)
+    return _rounded(curve.select("nct_id", "t", "survival"), 6, "survival")
+
+
+@_query
+def scenario_forecast(spark: SparkSession, sf: str) -> DataFrame:
+    """A hypothetical study like the average one of every phase and type of sponsor: scores and survival curve."""
+    m = _stored_modeling(spark, sf)
+    scenarios = m.where("phase_numeric IS NOT NULL").groupBy("phase_numeric", "sponsor_type").agg(
+        *[F.round(F.avg(c)).alias(c) for c in ("n_facilities", "n_countries", "n_eligibility_criteria", "enrollment")],
+        F.lit(MODELS[0]).alias("intervention_model"), F.lit("Double").alias("masking"))
+    scenarios = scenarios.withColumn("scenario", F.concat_ws("/", F.col("phase_numeric").cast("string"), "sponsor_type"))
+    return _forecaster(m).forecast(E.complete_scenarios(scenarios), U.fit_cox(m))
+
+
+@_query
+def cross_validation(spark: SparkSession, sf: str) -> DataFrame:
+    """Metrics of every stratified fold, with their mean and deviation."""
+    from trialspark.ml.train import Forecaster
+
+    folds = Forecaster(_SMALL_TREES, _SMALL_TREES).cross_validate(_stored_modeling(spark, sf))
+    return join_on(folds, V.fold_summary(folds, ["roc_auc", "f1"]), [])
+
+
+@_query
+def weight_sweep(spark: SparkSession, sf: str) -> DataFrame:
+    from trialspark.ml.train import Forecaster
+
+    return Forecaster(_SMALL_TREES, _SMALL_TREES).weight_sweep(_stored_modeling(spark, sf))
+
+
 # The rules behind the model reports, over values that the tables give, so that SQL can follow them.
 
 @_query
