@@ -353,6 +353,10 @@ def build() -> dict[str, str]:
         FROM (SELECT name, city, country, f.nct_id, any_value(g.enrollment) AS enrollment, any_value({KEY('g.overall_status')}) AS st, sum(latitude) AS lat, count(latitude) AS n_lat, sum(longitude) AS lon, count(longitude) AS n_lon
         FROM facilities f JOIN gear g ON f.nct_id = g.nct_id WHERE {NAMED} GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3"""
     add("top_sites", f"{sites_agg} ORDER BY n_trials DESC, completion_rate DESC NULLS LAST, name NULLS LAST, city NULLS LAST, country NULLS LAST LIMIT 20")
+    add("top_sites_by_rows", f"""SELECT name, city, country, count(DISTINCT f.nct_id) AS n_trials, count(*) FILTER ({KEY('g.overall_status')} = 'COMPLETED') AS n_completed, count(*) FILTER ({KEY('g.overall_status')} = 'TERMINATED') AS n_terminated,
+        {R('avg(g.enrollment)', 1)} AS avg_enrollment, {R('avg(latitude)', 5)} AS latitude, {R('avg(longitude)', 5)} AS longitude,
+        {R(f"count(*) FILTER ({KEY('g.overall_status')} = 'COMPLETED') / nullif(count(*) FILTER ({KEY('g.overall_status')} IN ('COMPLETED', 'TERMINATED')), 0)", 4)} AS completion_rate
+        FROM facilities f JOIN gear g ON f.nct_id = g.nct_id WHERE {NAMED} GROUP BY 1, 2, 3 ORDER BY n_trials DESC, completion_rate DESC NULLS LAST, name NULLS LAST, city NULLS LAST, country NULLS LAST LIMIT 20""")
     zs = " + ".join(f"{w} * ((coalesce({c}, 0) - avg(coalesce({c}, 0)) OVER ()) / stddev_pop(coalesce({c}, 0)) OVER ())" for c, w in (
         ("completion_rate", 0.35), ("avg_enrollment", 0.25), ("n_trials", 0.20), ("late_phase_share", 0.10), ("n_conditions", 0.10)))
     late = f"""SELECT name, city, country, {R(f"avg(CASE WHEN {PHASE('g.phase')} IN ('Phase 2', 'Phase 3') THEN 1.0 ELSE 0.0 END)", 6)} AS late_phase_share, count(DISTINCT lower(condition)) AS n_conditions
@@ -370,6 +374,10 @@ def build() -> dict[str, str]:
     add("site_recommendation", f"""SELECT rank, country, performance_score, completion_rate, n_completed, avg_duration_days, alloc AS allocated_enrollment, greatest(CAST(ceil(alloc / greatest(avg_enrollment, 10.0)) AS BIGINT), 1) AS recommended_sites,
         concat(CAST(n_completed AS VARCHAR), ' completed trials; completion rate ', CAST(CAST(round(completion_rate * 100) AS BIGINT) AS VARCHAR), '%; avg duration ', format('{{:.1f}}', avg_duration_days / 365.25), ' yrs') AS rationale
         FROM (SELECT *, row_number() OVER (ORDER BY adj DESC, country) AS rank, CAST(round(adj / sum(adj) OVER () * 1000) AS BIGINT) AS alloc FROM (SELECT *, {adj} AS adj FROM perf WHERE n_completed >= 3 ORDER BY adj DESC, country LIMIT 6))""", country_perf("gear"))
+    add("site_recommendation_repaired", f"""SELECT rank, country, performance_score, completion_rate, n_completed, avg_duration_days, alloc AS allocated_enrollment, greatest(CAST(ceil(alloc / greatest(avg_enrollment, 10.0)) AS BIGINT), 1) AS recommended_sites,
+        concat(CAST(n_completed AS VARCHAR), ' completed trials; completion rate ', CAST(CAST(round(completion_rate * 100) AS BIGINT) AS VARCHAR), '%; avg duration ', format('{{:.1f}}', avg_duration_days / 365.25), ' yrs') AS rationale
+        FROM (SELECT *, CAST(floor(x) + CAST(row_number() OVER (ORDER BY x - floor(x) DESC, country) <= 1001 - sum(floor(x)) OVER () AS INTEGER) AS BIGINT) AS alloc FROM (
+        SELECT *, row_number() OVER (ORDER BY adj DESC, country) AS rank, adj / sum(adj) OVER () * 1001 AS x FROM (SELECT *, {adj} AS adj FROM perf WHERE n_completed >= 3 ORDER BY adj DESC, country LIMIT 6)))""", country_perf("gear"))
     z = lambda c: R(f"coalesce((coalesce({c}, 0) - avg(coalesce({c}, 0)) OVER ()) / nullif(stddev_pop(coalesce({c}, 0)) OVER (), 0), 0)", 4)
     add("country_zscores_wide", "SELECT country, z1 AS n_trials, z2 AS completion_rate, z3 AS avg_enrollment FROM z",
         country_perf(f"(SELECT * FROM studies WHERE {INTERVENTIONAL})") + f", z AS (SELECT country, {z('n_trials')} AS z1, {z('completion_rate')} AS z2, {z('avg_enrollment')} AS z3 FROM (SELECT * FROM perf ORDER BY n_trials DESC, country LIMIT 25))")
@@ -441,6 +449,7 @@ def build() -> dict[str, str]:
     add("stratified_split", f"SELECT nct_id, label, pos < round(size * 0.2) AS is_test FROM ({order_hash(labeled, 'label', 'nct_id')})")
     add("stratified_folds", f"SELECT nct_id, label, CAST(pos % 5 AS INTEGER) AS fold FROM ({order_hash(labeled, 'label', 'nct_id')})")
     add("label_coverage", f"SELECT phase, count(*) AS n_rows, count(enrollment_met_target) AS n_labeled, {R('count(enrollment_met_target) / count(*)', 4)} AS labeled_share, {R('avg(enrollment_met_target)', 4)} AS positive_rate FROM modeling GROUP BY 1")
+    add("labeled_and_unlabeled", "SELECT enrollment_met_target IS NOT NULL AS is_labeled, phase, count(*) AS n, count(enrollment_met_target) AS n_with_target FROM modeling GROUP BY 1, 2")
     add("duration_cap", f"SELECT {R(f'quantile_cont({d}, 0.99)', 6)} AS p99, count(*) AS n FROM modeling WHERE {d} > 0 AND enrollment_met_target IS NOT NULL")
 
     add("risk_factor_rows", "SELECT doc_id, factor_no, risk_factor, coalesce(scored, 'medium') AS severity, suggestion, '' AS population_impact FROM factors", FACTORS)

@@ -22,6 +22,26 @@ def test_cache_reuse_and_fallback(spark, tmp_path):
     assert spark.read.parquet(cache).where("ok").count() == 3  # hits were not analyzed again
 
 
+def test_a_run_reads_only_the_buckets_of_its_inputs(spark, tmp_path):
+    cache = str(tmp_path / "cache")
+    many = spark.range(20_000).selectExpr("CAST(id AS STRING) AS text")
+    K.enrich(many, ["text"], lambda t: {"n": len(t)}, cache)
+    few = frame(spark, "text string", [(str(7000 + i),) for i in range(9)] + [("new one",)])
+    keyed = few.withColumn("cache_key", K.X.cache_key("text"))
+    buckets = {r[0] for r in keyed.selectExpr("substring(cache_key, 1, 2)").collect()}
+    read = K._cached(spark, cache, keyed)
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [bucket" in plan and len(buckets) <= 10
+    assert {r.cache_key for r in read.collect()} == {r.cache_key for r in keyed.where("text <> 'new one'").collect()}
+    got = {r.text: r.result for r in K.enrich(few, ["text"], lambda t: {"n": len(t)}, cache).collect()}
+    assert got["new one"] == '{"n": 7}' and got["7003"] == '{"n": 4}'
+    assert spark.read.parquet(cache).where("cache_key IS NOT NULL").count() == 20_001
+    K.compact_cache(spark, cache, str(tmp_path / "compacted"))
+    assert spark.read.parquet(str(tmp_path / "compacted")).count() == 20_001
+    again = {r.text: r.result for r in K.enrich(few, ["text"], lambda t: {"n": -1}, str(tmp_path / "compacted")).collect()}
+    assert again == got
+
+
 RESULT = {"risk_factors": ["age", "renal", "prior"], "severity_scores": ["high", "odd"],
           "simplification_suggestions": ["widen"], "estimated_population_impact": []}
 

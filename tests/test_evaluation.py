@@ -111,3 +111,16 @@ def test_durations_survive_repeated_values_and_fractions(spark):
     assert len(got) == 2 and {r["nct_id"]: r["enrollment_duration_days"] for r in got}["b"] is None
     d = frame(spark, "t double, e boolean, g string", [(3.2, True, "x"), (3.9, False, "x"), (7.5, True, "x")])
     assert [(r["days"], r["at_risk"]) for r in U.kaplan_meier(d, "t", F.col("e"), ["g"], min_rows=2).orderBy("days").collect()] == [(3.0, 3), (7.0, 1)]
+
+
+def test_labeled_and_unlabeled_studies_in_one_table(spark):
+    from trialspark.ml.prep import with_unlabeled
+
+    a, b = frame(spark, "nct_id string, y int", [("a", 1)]), frame(spark, "nct_id string, z int", [("b", 2), ("c", None)])
+    assert sorted(map(tuple, with_unlabeled(a, b).select("nct_id", "is_labeled", "y", "z").collect())) == [("a", True, 1, None), ("b", False, None, 2), ("c", False, None, None)]
+
+
+def test_pair_sample_is_stable_and_of_the_asked_size(spark):
+    d = spark.range(5000).selectExpr("CAST(id AS STRING) AS nct_id", "id AS x")
+    one, two = ({r.nct_id for r in E.pair_sample(x, ["x"], 0.1).collect()} for x in (d, d.repartition(7)))
+    assert one == two and 400 < len(one) < 600

@@ -95,3 +95,23 @@ def test_quoted_breaks_across_file_blocks_give_the_same_rows(spark, tmp_path):
 def test_jdbc_asks_for_the_partitioning_of_every_table(spark):
     with pytest.raises(ValueError, match="studies"):
         R.load_from_jdbc(spark, "jdbc:none", {"conditions": {}}, only=["studies"])
+
+
+def test_bucketed_tables_join_on_the_study_without_a_shuffle(spark, tables, tmp_path):
+    import re
+
+    from trialspark.plans.modeling import build_modeling_table
+    from trialspark.sources.registry import load_bucketed, store_bucketed
+
+    store_bucketed(tables, "bucketed_", str(tmp_path / "b"), buckets=8)
+    stored_tables = load_bucketed(spark, "bucketed_")
+    plain, bucketed = (build_modeling_table(t) for t in (tables, stored_tables))
+    assert sorted(map(str, bucketed.collect())) == sorted(map(str, plain.collect()))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        shuffles = [len(re.findall(r"Exchange hashpartitioning\(nct_id#", build_modeling_table(t)._jdf.queryExecution().executedPlan().toString())) for t in (tables, stored_tables)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        for name in stored_tables.present():
+            spark.sql(f"DROP TABLE bucketed_{name}")
+    assert shuffles[1] <= 3 and shuffles[0] > 20  # only what is joined by condition or sponsor comes back to its studies

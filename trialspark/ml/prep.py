@@ -21,6 +21,12 @@ def labeled_rows(modeling: DataFrame) -> DataFrame:
     return modeling.where(F.col(C.CLASS_TARGET).isNotNull())
 
 
+def with_unlabeled(labeled: DataFrame, unlabeled: DataFrame) -> DataFrame:
+    """Labeled studies and others in one table, told apart by ``is_labeled``; columns that one side lacks are NULL there."""
+    mark = lambda df, is_: df.withColumn("is_labeled", F.lit(is_))
+    return mark(labeled, True).unionByName(mark(unlabeled, False), allowMissingColumns=True)
+
+
 def regression_rows(modeling: DataFrame) -> DataFrame:
     """Labeled studies with a positive duration."""
     return labeled_rows(modeling).where(P.known_positive(C.DURATION_TARGET))

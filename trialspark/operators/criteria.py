@@ -21,22 +21,50 @@ COMPARISON_SCHEMA = (
 )
 
 
+_PREFIX = 2  # hexadecimal digits of the key that name its bucket of the cache: 256 buckets
+
+
+def _cached(spark, cache_path: str, keyed: DataFrame) -> DataFrame | None:
+    """The cache's answers to the keys of ``keyed``, one row a key: only the buckets that they fall into are read."""
+    if not path_exists(spark, cache_path):
+        return None
+    bucket = F.substring("cache_key", 1, _PREFIX)
+    buckets = [r[0] for r in keyed.select(bucket).distinct().collect()]  # 256 at most
+    found = spark.read.schema("cache_key string, result string, ok boolean, bucket string").parquet(cache_path)
+    mine = found.where(F.col("bucket").isin(buckets)).join(keyed.select("cache_key").distinct(), "cache_key", "left_semi")
+    return mine.groupBy("cache_key").agg(F.max(F.struct("ok", "result")).alias("a")).select("cache_key", "a.*")
+
+
+def _store(answers: DataFrame, cache_path: str, mode: str) -> None:
+    """One file for each bucket, with a Bloom filter of its keys."""
+    rows = answers.select("cache_key", "result", "ok", F.substring("cache_key", 1, _PREFIX).alias("bucket"))
+    rows.repartition("bucket").sortWithinPartitions("bucket", "cache_key").write.option(
+        "parquet.bloom.filter.enabled#cache_key", "true").mode(mode).partitionBy("bucket").parquet(cache_path)
+
+
+def compact_cache(spark, cache_path: str, into: str) -> None:
+    """Write the cache anew to ``into``: the best answer of every key, one file a bucket, instead of one a run."""
+    best = spark.read.schema("cache_key string, result string, ok boolean, bucket string").parquet(cache_path).groupBy("cache_key").agg(
+        F.max(F.struct("ok", "result")).alias("a"))
+    _store(best.where("a.ok").select("cache_key", "a.*"), into, "errorifexists")
+
+
 def enrich(
     df: DataFrame, parts: Sequence[str], analyze: Callable[..., dict], cache_path: str,
     fallback: dict | None = None, out: str = "result",
 ) -> DataFrame:
     """Add ``out``: JSON text of ``analyze(*parts)``, calling it once per distinct new input.
 
-    Inputs are keyed by content hash. Keys found in the parquet cache are reused; only distinct misses
-    are analyzed, in Arrow batches on the executors, and appended to the cache. A failing call yields
-    ``fallback`` for its rows and is tried again on the next run.
+    Inputs are keyed by content hash. Keys found in the cache are reused; only distinct misses are analyzed, in Arrow
+    batches on the executors, and appended to the cache. A failing call yields ``fallback`` for its rows and is tried again
+    on the next run. The cache is parquet in buckets of the key, of which a run reads those of its inputs. The analysis runs
+    while the plan is built, since its answers are kept.
     """
     spark = df.sparkSession
     keyed = df.withColumn("cache_key", X.cache_key(*parts))
-    todo = keyed
-    if path_exists(spark, cache_path):
-        done = spark.read.parquet(cache_path).where("ok").select("cache_key")
-        todo = keyed.join(done, "cache_key", "left_anti")
+    known, todo = _cached(spark, cache_path, keyed), keyed
+    if known is not None:
+        todo = keyed.join(known.where("ok").select("cache_key"), "cache_key", "left_anti")
     todo = todo.groupBy("cache_key").agg(*[F.first(p).alias(p) for p in parts])
     names = list(parts)
 
@@ -48,12 +76,10 @@ def enrich(
                     rows.append((key, json.dumps(analyze(*values), sort_keys=True), True))
                 except Exception:  # noqa: BLE001 - one bad input must not fail the job
                     rows.append((key, None, False))
-            yield pd.DataFrame(rows, columns=["cache_key", out, "ok"])
+            yield pd.DataFrame(rows, columns=["cache_key", "result", "ok"])
 
-    fresh = todo.mapInPandas(run, f"cache_key string, {out} string, ok boolean")
-    fresh.write.mode("append").parquet(cache_path)
-    answers = spark.read.parquet(cache_path).groupBy("cache_key").agg(F.max(F.struct("ok", out)).alias("a"))
-    answers = answers.select("cache_key", F.col(f"a.{out}").alias(out))
+    _store(todo.mapInPandas(run, "cache_key string, result string, ok boolean"), cache_path, "append")
+    answers = _cached(spark, cache_path, keyed).select("cache_key", F.col("result").alias(out))
     default = F.lit(None if fallback is None else json.dumps(fallback, sort_keys=True))
     return keyed.join(answers, "cache_key", "left").withColumn(out, F.coalesce(out, default))
 

@@ -103,6 +103,32 @@ def kpi_summary(tables: TrialTables, approximate: bool = False) -> DataFrame:
         "n_countries": scalar(tables.countries, "name")})
 
 
+def kpi_sketches(tables: TrialTables, **batches: str | Column) -> DataFrame:
+    """(metric, batch, rows, sketch): a mergeable sketch of the distinct values of every batch of every counted table.
+
+    ``batches`` names, for a table, what a batch is, such as the file a load brought or the day of it. Sketches have a fixed size,
+    so a summary of any number of loads reads them instead of the tables; new loads only add rows.
+    """
+    counted = {"n_trials": ("studies", "nct_id"), "n_conditions": ("conditions", "downcase_name"), "n_countries": ("countries", "name")}
+    out = None
+    for metric, (table, column) in counted.items():
+        df = getattr(tables, table)
+        batch = batches.get(table, F.lit(""))
+        one = df.groupBy((F.col(batch) if isinstance(batch, str) else batch).cast("string").alias("batch")).agg(
+            F.count(F.lit(1)).alias("rows"), F.hll_sketch_agg(F.col(column).cast("string"), 14).alias("sketch"))
+        one = one.select(F.lit(metric).alias("metric"), "batch", "rows", "sketch")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def kpi_from_sketches(sketches: DataFrame) -> DataFrame:
+    """The KPIs of all batches together: studies exactly, distinct values within two per cent or so."""
+    one = lambda c: F.when(F.col("metric") == c, F.col("sketch"))
+    return sketches.agg(
+        F.coalesce(F.sum(F.when(F.col("metric") == "n_trials", F.col("rows"))), F.lit(0)).alias("n_trials"),
+        *[F.coalesce(F.hll_sketch_estimate(F.hll_union_agg(one(c))), F.lit(0)).alias(c) for c in ("n_conditions", "n_countries")])
+
+
 def dataset_summary(tables: TrialTables) -> DataFrame:
     """Long table (metric, key, value) of row counts, phases, statuses and distinct values."""
     def one(df: DataFrame, metric: str, value) -> DataFrame:

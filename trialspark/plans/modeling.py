@@ -24,13 +24,16 @@ def primary_conditions(tables: TrialTables) -> DataFrame:
     return first.join(S.condition_frequency(tables.conditions), "condition_lower", "left").drop("condition_lower")
 
 
-def competing_trials(cleaned: DataFrame, conditions: DataFrame, open_end="2035-12-31") -> DataFrame:
-    """(nct_id, competing_trials_count): other studies of the same condition, overlapping in time."""
+def competing_trials(cleaned: DataFrame, conditions: DataFrame, open_end="2035-12-31", inverted: bool | None = None) -> DataFrame:
+    """(nct_id, competing_trials_count): other studies of the same condition, overlapping in time.
+
+    ``inverted`` as in ``count_overlaps``: None looks at the intervals at once, True leaves the plan lazy.
+    """
     first = S.primary_value(conditions, "name", "condition")
     d = cleaned.select("nct_id", "start_date", "completion_date").join(first, "nct_id", "left").select(
         "nct_id", "start_date", "completion_date",
         F.coalesce(F.lower("condition"), F.lit("")).alias("condition_lower"))
-    counted = count_overlaps(d, by=["condition_lower"], open_end=open_end, out="competing_trials_count")
+    counted = count_overlaps(d, by=["condition_lower"], open_end=open_end, out="competing_trials_count", inverted=inverted)
     # One row per study as far as the optimizer knows: it can drop this join where the count is unused.
     return counted.groupBy("nct_id").agg(F.max("competing_trials_count").alias("competing_trials_count"))
 
@@ -83,7 +86,7 @@ def build_modeling_table(
 
     if tables.conditions is not None:
         df = df.join(primary_conditions(tables), "nct_id", "left")
-        df = df.join(competing_trials(cleaned, tables.conditions, open_end), "nct_id", "left")
+        df = df.join(competing_trials(cleaned, tables.conditions, open_end, inverted=True if stage is None else None), "nct_id", "left")
         df = df.withColumn("competing_trials_count", F.coalesce("competing_trials_count", F.lit(0)).cast("long"))
     else:
         df = df.withColumns({"condition": F.lit("Unknown"), "condition_prevalence_proxy": _typed_null("long"),

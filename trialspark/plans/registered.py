@@ -197,6 +197,10 @@ _from_tables(
     country_zscores_wide=lambda t: T.country_zscores(T.country_performance(t), _Z_METRICS, wide=True),
     country_zscores=lambda t: T.country_zscores(T.country_performance(t), _Z_METRICS),
     kpi_summary=E.kpi_summary,
+    kpi_summary_sketched=lambda t: E.kpi_from_sketches(stored(E.kpi_sketches(
+        t, studies=F.year("start_date"), conditions=F.col("id") % 16, countries=F.crc32(F.col("nct_id").cast("string").cast("binary")) % 16))),
+    site_recommendation_repaired=lambda t: T.recommend_sites(t, CONDITION, 1001, 6, repair_residual=True),
+    top_sites_by_rows=lambda t: T.top_sites(t, CONDITION, basis="rows"),
     dataset_summary=E.dataset_summary,
     explore_sites_by_country=lambda t: E.sites_by_country(t.facilities),
     explore_site_density_map=lambda t: E.sites_by_country(t.facilities, None),
@@ -252,6 +256,7 @@ _from_modeling(
     explore_success_by_phase=lambda m: E.success_rate(m, "phase", interval=True),
     explore_success_by_year=E.success_by_year,
     explore_ratio_histogram=E.ratio_histogram,
+    labeled_and_unlabeled=lambda m: _with_unlabeled(m),
     explore_enrollment_duration_corr=lambda m: E.correlation(m, "enrollment", C.DURATION_TARGET),
     explore_sites_ratio_corr=lambda m: E.correlation(m, "n_facilities", "enrollment_ratio"),
     label_coverage=lambda m: V.label_coverage(m, C.CLASS_TARGET, ["phase"]),
@@ -259,6 +264,13 @@ _from_modeling(
 )
 
 
+def _with_unlabeled(m: DataFrame) -> DataFrame:
+    from trialspark.ml.prep import labeled_rows, with_unlabeled
+
+    both = with_unlabeled(labeled_rows(m).select("nct_id", "phase", C.CLASS_TARGET), m.where(F.col(C.CLASS_TARGET).isNull()).select("nct_id", "phase"))
+    return both.groupBy("is_labeled", "phase").agg(F.count(F.lit(1)).alias("n"), F.count(C.CLASS_TARGET).alias("n_with_target"))
+
+
 def duration_cap(m: DataFrame) -> DataFrame:
     from trialspark.ml.prep import regression_rows
 

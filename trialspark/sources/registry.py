@@ -162,6 +162,24 @@ def load_modeling_table(spark: SparkSession, directory: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def store_bucketed(tables: TrialTables, prefix: str, path: str, buckets: int = 200) -> TrialTables:
+    """Write every table to ``path`` in the same buckets of ``nct_id`` and read them back as ``<prefix><table>``.
+
+    Joins and groupings on ``nct_id`` then need no shuffle: a bucket of one table meets the same bucket of the others. Size
+    ``buckets`` so that one of the largest table fits a task. The tables stay until they are dropped.
+    """
+    spark = tables.studies.sparkSession
+    for name, df in tables.present().items():
+        df.repartition(buckets, "nct_id").write.format("parquet").bucketBy(buckets, "nct_id").sortBy("nct_id").option(
+            "path", f"{path.rstrip('/')}/{name}").mode("overwrite").saveAsTable(prefix + name)
+    return load_bucketed(spark, prefix)
+
+
+def load_bucketed(spark: SparkSession, prefix: str, only: Iterable[str] = C.TABLES) -> TrialTables:
+    """The tables that ``store_bucketed`` left in the catalog."""
+    return TrialTables.of({t: spark.table(prefix + t) for t in only if spark.catalog.tableExists(prefix + t)})
+
+
 def resolve_source(
     spark: SparkSession, candidates: Iterable[tuple[str, str]], raw_dir: str | None = None,
     processed_dir: str | None = None,
