@@ -214,6 +214,20 @@ def test_top_k_join_equals_brute_force(spark, scale):
     assert got == brute_top_k(rows, [i for i, _ in rows if i % 7 == 0], 5)
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_top_k_join_of_an_id_that_repeats_in_several_cells(spark, seed):
+    rng = random.Random(seed)
+    rows = [(7, [float(rng.randint(-9, 9)) for _ in range(3)]) for _ in range(31)] + [(100 + i, [float(rng.randint(-9, 9)) for _ in range(3)]) for i in range(40)]
+    asked = [(7, [5.0, -3.0, 2.0]), (7, [9.0, 9.0, 9.0]), (103, [1.0, 1.0, 1.0])]
+    schema, least = "vec_id long, embedding array<double>", {7: [5.0, -3.0, 2.0], 103: [1.0, 1.0, 1.0]}
+    got = {tuple(r) for r in top_k_join(spark.createDataFrame(rows, schema), spark.createDataFrame(asked, schema), k=5, scale=1.0, pivots=6).collect()}
+    want = set()
+    for q, v in least.items():
+        best = sorted((-int(sum(a * b for a, b in zip(v, w, strict=True))), k) for k, w in rows if k != q)[:5]
+        want |= {(q, i + 1, k, -s) for i, (s, k) in enumerate(best)}
+    assert got == want
+
+
 def test_top_k_join_of_few_or_mixed_rows(spark):
     few = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.5, 0.5]), (3, [0.5, 0.5])], "vec_id long, embedding array<double>")
     assert {tuple(r) for r in top_k_join(few, few).collect()} == brute_top_k([(1, [1, 0]), (2, [0.5, 0.5]), (3, [0.5, 0.5])], [1, 2, 3], 20)

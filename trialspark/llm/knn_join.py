@@ -79,10 +79,10 @@ def top_k_join(vectors: DataFrame, queries: DataFrame, *, key: str = "vec_id", v
 
     Vectors that are null, empty or hold null or non-finite components take no part, nor do rows with a null key; vectors
     of another length than the first query's are an error; repeated rows are found and asked each, so that a repeated query
-    has its ranks once for all of them; extra columns are ignored; without queries or others the result is empty.
+    has its ranks once, for the least of its vectors; extra columns are ignored; without queries or others the result is empty.
     """
     data = checkpointed(quantised(vectors, key=key, vector=vector, scale=scale))
-    asked = quantised(queries, key=key, vector=vector, scale=scale).dropDuplicates(["k"])
+    asked = quantised(queries, key=key, vector=vector, scale=scale).groupBy("k").agg(F.min("v").alias("v"))
     kind = data.schema["k"].dataType.simpleString()
     out = f"query_id {kind}, rank int, {key} {kind}, score bigint"
     first, spark = data.select(F.size("v").alias("n")).first(), vectors.sparkSession
@@ -96,8 +96,10 @@ def top_k_join(vectors: DataFrame, queries: DataFrame, *, key: str = "vec_id", v
     near = cells.select("cell", F.col("far")).groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("reach"))
     blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / DATA_BLOCK)).cast("int")
     summary = {r.cell: (r.n, r.reach, r.blocks) for r in near.select("*", blocks.alias("blocks")).collect()}
-    # the k + 1 least distances of each cell: kept while rows are merged, so no cell is ever sorted whole
-    nearest = _nearest(cells, k + 1)
+    # the k + 1 least distances of each cell, kept while rows are merged, so no cell is ever sorted whole; each key stands for one
+    # row, since a query leaves out all rows of its own key
+    keys = cells.groupBy("k").agg(F.min(F.struct("far", "cell")).alias("n")).select("n.cell", "n.far")
+    nearest = _nearest(keys, k + 1)
     shared = spark.sparkContext.broadcast((centres, summary, nearest))
     counts = spark.createDataFrame([(c, b) for c, (_, _, b) in summary.items()], "cell int, blocks int")
     parts = max(1, -(-asked.count() // QUERY_PART))
@@ -113,9 +115,9 @@ def top_k_join(vectors: DataFrame, queries: DataFrame, *, key: str = "vec_id", v
                 q = _matrix(some.column(1), dim).astype(np.float64)
                 norm = np.linalg.norm(q, axis=1)
                 base = {cell: q @ centres[cell] for cell in summary}
-                lower = np.hstack([base[c][:, None] - norm[:, None] * nearest[c][None, :] for c in summary])
+                lower = np.hstack([base[c][:, None] - norm[:, None] * near[None, :] for c, near in nearest.items()])
                 lower = np.sort(lower, axis=1)[:, ::-1]
-                sure = lower[:, k] if lower.shape[1] > k else np.full(len(q), -np.inf)  # k others besides the query itself
+                sure = lower[:, k] if lower.shape[1] > k else np.full(len(q), -np.inf)  # k other keys besides the query's
                 sure = np.where(sure < -(2.0**63), -np.inf, np.minimum(sure, 2.0**63))  # where scores end, all tie
                 least = sure - SLACK * (1 + np.abs(np.where(np.isfinite(sure), sure, 0)))
                 row, cell, block = [], [], []
