@@ -445,6 +445,23 @@ def build() -> dict[str, str]:
             (SELECT *, j / k AS f FROM (SELECT *, unnest(range(CAST(k AS BIGINT))) AS j FROM risk WHERE k > 0))) GROUP BY 1) USING (covariate)""",
         f"""per_day AS (SELECT covariate, day, count(*) AS n, sum(e) AS k, sum(x) AS s, sum(x * x) AS ss, sum(e * x) AS es, sum(e * x * x) AS ess FROM ({parts}) GROUP BY 1, 2),
         risk AS (SELECT *, sum(n) OVER w AS rn, sum(s) OVER w AS rs, sum(ss) OVER w AS rss FROM per_day WINDOW w AS (PARTITION BY covariate ORDER BY day DESC))""")
+    add("typed_studies", """SELECT nct_id, TRY_CAST(s AS DATE) AS start_date, TRY_CAST(c AS DATE) AS completion_date, TRY_CAST(trim(e) AS DOUBLE) AS enrollment FROM (
+        SELECT o_orderkey AS nct_id, CASE WHEN o_orderkey % 7 = 0 THEN 'soon' ELSE CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS s, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE '2001-02-30' END AS c,
+        CASE o_orderkey % 5 WHEN 0 THEN 'n/a' WHEN 1 THEN ' 12 ' ELSE CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR) END AS e FROM orders)""")
+    numeric = ["phase_numeric", "n_facilities", "n_countries", "n_eligibility_criteria", "geographic_concentration", "condition_prevalence_proxy", "sponsor_historical_performance",
+               "competing_trials_count", "enrollment", "enrollment_type_is_actual"]
+    value = lambda c: f"ln(1 + greatest(CAST({c} AS DOUBLE), 0))" if c in ("n_facilities", "competing_trials_count", "enrollment") else f"CAST({c} AS DOUBLE)"
+    flag, category = "CAST(coalesce(CAST(is_multicountry AS INTEGER), 0) AS DOUBLE)", lambda c: f"coalesce({c}, 'Unknown')"
+    categories = ["sponsor_type", "intervention_model", "masking"]
+    add("feature_frame", f"SELECT nct_id, {', '.join(f'{R(value(c), 6)} AS f_{c}' for c in numeric)}, {flag} AS f_is_multicountry, {', '.join(f'{category(c)} AS f_{c}' for c in categories)} FROM modeling")
+    add("filled_features", f"""SELECT nct_id, {', '.join(R(f'coalesce({value(c)}, (SELECT median({value(c)}) FROM modeling), 0)', 6) + f' AS x_{c}' for c in numeric)}, {flag} AS x_is_multicountry,
+        {', '.join(f"(SELECT string_agg(CASE WHEN v = {category('m.' + c)} THEN '1' ELSE '0' END, '' ORDER BY v) FROM (SELECT DISTINCT {category(c)} AS v FROM modeling)) AS x_{c}" for c in categories)} FROM modeling m""")
+    timed = f"(SELECT * FROM modeling WHERE {d} >= 1)"
+    cells = [f"SELECT '{c}' AS covariate, count(*) AS n, sum(x) AS total, max(x) AS largest FROM (SELECT coalesce({value(c)}, median({value(c)}) OVER (), 0) AS x FROM {timed})" for c in numeric]
+    cells.append(f"SELECT 'is_multicountry', count(*), sum({flag}), max({flag}) FROM {timed}")
+    cells += [f"""SELECT '{c}_' || v, (SELECT count(*) FROM {timed}), count(*) FILTER (c = v), max(CAST(c = v AS DOUBLE)) FROM (SELECT v FROM (SELECT DISTINCT {category(c)} AS v FROM {timed}) QUALIFY row_number() OVER (ORDER BY v) > 1)
+        CROSS JOIN (SELECT {category(c)} AS c FROM {timed}) GROUP BY v""" for c in categories]
+    add("cox_design_matrix", f"SELECT covariate, n, {R('total', 4)} AS total, {R('largest', 4)} AS largest FROM ({' UNION ALL '.join(cells)})")
     labeled = "(SELECT nct_id, enrollment_met_target AS label FROM modeling WHERE enrollment_met_target IS NOT NULL)"
     add("stratified_split", f"SELECT nct_id, label, pos < round(size * 0.2) AS is_test FROM ({order_hash(labeled, 'label', 'nct_id')})")
     add("stratified_folds", f"SELECT nct_id, label, CAST(pos % 5 AS INTEGER) AS fold FROM ({order_hash(labeled, 'label', 'nct_id')})")

@@ -59,3 +59,13 @@ def test_stratified_order_is_a_permutation_per_stratum(spark):
         assert r["n"] == r["k"] == r["m"] + 1 == r["s"]
     again = O.stratified_order(sample(spark).repartition(3), ["g"], "id")
     assert sorted((r["id"], r["_pos"]) for r in d.collect()) == sorted((r["id"], r["_pos"]) for r in again.collect())
+
+
+def test_ranks_where_a_third_of_all_rows_share_one_value(spark):
+    rng = random.Random(9)
+    rows = [(i, "hot" if i % 3 == 0 else f"g{i % 40}", 7 if i % 3 == 0 else rng.randint(0, 3000), rng.choice([None, 1.5, 2.5])) for i in range(6000)]
+    d = frame(spark, "id int, g string, v int, w double", rows)
+    got = O.with_ranks(d, [("v", True), ("w", False)], {"inside": ["g"], "overall": []})
+    order = [F.col("v").desc_nulls_last(), F.col("w").asc_nulls_last()]
+    want = d.withColumns({"inside": F.rank().over(Window.partitionBy("g").orderBy(*order)).cast("long"), "overall": F.rank().over(Window.orderBy(*order)).cast("long")})
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.select(got.columns).collect()))

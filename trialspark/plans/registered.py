@@ -17,6 +17,7 @@ from trialspark.operators.ordered import exact_percentiles, join_on
 from trialspark.plans.modeling import build_modeling_table, competing_trials, enrollment_extract
 from trialspark.session import shared_folder, stored
 from trialspark.sources.bindings import registry, table
+from trialspark.sources.schemas import conform
 
 YEAR, AS_OF = 1996, "2001-08-01"
 CONDITION, COUNTRY = "gear", "NATION_3"
@@ -432,6 +433,48 @@ def explain_scores(spark: SparkSession, sf: str) -> DataFrame:
     return explain.mean_contributions(explain.explain(spark, f.classifier, frame, "nct_id", f.names), f.names)
 
 
+@_query
+def typed_studies(spark: SparkSession, sf: str) -> DataFrame:
+    """Dates and numbers that arrive as text, some of it unreadable."""
+    key = F.col("o_orderkey")
+    raw = table(spark, sf, "orders").select(
+        key.alias("nct_id"), F.when(key % 7 == 0, "soon").otherwise(F.date_format(F.col("o_orderdate").cast("date"), "yyyy-MM-dd")).alias("start_date"),
+        F.when(key % 5 == 0, "n/a").when(key % 5 == 1, " 12 ").otherwise(F.floor("o_totalprice").cast("string")).alias("enrollment"),
+        F.when(key % 3 == 0, "").otherwise("2001-02-30").alias("completion_date"))
+    return conform(raw, "studies").select("nct_id", "start_date", "completion_date", "enrollment")
+
+
+@_query
+def feature_frame(spark: SparkSession, sf: str) -> DataFrame:
+    from trialspark.ml import prep
+
+    d = prep.feature_frame(modeling(spark, sf), ["nct_id"])
+    return _rounded(d, 6, *[f"f_{c}" for c in prep.NUMERIC])
+
+
+@_query
+def filled_features(spark: SparkSession, sf: str) -> DataFrame:
+    """Every feature of the models before it enters the vector: filled numbers, and categories as flags in alphabetical order."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.functions import vector_to_array
+
+    from trialspark.ml import prep
+
+    frame = prep.feature_frame(_stored_modeling(spark, sf), ["nct_id"])
+    ready = Pipeline(stages=prep.preparation_stages(frame)).fit(frame).transform(frame)
+    flags = [F.array_join(F.transform(vector_to_array(f"x_{c}"), lambda v: v.cast("int").cast("string")), "").alias(f"x_{c}") for c in prep.CATEGORICAL]
+    return _rounded(ready.select("nct_id", *[f"x_{c}" for c in prep.NUMERIC], *flags), 6, *[f"x_{c}" for c in prep.NUMERIC])
+
+
+@_query
+def cox_design_matrix(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows, total and largest value of every covariate; the first category of a column has none."""
+    d, names, _, _ = U._cox_frame(_stored_modeling(spark, sf), 1)
+    cells = d.select(F.posexplode("x").alias("i", "value")).groupBy("i").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"), F.max("value").alias("largest"))
+    return _rounded(cells.select(F.get(F.array(*map(F.lit, names)), F.col("i")).alias("covariate"), "n", "total", "largest"), 4, "total", "largest")
+
+
 @_query
 def cox_score_at_zero(spark: SparkSession, sf: str) -> DataFrame:
     completed = X.status_key("overall_status") == "COMPLETED"
