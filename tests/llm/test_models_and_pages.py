@@ -112,6 +112,19 @@ def test_toxicity_learns_stems_and_handles_odd_rows(spark):
     assert {r.score for r in score_toxicity(docs, None).collect()} == {0.0} and score_toxicity(docs.limit(0), model).count() == 0
 
 
+def test_every_language_with_enough_texts_has_a_group_and_the_rest_one(monkeypatch, spark):
+    from trialspark.llm import toxicity
+
+    asked = {}
+    monkeypatch.setattr(toxicity, "train", lambda texts, toxic, groups, n, own: asked.update(groups=dict(zip(texts, groups.tolist(), strict=True)), n=n, own=own))
+    langs = [f"l{i:02d}" for i in range(12)]
+    rows = [(f"{lang} {i}", lang) for lang in langs for i in range(20)] + [(f"rare {i}", f"r{i}") for i in range(5)] + [("none", None)]
+    docs = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate(rows)], "nct_id long, criteria string, lang string")
+    fit_toxicity(docs, spark.createDataFrame([(i, i % 2) for i in range(len(rows))], "nct_id long, toxic int"))
+    assert (asked["n"], asked["own"]) == (13, 12)
+    assert all(asked["groups"][t] == (-1 if lang is None else langs.index(lang) if lang in langs else 12) for t, lang in rows)
+
+
 def test_toxicity_query_on_held_out_texts(spark):
     sf = "/root/testdata/sf0.01"
     found = QUERIES["op6_toxicity"](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").toPandas()
