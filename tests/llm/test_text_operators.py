@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from trialspark.llm import simhash
 from trialspark.llm.components import connected_components
 from trialspark.llm.decontamination import find_contamination, remove_contamination
-from trialspark.llm.licenses import BASE_PHRASES, find_licenses
+from trialspark.llm.licenses import BASE_PHRASES, NOTICES, find_licenses
 from trialspark.llm.passages import compact_windows, remove_repeats, repeated_passages
 from trialspark.llm.registered import QUERIES
 from trialspark.llm.text_arrays import column_bytes, window_hashes, word_hashes, word_spans
@@ -87,6 +87,43 @@ def test_licenses_small_cases(spark):
     assert find_licenses(clashing(spark, [])).count() == 0
 
 
+MIT = ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated "
+       "documentation files the software to deal in the software without restriction").split()
+
+
+def edited(own, kind, n, at):
+    """A notice with ``n`` words put in, left out or changed at one place, or one after every third word put in."""
+    if kind == "in":
+        return [*own[:at], *prose(n, n).split(), *own[at:]]
+    if kind == "out":
+        return [*own[:at], *own[at + n:]]
+    if kind == "changed":
+        return [*own[:at], *prose(n, n).split(), *own[at + n:]]
+    return [w for i, o in enumerate(own) for w in ((o, "zzz") if i % 4 == 3 and i + 1 < len(own) else (o,))]
+
+
+def test_licenses_with_edits_and_long_templates(spark):
+    rng = random.Random(4)
+    long = [f"w{rng.randrange(400)}" for _ in range(200)]
+    notices = (("mit", " ".join(MIT)), ("long", " ".join(long)))
+    cases = {}
+    for own, label in ((MIT, "mit"), (long, "long")):
+        for kind, share in (("in", 0.05), ("in", 0.28), ("in", 0.45), ("out", 0.1), ("out", 0.3), ("changed", 0.1), ("changed", 0.19), ("spread", 0)):
+            for at in (5, len(own) // 2):
+                inner = edited(own, kind, max(1, int(share * len(own))), at)
+                cases[len(cases)] = (label, [*prose(40, 7).split(), *inner, *prose(30, 8).split()], 40, 40 + len(inner))
+    two = [*MIT, *prose(3, 9).split(), *edited(MIT, "in", 4, 9)]
+    rows = [(i, " ".join(w)) for i, (_, w, _, _) in cases.items()] + [(1000, " ".join(two))] + [(None, " ".join(MIT)), (None, "free of charge to any person"), (None, " ".join(MIT))]
+    got = find_licenses(texts(spark, rows), notices=notices).collect()
+    by = {r.nct_id: r for r in got if r.nct_id is not None}
+    for i, (label, _, start, stop) in cases.items():
+        assert [(p.label, p.start, p.stop) for p in by[i].places] == [(label, start, stop)], i
+    assert [(p.start, p.stop) for p in by[1000].places] == [(0, len(MIT)), (len(MIT) + 3, len(two))]
+    assert sorted(len(r.places) for r in got if r.nct_id is None) == [0, 1, 1]
+    whole = find_licenses(texts(spark, [(1, " ".join(MIT)), (2, dict(NOTICES[13:])["mit"])])).collect()
+    assert {r.nct_id: [(p.label, p.start) for p in r.places] for r in whole} == {1: [("mit", 0)], 2: [("mit", 0)]}
+
+
 def test_license_query_equals_brute_force(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     got = {r.doc_id: r for r in QUERIES["op1_licenses"](spark, SF).collect()}
