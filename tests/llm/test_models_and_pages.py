@@ -151,6 +151,25 @@ def test_main_text_of_a_page_with_everything(spark):
     assert main_text(PAGE.replace("<article", "<div").replace("</article", "</div"), fit_weights(pages)).split("\n\n")[-1] == want[-1]  # the tag itself is not needed
 
 
+def test_main_text_keeps_sections_named_by_their_subject(spark):
+    page = ("<body><div id='site-header'>Name of the site</div><ul class='main-nav'><li>Home</ul><article><h1>Drug</h1>"
+            "<section class='side-effects'><p>Nausea was common in both groups.</p></section><div class='legal-basis'><p>Article six applies to this study.</p></div>"
+            "<p>Search terms are listed here.</p><div class='share-bar'>Share this page with all your friends</div><p class='alert-levels'>Levels rose in most of them.</p></article>"
+            "<div class='reader-comments'><p>" + "A reader says many words. " * 60 + "</p></div></body>")
+    want = ["Drug", "Nausea was common in both groups.", "Article six applies to this study.", "Search terms are listed here.", "Levels rose in most of them."]
+    pages = spark.createDataFrame([(i, "u", page) for i in range(3)], "page_id long, url string, html string")
+    assert [r.text for r in extract_main_text(pages).collect()] == ["\n\n".join(want)] * 3
+    assert main_text("<div class='sidebar'>" + "many words stand here " * 90 + "</div><div><p>Few words of the page itself stand here.</p></div>", {}) == "Few words of the page itself stand here."
+
+
+def test_main_text_is_linear_in_unclosed_tags():
+    from time import process_time
+
+    began = process_time()
+    assert main_text(("<div><b>" + "x " * 9 + "</i>") * 100_000, {}).count("x") == 900_000
+    assert process_time() - began < 4
+
+
 def test_main_text_of_odd_pages(spark):
     rows = [(1, None, None), (2, "u", ""), (3, "u", "<p"), (4, "u", "plain words only"), (5, "u", "<article></article>"), (6, "u", "<nav><a>x</a></nav>"),
             (7, "u", "<article>" + "<p>some words &amp; more</p>" * 20_000 + "</article>"), (7, "u", "<script>never closed <p>text"), (8, "u", "<article><p a=\"x>y</p></article>")]

@@ -8,6 +8,8 @@ this operator is general: it works on any table of pages.
 from __future__ import annotations
 
 import re
+from collections import Counter
+from functools import lru_cache
 from math import log
 
 import pyarrow as pa
@@ -16,18 +18,34 @@ from pyspark.sql import functions as F
 
 from trialspark.llm.html_tokens import BLOCK, VOID, names, squeeze, tokens
 
-# Elements, and words in class, id and role values, that stand for something else than the article.
+# Elements, and words in class, id and role values, that stand for something else than the article; and words that
+# only say where or in what form an element stands. A name counts if all its words are of these two kinds, so that
+# ``share-bar`` does and ``side-effects`` or ``legal-basis`` does not.
 ASIDE_TAGS = frozenset(("aside", "button", "dialog", "footer", "form", "header", "menu", "nav", "select"))
-ASIDE_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|sidebar|side|widget|footer|header|masthead|comments?"
-    r"|commentlist|disqus|respond|replies|share|sharing|social|cookies?|consent|gdpr|notice|alert|popup|modal|newsletter|subscribe|signup|login"
-    r"|search|related|recommended|toolbar|pagination|copyright|legal|skip)(?:$|[\s_-])")
+ASIDE_WORD = re.compile(
+    r"ads?|adverts?|advertisements?|advertising|sponsor(?:ed|s)?|promo(?:s|tions?|ted)?|banners?|nav|navbar|navigation|menus?|breadcrumbs?|sidebars?|side|widgets?"
+    r"|footer|header|masthead|comments?|commentlist|disqus|respond|replies|reply|share|sharing|social|cookies?|consent|gdpr|notices?|alerts?|popups?|modal"
+    r"|newsletter|subscribe|signup|login|search|related|recommended|toolbar|pagination|copyright|legal|skip|complementary|contentinfo")
+PLACE_WORD = re.compile(
+    r"\d+|box|bar|block|wrap|wrapper|container|list|item|items|inner|outer|section|area|unit|slot|panel|group|row|column|col|content|body|text|title|form|forms|link|links"
+    r"|button|buttons|icon|icons|site|page|global|main|primary|secondary|top|bottom|left|right|mobile|desktop|fixed|sticky|floating|reader|readers|user|users"
+    r"|article|articles|post|posts|blog|story|stories|thread|js|is|has|c|m|u")
 KNOWN_TAGS = BLOCK | VOID | {"a", "b", "i", "em", "strong", "span", "u", "small", "sub", "sup", "code", "label", "q", "cite", "abbr", "time"}
 WHOLE = frozenset(("html", "body", "main", "article"))  # never an aside for what their class says
 MARKED = ("article", "main")
 WORD_FLOOR, TAG_CEILING, TAG_FLOOR = 0.05, -0.05, -6.0
 
 
+@lru_cache(4096)
+def stands_aside(own: str) -> bool:
+    """Whether one of these class, id and role values names something else than the article."""
+    for name in own.split():
+        words = [w for w in re.split(r"[_:-]+", name) if w]
+        if any(ASIDE_WORD.fullmatch(w) for w in words) and all(ASIDE_WORD.fullmatch(w) or PLACE_WORD.fullmatch(w) for w in words):
+            return True
+    return False
+
+
 def _kind(tag: str, aside: bool) -> str:
     return (tag if tag in KNOWN_TAGS else "?") + ("!" if aside else "")
 
@@ -38,7 +56,7 @@ def line(html: str) -> list[tuple[str, str, bool, int]]:
     A text run has the kind of its innermost open element in front of a ``w``; ``aside`` tells that an open element
     stands for a menu, an advert and the like.
     """
-    out, stack, asides = [], [], 0
+    out, stack, asides, opened = [], [], 0, Counter()
     for what, value, rest in tokens(html):
         if what == "text":
             n = len(value.split())
@@ -47,18 +65,20 @@ def line(html: str) -> list[tuple[str, str, bool, int]]:
         elif what == "open":
             if value in BLOCK:  # a block ends the paragraph and the inline elements that were left open before it
                 while stack and not stack[-1][2] and (stack[-1][0] == "p" or stack[-1][0] not in BLOCK):
-                    stack.pop()
-            aside = value in ASIDE_TAGS or value not in WHOLE and bool(rest and (own := names(rest)) and ASIDE_NAMES.search(own))
+                    opened[stack.pop()[0]] -= 1
+            aside = value in ASIDE_TAGS or value not in WHOLE and bool(rest and (own := names(rest)) and stands_aside(own))
             kind = _kind(value, aside)
             if value not in VOID and not rest.endswith("/"):
                 stack.append((value, kind, aside))
+                opened[value] += 1
                 asides += aside
             out.append(("<" + kind, value, asides > 0, 0))
         elif what == "close":
             kind, inside = _kind(value, False), asides > 0
-            if any(t == value for t, _, _ in stack):
+            if opened[value]:
                 while True:
                     tag, kind, aside = stack.pop()
+                    opened[tag] -= 1
                     asides -= aside
                     if tag == value:
                         break
@@ -89,9 +109,10 @@ def fit_weights(pages: DataFrame, *, html: str = "html") -> dict[str, float]:
             for page in batch.column(0).to_pylist():
                 parts = line(page or "")
                 if region := marked_region(parts):
-                    for i, (kind, _, _, n) in enumerate(parts):
-                        at = kind, region[0] <= i <= region[1]
-                        total[at] = total.get(at, 0) + (n if kind[0] == "w" else 1)
+                    for i, (kind, _, aside, n) in enumerate(parts):
+                        if kind[0] != "w" or not aside:  # words that never come out score nothing and teach nothing
+                            at = kind, region[0] <= i <= region[1]
+                            total[at] = total.get(at, 0) + (n if kind[0] == "w" else 1)
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in total], pa.string()), pa.array([i for _, i in total], pa.bool_()), pa.array(list(total.values()), pa.int64())], ["kind", "inside", "n"])
 
     rows = pages.select(html).mapInArrow(count, "kind string, inside boolean, n bigint").groupBy("kind").agg(
@@ -106,7 +127,7 @@ def fit_weights(pages: DataFrame, *, html: str = "html") -> dict[str, float]:
 def _default(kind: str) -> float:
     """The weight of a kind that no labelled page has."""
     if kind[0] == "w":
-        return WORD_FLOOR if kind.endswith("!") else 0.5
+        return 0.5
     return TAG_FLOOR if kind.endswith("!") else -0.5
 
 
@@ -126,10 +147,10 @@ def main_text(html: str, weights: dict[str, float]) -> str:
     """The blocks of the best region of a page, joined by an empty line."""
     parts = line(html)
     scores = []
-    for kind, _, _, n in parts:
+    for kind, _, aside, n in parts:
         weight = weights.get(kind)
         weight = _default(kind) if weight is None else weight
-        scores.append(weight * n if kind[0] == "w" else weight)
+        scores.append(weight * (0 if aside else n) if kind[0] == "w" else weight)  # only words that come out count
     start, stop = best_region(scores)
     blocks, now = [], []
     for kind, value, aside, _ in parts[start:stop]:
