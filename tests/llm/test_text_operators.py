@@ -11,7 +11,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from trialspark.llm import simhash
+from trialspark.llm import decontamination, simhash
 from trialspark.llm.components import connected_components
 from trialspark.llm.decontamination import find_contamination, remove_contamination
 from trialspark.llm.licenses import BASE_PHRASES, NOTICES, find_licenses
@@ -140,6 +140,22 @@ def test_license_query_equals_brute_force(spark):
 ITEMS = [(1, prose(30, 5)), (2, "Short Item"), (3, None), (4, ""), (5, prose(30, 5)), (6, prose(12, 6)), (None, prose(12, 8)), (2, "Short Item")]
 
 
+@pytest.mark.parametrize("values", [1, 3, 1 << 62])
+def test_benchmark_windows_with_colliding_hashes(monkeypatch, values):
+    plain = decontamination.window_hashes
+    monkeypatch.setattr(decontamination, "window_hashes", lambda *a: (plain(*a)[0], plain(*a)[1] % np.uint64(values)))
+    rng = random.Random(values)
+    some = lambda n: " ".join(rng.choice("abc") for _ in range(n))
+    items = [(i, some(rng.randint(0, 7))) for i in range(40)] + [(40, None), (41, "a a a a a a a a")]
+    docs = [some(rng.randint(0, 60)) for _ in range(20)] + ["", "a " * 30]
+    data, offsets = column_bytes(pa.array(docs))
+    hits, *_ = decontamination._hits(data, offsets, decontamination.window_block(items, 4))
+    for i, text in enumerate(docs):
+        own = [h for h in hits if h[0] == i]
+        _, hit, names = contaminated(text, items, 4)
+        assert {w for _, a, k, _ in own for w in range(a, a + k)} == hit and sorted({int(x) for h in own for x in h[3]}) == names
+
+
 def contaminated(text, items, window=10):
     w, hit, names = words(text), set(), set()
     for i, t in items:

@@ -7,6 +7,8 @@ task. Hits are verified word by word before they count.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -16,47 +18,77 @@ from pyspark.sql.pandas.types import to_arrow_type
 from trialspark.llm.text_arrays import ALNUM, LOWER, column_bytes, cut_words, lists, row_of, text_runs, union, window_hashes, word_hashes, word_spans
 
 WINDOW = 10
-BLOCK_CHARS = 8 << 20  # characters of benchmark text in one broadcast block
+BLOCK_CHARS = 8 << 20  # characters of benchmark text in one broadcast block of some 40 MB, 200 MB while it is built
+
+
+class WindowBlock(NamedTuple):
+    """Benchmark windows as arrays: some 45 bytes a word besides the words themselves, and no Python object a window."""
+
+    ids: list  # of the items
+    data: np.ndarray  # lower-cased bytes of all items
+    starts: np.ndarray  # of the words, in data
+    ends: np.ndarray
+    by_length: dict[int, tuple[np.ndarray, ...]]  # length: (hashes, first occurrence of each text, first words, items), see window_block
+
+    def words(self, at: int, k: int) -> bytes:
+        return _words(self.data, self.starts, self.ends, at, k)
+
 
+def _words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: int, k: int) -> bytes:
+    return b" ".join(data[s:e].tobytes() for s, e in zip(starts[at:at + k], ends[at:at + k], strict=True))
 
-def window_block(rows: list[tuple], window: int) -> tuple[list, dict]:
-    """Item ids, and for each window length the sorted hashes with the (words, items) behind each hash."""
-    ids, found = [r[0] for r in rows], {}
+
+def window_block(rows: list[tuple], window: int) -> WindowBlock:
+    """The windows of items (id, text), for each length in order of their hashes.
+
+    Occurrences are sorted by hash and item. Neighbours with the very same words are one text; ``hashes`` and ``edge`` have one
+    entry a text (and ``edge`` one more at the end), ``at`` and ``item`` one an occurrence, an item once for each text.
+    """
     data, offsets = column_bytes(pa.array([r[1] or "" for r in rows], pa.string()))
     data = LOWER[data]
     starts, ends, first = word_spans(data, offsets, ALNUM)
-    hashes = word_hashes(data, starts, ends)
-    for i in range(len(rows)):
-        own = slice(first[i], first[i + 1])
-        k = min(window, len(hashes[own]))
+    hashes, counts = word_hashes(data, starts, ends), np.diff(first)
+    block = WindowBlock([r[0] for r in rows], data, starts.astype(np.int32), ends.astype(np.int32), {})
+    for k in np.unique(np.minimum(counts, window)).tolist():
         if not k:
             continue
-        at, values = window_hashes(hashes[own], np.array([0, len(hashes[own])]), k)
-        for a, h in zip(at + first[i], values, strict=True):
-            words = b" ".join(data[s:e].tobytes() for s, e in zip(starts[a:a + k], ends[a:a + k], strict=True))
-            found.setdefault(k, {}).setdefault(int(h), {}).setdefault(words, set()).add(i)
-    return ids, {k: (np.array(sorted(by), np.uint64), by) for k, by in found.items()}
-
-
-def _hits(data, offsets, block):
+        at, values = window_hashes(hashes, first, k)
+        item = row_of(at, first)
+        if k < window:  # a shorter window is a whole item
+            at, values, item = (x[counts[item] == k] for x in (at, values, item))
+        order = np.lexsort((item, values))
+        at, values, item = at[order].astype(np.int32), values[order], item[order].astype(np.int32)
+        new = np.concatenate(([True], values[1:] != values[:-1]))
+        for i in np.flatnonzero(~new).tolist():
+            new[i] = block.words(at[i], k) != block.words(at[i - 1], k)
+        kept = new | np.concatenate(([True], item[1:] != item[:-1]))
+        edge = np.append(np.flatnonzero(new[kept]), kept.sum()).astype(np.int32)
+        block.by_length[k] = values[new], edge, at[kept], item[kept]
+    return block
+
+
+def _hits(data, offsets, block: WindowBlock):
     """Verified hits as (row, first word, words, items), and the word spans of the run."""
     low = LOWER[data]
     starts, ends, first = word_spans(low, offsets, ALNUM)
     hashes, out = word_hashes(low, starts, ends), []
-    for k, (known, by) in block.items():
+    for k, (known, edge, places, items) in block.by_length.items():
         at, values = window_hashes(hashes, first, k)
         where = np.minimum(np.searchsorted(known, values), len(known) - 1)
         near = np.flatnonzero(known[where] == values)
-        for a, h, row in zip(at[near], values[near], row_of(at[near], first), strict=True):
-            words = b" ".join(low[s:e].tobytes() for s, e in zip(starts[a:a + k], ends[a:a + k], strict=True))
-            if items := by[int(h)].get(words):
-                out.append((int(row), int(a - first[row]), k, items))
+        for a, i, row in zip(at[near], where[near].tolist(), row_of(at[near], first), strict=True):
+            words = _words(low, starts, ends, a, k)
+            here = known[i]
+            while i < len(known) and known[i] == here:  # texts with one hash
+                if block.words(places[edge[i]], k) == words:
+                    out.append((int(row), int(a - first[row]), k, items[edge[i]:edge[i + 1]]))
+                i += 1
     return out, starts, ends, first
 
 
-def _mark(batches, at: int, n: int, id_type: pa.DataType, known: tuple[list, dict], later: bool):
+def _mark(batches, at: int, n: int, id_type: pa.DataType, block: WindowBlock, later: bool):
     """The first ``n`` columns with the hits of one block; ``later`` adds them to those of earlier blocks."""
-    ids, block = known
+    ids = block.ids
     for rows, data, offsets in text_runs(batches, at):
         hits, _, _, first = _hits(data, offsets, block)
         spans, named = {}, {}
@@ -66,7 +98,7 @@ def _mark(batches, at: int, n: int, id_type: pa.DataType, known: tuple[list, dic
                     spans[i], named[i] = [(s["start"], s["stop"]) for s in had], set(held)
         for row, a, k, found in hits:
             spans.setdefault(row, []).append((a, a + k))
-            named.setdefault(row, set()).update(ids[i] for i in found)
+            named.setdefault(row, set()).update(ids[i] for i in found.tolist())
         merged = [union(spans.get(i, ())) for i in range(rows.num_rows)]
         flat = [x for m in merged for x in m]
         pairs = pa.StructArray.from_arrays([pa.array([x[0] for x in flat], pa.int32()), pa.array([x[1] for x in flat], pa.int32())], ["start", "stop"])
